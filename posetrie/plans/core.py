@@ -1,0 +1,6 @@
+"""Queries of the pose index and their SQL, by name."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
