@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, types as T
 from posetrie.llm.common import add_column, list_array
 
 #: White space as Unicode has it.
-BLANK = "\t-\r \x85\xa0  -     　"
+BLANK = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _EDGE = re.compile(f"[^{BLANK}](?=[{BLANK}])")
 #: Characters beyond which a text is cut.
 LONG = 1 << 16
