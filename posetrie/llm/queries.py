@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from posetrie.llm import bpe
+from posetrie.llm import bpe, quality
 from posetrie.llm.common import pick
 
 
@@ -29,5 +29,12 @@ def bpe_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe,)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's figures, the base rules' say and the label model's verdict."""
+    judged = quality.judge(pick(documents(spark, sf_dir), doc_id="doc_id", text="text"))
+    f = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *(F.col(f"figures.{x}").alias(x) for x in f), "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+
+
+QUERIES = {f.__name__: f for f in (op5_byte_bpe, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
