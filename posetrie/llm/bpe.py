@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from posetrie.llm.common import add_column, list_array
+from posetrie.llm.common import add_column, list_array, rows_of
 
 #: White space as Unicode has it.
 BLANK = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -50,9 +50,8 @@ def pieces(text: str, long: int = LONG) -> Iterator[str]:
 def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", to: str = "token_ids") -> DataFrame:
     """docs with the ids of each whole text as array<int>."""
 
-    def ids(texts: list[str | None], enc) -> pa.Array:
-        rows = [np.array([i for part in pieces(x) for i in enc.encode_ordinary(part)] if x else [], np.int32) for x in texts]
-        return list_array(rows, pa.int32(), np.concatenate([np.empty(0, np.int32), *rows]))
+    def ids(texts: pa.Array, enc) -> pa.Array:
+        return list_array([np.array([i for part in pieces(x or "") for i in enc.encode_ordinary(part)], np.int32) for x in texts.to_pylist()], pa.int32())
 
     return add_column(docs, text, ids, to, T.ArrayType(T.IntegerType()), lambda: encoding(rank_file, pattern))
 
@@ -60,7 +59,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", to
 def decode(tokens: DataFrame, rank_file: str, pattern: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
     """tokens with the raw bytes of their ids, whether or not these are valid UTF-8 (null ids: no bytes)."""
 
-    def raw(rows: list[list[int] | None], enc) -> pa.Array:
-        return pa.array([enc.decode_bytes(x) if x else b"" for x in rows], pa.binary())
+    def raw(rows: pa.Array, enc) -> pa.Array:
+        return pa.array([b"" if x is None else enc.decode_bytes(x.tolist()) for x in rows_of(rows)], pa.binary())
 
     return add_column(tokens, ids, raw, to, T.BinaryType(), lambda: encoding(rank_file, pattern))

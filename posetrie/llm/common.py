@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -59,27 +60,43 @@ def n_words(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(rf"[^{SPACE}]")), F.length(marks)).otherwise(0).cast("long")
 
 
-def add_column(
-    df: DataFrame, text: str, make: Callable[[Iterator[str | None]], pa.Array], name: str, kind: T.DataType, setup: Callable | None = None
-) -> DataFrame:
-    """df and one more column that make computes from the texts of each Arrow batch.
+#: Rows that a worker takes up at a time; bounds its memory where Spark's Arrow batches are larger.
+SLICE = 256
+
+
+def slices(batch: pa.RecordBatch, n: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, n):
+        yield batch.slice(at, n)
+
+
+def add_column(df: DataFrame, source: str, make: Callable[..., pa.Array], name: str, kind: T.DataType, setup: Callable | None = None) -> DataFrame:
+    """df and one more column that make computes from slices of a column.
 
     setup, if given, runs once in each task; make then gets its result as a second argument.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
-    at = df.columns.index(text)
+    at = df.columns.index(source)
 
     def run(batches):
         state = (setup(),) if setup else ()
         for batch in batches:
-            column = make(batch.column(at).to_pylist(), *state)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
+            for part in slices(batch):
+                column = make(part.column(at), *state)
+                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, name])
 
     return df.mapInArrow(run, schema)
 
 
-def list_array(arrays: list, kind: pa.DataType, values) -> pa.ListArray:
-    """An Arrow list column; values: all items in order, arrays: the items of each row (for their lengths)."""
+def rows_of(lists: pa.ListArray) -> Iterator:
+    """The items of each row of a list column as numpy arrays; None for null."""
+    values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    for k, null in enumerate(lists.is_null().to_pylist()):
+        yield None if null else values[offsets[k] : offsets[k + 1]]
+
+
+def list_array(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """An Arrow list column of the arrays."""
+    values = np.concatenate(arrays) if arrays else []
     offsets = [0]
     for a in arrays:
         offsets.append(offsets[-1] + len(a))

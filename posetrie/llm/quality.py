@@ -80,8 +80,8 @@ def with_figures(docs: DataFrame, text: str, to: str) -> DataFrame:
     """docs and a struct of the figures of each text."""
     names = list(FIGURES)
 
-    def make(texts: list[str | None]) -> pa.Array:
-        rows = np.array([figures(x) for x in texts], np.int64).reshape(len(texts), len(names))
+    def make(texts: pa.Array) -> pa.Array:
+        rows = np.array([figures(x) for x in texts.to_pylist()], np.int64).reshape(len(texts), len(names))
         return pa.StructArray.from_arrays([pa.array(rows[:, j]) for j in range(len(names))], names=names)
 
     return add_column(docs, text, make, to, _KIND)
