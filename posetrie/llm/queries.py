@@ -5,14 +5,53 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from posetrie.llm import bpe, quality
-from posetrie.llm.common import pick
+from posetrie.llm import bpe, mixing, quality
+from posetrie.llm.common import cut, pick
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+WEIGHTS, MOST, MIX_SEED = (5, 2, 1), 3, 20
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents by source weights takes of each document."""
+    rows = cut(mixing.sized(pick(documents(spark, sf_dir), doc_id="doc_id", source="source", text="text"), MIX_SEED, ["doc_id"]))
+    mixed = mixing.take(rows, mixing.plan(rows, WEIGHTS, MOST))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
+
+
+OP1_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         substr(md5('{MIX_SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15) AS at
+  FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ranked AS (
+  SELECT source, source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM sizes),
+leveled AS (SELECT *, 3.0::DOUBLE * source_size AS most, 3.0::DOUBLE * source_size / weight AS level FROM ranked),
+shared AS (
+  SELECT *, ((SELECT sum(source_size) FROM sizes)::DOUBLE - coalesce(sum(most) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM leveled),
+goal AS (
+  SELECT source, source_size, least(most, coalesce((SELECT share FROM shared WHERE level > share ORDER BY level, share LIMIT 1) * weight, most)) AS target FROM shared),
+parted AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS whole FROM goal),
+budgets AS (
+  SELECT *, least(greatest(target - whole * source_size, 0), source_size - 0.25::DOUBLE) AS budget FROM parted),
+summed AS (
+  SELECT s.doc_id, s.size, b.source_size, b.target, b.whole, b.budget,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.at RANGE UNBOUNDED PRECEDING) AS upto,
+         sum(s.size) OVER (PARTITION BY s.source, s.at) AS words
+  FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+       (size * CASE WHEN source_size = 0 THEN 0
+                    ELSE whole + (upto <= budget OR (upto - words <= budget AND budget - (upto - words) > words / 2.0::DOUBLE))::INT END)::BIGINT AS taken
+FROM summed"""
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes that they decode to, as digests."""
     return bpe_digest(pick(documents(spark, sf_dir), doc_id="doc_id", text="text"))
@@ -36,5 +75,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"figures.{x}").alias(x) for x in f), "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_byte_bpe, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
