@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from posetrie.llm import bpe, mixing, quality
+from posetrie.llm import bpe, mixing, quality, sharding
 from posetrie.llm.common import cut, pick
 
 
@@ -68,6 +68,24 @@ def bpe_digest(docs: DataFrame) -> DataFrame:
     )
 
 
+N_SHARDS, SHARD_SEED = 40, 8
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in 40 shards, read from the shards' files."""
+    docs = pick(documents(spark, sf_dir), doc_id="doc_id", text="text")
+    placed = sharding.read(spark, sharding.shard(docs, N_SHARDS, seed=SHARD_SEED))
+    return placed.select(
+        "doc_id",
+        sharding.size_of(F.col("text")).alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's figures, the base rules' say and the label model's verdict."""
     judged = quality.judge(pick(documents(spark, sf_dir), doc_id="doc_id", text="text"))
@@ -75,5 +93,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"figures.{x}").alias(x) for x in f), "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_byte_bpe, op8_shards, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
