@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from posetrie.llm import bpe, mixing, quality, sharding
+from posetrie.llm import bpe, mixing, quality, sharding, tokenfile
 from posetrie.llm.common import cut, pick
 
 
@@ -52,6 +52,16 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM summed"""
 
 
+END_ID = 2
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document's ids stand among all ids, read from the ORC files that hold them."""
+    docs = pick(documents(spark, sf_dir), doc_id="doc_id", text="text")
+    path = tokenfile.write(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return tokenfile.index(tokenfile.read(spark, path))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes that they decode to, as digests."""
     return bpe_digest(pick(documents(spark, sf_dir), doc_id="doc_id", text="text"))
@@ -93,5 +103,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"figures.{x}").alias(x) for x in f), "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_byte_bpe, op8_shards, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_token_files, op5_byte_bpe, op8_shards, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
