@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from posetrie.llm import bpe, mixing, quality, sharding, tokenfile
+from posetrie.llm import bpe, minhash, mixing, quality, sharding, tokenfile
 from posetrie.llm.common import cut, pick
 
 
@@ -52,6 +52,11 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM summed"""
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component among near copies by 4-word shingles."""
+    return minhash.near_duplicates(pick(documents(spark, sf_dir), doc_id="doc_id", text="text"), words=4, percent=80)
+
+
 END_ID = 2
 
 
@@ -103,5 +108,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"figures.{x}").alias(x) for x in f), "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_token_files, op5_byte_bpe, op8_shards, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_minhash_near_dedup, op4_token_files, op5_byte_bpe, op8_shards, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
