@@ -83,7 +83,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame, n: int) -> DataFrame:
         inside = by_source(rows, live.select("source", "prefix"), n).where(F.startswith("at", "prefix"))
         histogram = inside.groupBy("source", bucket(F.col("at"), level).alias("bucket")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
         running = histogram.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")))
-        beyond = by_source(running, live, n).where(F.col("below") + F.col("upto") > F.col("budget"))
+        beyond = by_source(running, live.select("source", "budget", "below", "prefix"), n).where(F.col("below") + F.col("upto") > F.col("budget"))
         end = beyond.groupBy("source", "budget", "below", "prefix").agg(F.min(F.struct("bucket", "upto", "words", "n")).alias("end"))
         live = cut(
             end.select(
