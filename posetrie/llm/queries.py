@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from posetrie.llm import bpe, minhash, mixing, quality, sharding, tokenfile
+from posetrie.llm import bpe, embedding, minhash, mixing, quality, sharding, tokenfile
 from posetrie.llm.common import cut, pick
 
 
@@ -83,6 +83,12 @@ def bpe_digest(docs: DataFrame) -> DataFrame:
     )
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component among vectors of its label at cosine 0.93 or more."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return embedding.near_duplicates(pick(rows, vec_id="vec_id", embedding="embedding", label="label"), cosine=0.93)
+
+
 N_SHARDS, SHARD_SEED = 40, 8
 
 
@@ -108,5 +114,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"figures.{x}").alias(x) for x in f), "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_minhash_near_dedup, op4_token_files, op5_byte_bpe, op8_shards, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_minhash_near_dedup, op4_token_files, op5_byte_bpe, op6_embedding_near_dedup, op8_shards, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
