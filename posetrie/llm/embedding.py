@@ -8,8 +8,8 @@ into both children. Medians come from partial aggregations over all classes, and
 down every tree. In a leaf, all classes are compared by cosine in double precision; what any tree
 finds is united, and components follow from it.
 
-A node whose projections don't split it (they are all the same up to rounding) isn't compared in one
-task: it is cut into blocks, and every pair of blocks is compared in a task of its own, with nothing left out. The same
+A node whose projections spread no wider than those of vectors within the asked cosine of each other
+isn't split further, which would part what is linked, nor compared in one task: it is cut into blocks, and every pair of blocks is compared in a task of its own, with nothing left out. The same
 holds for what is left after the last level.
 
 Vectors that are null, zero, or hold null or non-finite components, and vectors without a label, link
@@ -67,8 +67,8 @@ def projected(nodes: DataFrame, level: int, seed: int) -> DataFrame:
     return nodes.mapInArrow(run, schema)
 
 
-def leaves(of: DataFrame, leaf: int, seed: int) -> DataFrame:
-    """(tree, node, block, rep) of classes (label, vector, rep): every class's leaves, cut into blocks where they are large."""
+def leaves(of: DataFrame, cosine: float, leaf: int, seed: int) -> DataFrame:
+    """(tree, node, rep, vector, size) of classes (label, vector, rep): every class's leaves and their sizes."""
     rows = of.select("rep", "vector", F.xxhash64("label", F.octet_length("vector")).alias("node"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     done = None
     for level in range(LEVELS):
@@ -79,14 +79,15 @@ def leaves(of: DataFrame, leaf: int, seed: int) -> DataFrame:
         large = cut(projected(sized.where(F.col("size") > leaf).drop("size"), level, seed))
         if large.isEmpty():
             return done
-        marks = large.groupBy("tree", "node").agg(F.percentile_approx("at", [0.5 - SPILL, 0.5 + SPILL], 1000).alias("q"), F.min("at").alias("least"), F.max("at").alias("most"))
+        marks = large.groupBy("tree", "node").agg(F.percentile_approx("at", [0.05, 0.5 - SPILL, 0.5 + SPILL, 0.95], 1000).alias("q"))
         split = large.join(marks, ["tree", "node"])
-        # all (nearly) the same: no direction splits it
-        stuck = split.where(F.col("most") - F.col("least") < 1e-9).select("tree", "node", "rep", "vector")
+        # as narrow as vectors that are linked with each other: a split would only part them
+        narrow = F.col("q")[3] - F.col("q")[0] < 3 * (2 - 2 * cosine) ** 0.5 / F.sqrt(F.octet_length("vector") / 8)
+        stuck = split.where(narrow).select("tree", "node", "rep", "vector")
         counted = stuck.join(stuck.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size")), ["tree", "node"])
         done = done.unionByName(counted.select("tree", "node", "rep", "vector", "size"))
-        sides = F.array_compact(F.array(F.when(F.col("at") <= F.col("q")[1], 0), F.when(F.col("at") >= F.col("q")[0], 1)))
-        moved = split.where(F.col("most") - F.col("least") >= 1e-9).select("tree", "rep", "vector", "node", F.explode(sides).alias("side"))
+        sides = F.array_compact(F.array(F.when(F.col("at") <= F.col("q")[2], 0), F.when(F.col("at") >= F.col("q")[1], 1)))
+        moved = split.where(~narrow).select("tree", "rep", "vector", "node", F.explode(sides).alias("side"))
         rows = cut(moved.select("rep", "vector", F.xxhash64("node", "side").alias("node"), "tree"))
     sizes = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size"))
     return done.unionByName(rows.join(sizes, ["tree", "node"]).select("tree", "node", "rep", "vector", "size"))
@@ -126,7 +127,7 @@ def links(vectors: DataFrame, cosine: float, leaf: int = LEAF, seed: int = 6) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([(x / np.sqrt(x @ x)).tobytes() for x in rows], pa.binary())], names=schema.names)
 
     units = found.select("label", "rep", "embedding").mapInArrow(unit, schema)
-    return found, cut(compared(leaves(units, leaf, seed), cosine, leaf))
+    return found, cut(compared(leaves(units, cosine, leaf, seed), cosine, leaf))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, leaf: int = LEAF, seed: int = 6) -> DataFrame:
