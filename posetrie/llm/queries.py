@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from posetrie.llm import bpe, embedding, minhash, mixing, quality, sharding, tokenfile
+from posetrie.llm import bpe, embedding, minhash, mixing, pii, quality, sharding, tokenfile
 from posetrie.llm.common import cut, pick
 
 
@@ -107,6 +107,14 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base counts and spans, and all spans with those that bootstrapped contexts add."""
+    found = pii.find(pick(documents(spark, sf_dir), doc_id="doc_id", text="text"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's figures, the base rules' say and the label model's verdict."""
     judged = quality.judge(pick(documents(spark, sf_dir), doc_id="doc_id", text="text"))
@@ -114,5 +122,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"figures.{x}").alias(x) for x in f), "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_minhash_near_dedup, op4_token_files, op5_byte_bpe, op6_embedding_near_dedup, op8_shards, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_minhash_near_dedup, op4_token_files, op5_byte_bpe, op6_embedding_near_dedup, op8_shards, op9_pii, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
