@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from posetrie.llm import bpe, embedding, minhash, mixing, pii, quality, sharding, tokenfile
+from posetrie.llm import bpe, embedding, minhash, mixing, pii, pseudolm, quality, sharding, tokenfile
 from posetrie.llm.common import cut, pick
 
 
@@ -52,6 +52,13 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM summed"""
 
 
+def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's masked pseudo-likelihood under a network trained on all of them."""
+    scored = pseudolm.pseudo_likelihood(pick(documents(spark, sf_dir), doc_id="doc_id", text="text"))
+    a_token = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return scored.select("doc_id", "n_tokens", F.round("log_likelihood", 3).alias("log_likelihood"), F.round(a_token, 4).alias("per_token"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component among near copies by 4-word shingles."""
     return minhash.near_duplicates(pick(documents(spark, sf_dir), doc_id="doc_id", text="text"), words=4, percent=80)
@@ -122,5 +129,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"figures.{x}").alias(x) for x in f), "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_minhash_near_dedup, op4_token_files, op5_byte_bpe, op6_embedding_near_dedup, op8_shards, op9_pii, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pseudo_likelihood, op3_minhash_near_dedup, op4_token_files, op5_byte_bpe, op6_embedding_near_dedup, op8_shards, op9_pii, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
