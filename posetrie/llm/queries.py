@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from posetrie.llm import bpe, embedding, minhash, mixing, pii, pseudolm, quality, sharding, tokenfile
+from posetrie.llm import bpe, classifier, embedding, minhash, mixing, pii, pseudolm, quality, sharding, tokenfile
 from posetrie.llm.common import cut, pick
 
 
@@ -96,6 +96,18 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(pick(rows, vec_id="vec_id", embedding="embedding", label="label"), cosine=0.93)
 
 
+#: Documents below it go; low, since the scorer weighs both classes alike and a lost clean document costs more.
+LEAST_QUALITY = 0.25
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by a linear scorer that learned from the label model's posteriors."""
+    docs = pick(documents(spark, sf_dir), doc_id="doc_id", text="text")
+    weights, _ = classifier.train(docs)
+    scored = classifier.score(docs, weights)
+    return scored.select("doc_id", F.round("p_quality", 6).alias("p_quality"), (F.col("p_quality") >= LEAST_QUALITY).alias("kept"))
+
+
 N_SHARDS, SHARD_SEED = 40, 8
 
 
@@ -129,5 +141,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"figures.{x}").alias(x) for x in f), "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pseudo_likelihood, op3_minhash_near_dedup, op4_token_files, op5_byte_bpe, op6_embedding_near_dedup, op8_shards, op9_pii, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pseudo_likelihood, op3_minhash_near_dedup, op4_token_files, op5_byte_bpe, op6_embedding_near_dedup, op7_quality_classifier, op8_shards, op9_pii, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
