@@ -21,8 +21,10 @@ the next. Chunks beyond what the worker's memory of them holds are encoded anew.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ from posetrie.llm.bpe import BLANK
 from posetrie.llm.common import list_array, new_folder, rows_of, slices
 
 _CHUNK = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
-#: Chunks that a worker remembers (some 150 bytes each), and how long they may be.
-REMEMBERED, SHORT = 400_000, 48
+#: Chunks that a worker remembers (some 230 bytes each), and how long they may be.
+REMEMBERED, SHORT = 1_000_000, 48
 STRIPE_BYTES, STRIDE = 32 << 20, 1000
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start_in_file", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -41,8 +43,6 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sta
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str):
     """The tokenizer of a file of the tokenizers library; special tokens' strings in a text are ordinary text."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -55,17 +55,15 @@ def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
     """The ids of each whole text (without special tokens)."""
     tok, known = tokenizer(path)
     split = [_CHUNK.findall(x) if x else [] for x in texts]
-    new = list({c for chunks in split for c in chunks if c not in known})
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list({c for chunks in split for c in chunks})
-    for c, e in zip(new, tok.encode_batch(new, add_special_tokens=False)):
-        known[c] = np.array(e.ids, np.uint32).tobytes()
-    out = [np.frombuffer(b"".join([known[c] for c in chunks]), np.uint32).astype(np.int32) for chunks in split]
-    for c in new:
-        if len(c) > SHORT:
-            del known[c]
-    return out
+    found = [list(map(known.get, chunks)) for chunks in split]
+    lacking = [k for k, have in enumerate(found) if not all(have)]
+    new = list({c for k in lacking for c, ids in zip(split[k], found[k]) if ids is None})
+    ids_of = {c: array("I", e.ids).tobytes() for c, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False))}
+    for k in lacking:
+        found[k] = [ids_of[c] if ids is None else ids for c, ids in zip(split[k], found[k])]
+    if len(known) < REMEMBERED:  # frequent chunks come early; what comes later is encoded as it comes
+        known.update((c, ids) for c, ids in ids_of.items() if len(c) <= SHORT)
+    return [np.frombuffer(b"".join(have), np.uint32).astype(np.int32) for have in found]
 
 
 def write(docs: DataFrame, tokenizer_path: str, end: int | None, path: str | None = None, files: int | None = None) -> str:
