@@ -214,3 +214,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     joined = found.select("doc_id", "n", "set_hash").join(of_class, "set_hash", "left")
     component = F.coalesce("label", "doc_id")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs (doc_id, text, more) without the documents that near_duplicates() doesn't keep.
+
+    Rows without an id stay; rows that repeat an id stay or go together.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), words, percent)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -121,3 +121,10 @@ def take(rows: DataFrame, plan: DataFrame) -> DataFrame:
     below = (F.col("at") < F.col("prefix")) & ~F.startswith("at", "prefix") | (F.startswith("at", "prefix") & F.col("last"))
     copies = F.when(F.col("source_size") > 0, F.col("whole") + F.coalesce(below, F.lit(False)).cast("int")).otherwise(0)
     return mixed.withColumn("copies", F.least(copies, F.ceil(F.col("target") / F.greatest("source_size", F.lit(1)))).cast("int")).drop("whole", "prefix", "last")
+
+
+def mixed(docs: DataFrame, weights: Sequence[float], most: int = 3, seed: int = 0) -> DataFrame:
+    """The mix itself: every row of docs (doc_id, source, text, more) as often as it is taken."""
+    rows = sized(docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), seed, ["row"])
+    taken = take(rows, plan(cut(rows.drop("row")), weights, most)).where("copies > 0")
+    return taken.select(F.explode(F.sequence(F.lit(1), "copies")).alias("copy"), "row").select("row.*")

@@ -26,7 +26,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from posetrie.llm.common import cut, slices
+from posetrie.llm.common import cut, fresh, slices
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -191,6 +191,60 @@ def find(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     return joined.select(*keep, "base", spans.alias("spans"))
 
 
+#: Reliable patterns (some 60 bytes each) up to which workers get them all; beyond it spans are joined to texts.
+MOST_BROADCAST = 50_000
+
+
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """text with each span, or run of overlapping ones, replaced by the first one's kind in brackets."""
+    out, end = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]))):
+        if a >= end:
+            out += [text[end:a], f"[{kind.upper()}]"]
+        end = max(end, b)
+    return "".join([*out, text[end:]])
+
+
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with personal data in the texts masked; a column n_chars, if there is one, follows the new text."""
+    length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    at = docs.columns.index(text)
+    only = docs.select(F.col(f"`{text}`").alias("text"))
+    seen = scan(only, []).select(F.explode("seen").alias("s")).select("s.kind", "s.value", "s.pattern", "s.seed")
+    good = cut(reliable(seen))
+    few = good.count() <= MOST_BROADCAST
+    known = {(r[0], r[1]) for r in good.collect()} if few else set()
+    schema = T.StructType([*docs.schema.fields])
+    rows = docs
+    if not few:
+        key, spans = fresh(docs, "key"), fresh(docs, "spans")
+        keyed = docs.withColumn(key, F.xxhash64(text))
+        found = find(keyed.select(F.col(key).alias("key"), F.col(f"`{text}`").alias("text")), ["key"]).dropDuplicates(["key"])
+        rows = keyed.join(found.select(F.col("key").alias(key), F.col("spans").alias(spans)), key, "left").select(*(F.col(f"`{c}`") for c in docs.columns), spans)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                new = []
+                more = part.column(part.num_columns - 1).to_pylist() if not few else [None] * part.num_rows
+                for x, given in zip(part.column(at).to_pylist(), more):
+                    if x:
+                        base = base_spans(x)
+                        if few and known:
+                            base = base + [(s[0], s[1], s[2]) for s in instances(x, base) if not s[5] and (s[4], s[0]) in known]
+                        elif given:
+                            base = [(s["kind"], s["start"], s["end"]) for s in given]
+                        x = masked(x, base) if base else x
+                    new.append(x)
+                columns = list(part.columns[: len(schema)])
+                columns[at] = pa.array(new, pa.string())
+                if length is not None:
+                    columns[length] = pa.array([None if x is None else len(x) for x in new], columns[length].type)
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def written(spans: Column) -> Column:
     """kind:start:end of an array of spans, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -119,14 +119,21 @@ def base_failed(f: str) -> Column:
     return (n < LEAST_WORDS) | (100 * again > MOST_REPEATED * n)
 
 
-def judge(docs: DataFrame, text: str = "text", prefix: str = "", least: float = 0.5) -> DataFrame:
-    """docs with figures (a struct), base_failed, p_good and kept, named with prefix where the names are taken.
+def judge(docs: DataFrame, text: str = "text", least: float = 0.5, to: tuple[str, str, str, str] = ("figures", "base_failed", "p_good", "kept")) -> DataFrame:
+    """docs with figures (a struct), base_failed, p_good and kept, or what `to` calls them; these names must be free.
 
     The texts are read twice: once to count votes, once to judge; no text is shuffled or stored.
     """
-    f, key = fresh(docs, "figures"), fresh(docs, "votes")
-    figured = with_figures(docs, text, f)
-    counted = with_figures(docs.select(F.col(f"`{text}`").alias("text")), "text", "figures").select(labelmodel.code(votes("figures")).alias(key))
+    f, failed, p, kept = to
+    key = fresh(docs, "votes")
+    counted = with_figures(docs.select(F.col(f"`{text}`").alias("text")), "text", "f").select(labelmodel.code(votes("f")).alias(key))
     _, posterior = labelmodel.fit_codes(counted, key, N_RULES)
-    judged = figured.withColumn(key, labelmodel.code(votes(f))).join(F.broadcast(posterior), key, "left").drop(key)
-    return judged.withColumn("base_failed", base_failed(f)).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
+    judged = with_figures(docs, text, f).withColumn(key, labelmodel.code(votes(f)))
+    judged = judged.join(F.broadcast(posterior.withColumnRenamed("p_good", p)), key, "left").drop(key)
+    return judged.withColumn(failed, base_failed(f)).withColumn(kept, ~F.col(failed) & (F.col(p) >= least))
+
+
+def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that judge() keeps, with the columns of docs, whatever their names."""
+    to = tuple(fresh(docs, x) for x in ("figures", "base_failed", "p_good", "kept"))
+    return judge(docs, text, least, to).where(F.col(to[3])).select(*(F.col(f"`{c}`") for c in docs.columns))
