@@ -12,11 +12,14 @@ every coordinate is filled; nearly always the first few rounds do. Two sets agre
 with probability equal to their Jaccard similarity, concentrated as if coordinates were independent.
 
 Documents with equal sets are one class, represented by its least id. Classes that share a band are
-candidates. In each bucket only pivots are compared with the other members: first one, then (in
-buckets that still hold several components) the next 8, then 64, then all others; pairs that links
-join already aren't compared. So a bucket of copies, of whatever size, takes one comparison a member,
-and still every candidate pair is compared or known to be connected. Candidates whose sizes or
-sketches rule them out are dropped, the others are compared on their full sets.
+candidates. First, every member of a bucket is compared with the bucket's pivot alone, the same
+document in as many buckets as can be, so that a bucket of copies of any size takes a comparison a member. Buckets
+that still hold several components are left; their members are joined exactly, by prefixes: with all
+shingles in order of their frequency among these documents, two sets at the asked similarity share
+one of the rarest n - ceil(percent * n) + 1 of the larger set and of the (still fewer) rarest of the smaller, early enough
+to leave room for the rest. So many documents that share a frequent passage, and differ elsewhere,
+make no pairs. Candidates whose sizes or sketches rule them out are dropped, the others are compared
+on their full sets; pairs that links join already aren't compared.
 
 With 6 rows and 40 bands, a pair at similarity 0.8 misses all bands with probability 5e-6.
 
@@ -36,7 +39,6 @@ from posetrie.llm.components import components
 
 ROWS, BANDS = 6, 40
 T_BINS = ROWS * BANDS
-PIVOTS = (1, 8, 64, None)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -142,11 +144,11 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
 def alike(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb, ma, mb) that sizes and sketches don't rule out.
 
-    The share of agreeing coordinate bytes estimates the similarity; it falls short of it by 0.2 (more
-    than 7 deviations at 0.8) with probability below 1e-10.
+    The share of agreeing coordinate bytes estimates the similarity; it falls short of it by 0.14 (more
+    than 5 deviations at 0.8) with probability below 1e-6.
     """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    floor = (percent / 100 - 0.2) * T_BINS
+    floor = (percent / 100 - 0.14) * T_BINS
 
     def run(batches):
         for batch in batches:
@@ -176,6 +178,32 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return both.where(100 * common >= percent * (F.size("ia") + F.size("ib") - common)).select("a", "b")
 
 
+def prefix_pairs(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (rep, label) of different labels, among which are all at percent similarity.
+
+    An exact filter by prefixes and positions; b is the smaller set.
+    """
+    wanted = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = cut(sets_of(wanted, words).join(members.withColumnRenamed("rep", "id"), "id"))
+    items = sets.select("id", "label", F.size("items").alias("n"), F.explode("items").alias("item"))
+    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
+    own = Window.partitionBy("id").orderBy("often", "item")
+    placed = items.join(often, "item").withColumn("pos", F.row_number().over(own))
+    # items shared by an i-th and j-th place leave room for 1 + min(n - i, n' - j) in common
+    probe = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = cut(placed.where((F.col("pos") <= probe) & (F.col("often") > 1)).select("item", "id", "label", "n", "pos"))
+    a, b = prefix.alias("a"), prefix.alias("b")
+    least = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
+    fits = (
+        (F.col("a.item") == F.col("b.item"))
+        & (F.col("a.label") != F.col("b.label"))
+        & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") > F.col("b.id"))))
+        & (100 * F.col("b.n") >= percent * F.col("a.n"))
+        & (1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= least)
+    )
+    return a.join(b, fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -184,32 +212,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = some.groupBy("set_hash", "n").agg(F.min("doc_id").alias("rep"))
     nodes = cut(some.join(classes.drop("n"), "set_hash").where("doc_id = rep").select("rep", "n", "marks", "bands").dropDuplicates(["rep"]))
     keys = nodes.select("rep", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    # members of each bucket in a fixed random order, which differs from band to band
-    buckets = cut(keys.join(shared.drop("members"), ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "rep", F.xxhash64("band", "rep").alias("turn")))
-    links, label = None, None
-    done: list[int] = []
-    for upto in PIVOTS:
-        live = buckets.withColumn("label", F.col("rep")) if label is None else buckets.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed = live.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("turn", "rep")).alias("first")).where("x <> y")
-        if not done:
-            pairs = live.join(mixed.select("bucket", "first"), "bucket").select(F.col("rep").alias("a"), F.col("first.rep").alias("b"))
-        else:
-            open_ = cut(live.join(mixed.select("bucket"), "bucket"))
-            if open_.isEmpty():
-                break
-            ranked = open_.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "rep")))
-            pivots = ranked.where(F.col("rank") > done[-1]) if upto is None else ranked.where(F.col("rank").between(done[-1] + 1, upto))
-            p = pivots.select("bucket", F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("rank").alias("rank_b"))
-            pairs = ranked.join(p, "bucket").where("rank > rank_b AND label <> label_b").select(F.col("rep").alias("a"), "b")
-        done.append(upto)
+    shared = keys.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("rep").alias("turn"), "rep")).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = cut(keys.join(shared, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "rep", F.col("first.rep").alias("pivot")))
+
+    def linked(pairs: DataFrame) -> DataFrame:
         a = nodes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma"))
         b = nodes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb"))
-        pairs = pairs.where("a <> b").distinct()
         likely = cut(alike(pairs.join(a, "a").join(b, "b"), percent))
-        new = cut(verified(likely, docs, words, percent))
-        links = new if links is None else links.unionByName(new)
-        label = components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
+        return cut(verified(likely, docs, words, percent))
+
+    def labels(links: DataFrame) -> DataFrame:
+        return components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
+
+    stars = linked(buckets.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
+    live = buckets.join(labels(stars), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = live.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    left = cut(live.join(mixed, "bucket").select("rep", "label").distinct())
+    label = labels(stars.unionByName(linked(prefix_pairs(left, docs, words, percent))))
     of_class = classes.join(label, "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("label"))
     joined = found.select("doc_id", "n", "set_hash").join(of_class, "set_hash", "left")
     component = F.coalesce("label", "doc_id")
