@@ -24,87 +24,90 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from posetrie.llm.common import cut
+from posetrie.llm.common import cut, rows_of, slices
 from posetrie.llm.components import components
 
-TREES, LEVELS, SPILL = 10, 24, 0.06
+TREES, LEVELS, SPILL = 10, 20, 0.06
 #: Classes in a leaf, and in a block of a node that can't be split.
 LEAF = 600
 
 
-def directions(dim: int, trees: int, level: int, seed: int) -> np.ndarray:
-    """A unit vector for each tree at a level."""
-    d = np.random.default_rng([seed, level, dim]).standard_normal((trees, dim))
-    return d / np.linalg.norm(d, axis=1, keepdims=True)
+def directions(dim: int, trees: int, seed: int) -> np.ndarray:
+    """A unit vector for each tree and level, as columns."""
+    d = np.random.default_rng([seed, dim]).standard_normal((dim, trees * LEVELS))
+    return d / np.linalg.norm(d, axis=0)
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """(label, unit, rep, n) of vectors (vec_id, embedding, label): one row for each different usable vector; unit has length 1."""
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
+    """(label, embedding, rep, n) of vectors (vec_id, embedding, label): one row for each different usable vector."""
+    square = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x)
     sound = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = vectors.where(sound).select("vec_id", "label", "embedding", norm.alias("norm")).where("norm > 0")
-    return usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("n"), F.first("norm").alias("norm"))
+    usable = vectors.where(sound).withColumn("square", F.when(sound, square)).where("square > 0")
+    return usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("n"))
 
 
-def projected(nodes: DataFrame, level: int, seed: int) -> DataFrame:
-    """nodes with `at`: each row's projection on its tree's direction at the level."""
-    schema = T.StructType([*nodes.schema.fields, T.StructField("at", T.DoubleType())])
-    v, t = nodes.columns.index("vector"), nodes.columns.index("tree")
+def unit(rows) -> np.ndarray:
+    """Vectors of one length, scaled to length 1 in double precision."""
+    v = np.stack(rows).astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # squares of the largest numbers would not be finite
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
+def planted(found: DataFrame, seed: int) -> DataFrame:
+    """(rep, tree, node, dim, ways): every class at the root of each tree, with its projections at all levels."""
+    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("root", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("ways", T.ArrayType(T.ArrayType(T.FloatType())))])
 
     def run(batches):
+        ways: dict[int, np.ndarray] = {}
         for batch in batches:
-            at = np.zeros(batch.num_rows)
-            trees = batch.column(t).to_numpy()
-            rows = [np.frombuffer(x.as_buffer()) for x in batch.column(v)]
-            sizes = np.array([len(x) for x in rows])
-            for dim in np.unique(sizes):
-                k = np.flatnonzero(sizes == dim)
-                way = directions(int(dim), TREES, level, seed)
-                at[k] = np.einsum("ij,ij->i", np.stack([rows[i] for i in k]), way[trees[k]])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=schema.names)
-
-    return nodes.mapInArrow(run, schema)
-
-
-def leaves(of: DataFrame, cosine: float, leaf: int, seed: int) -> DataFrame:
-    """(tree, node, rep, vector, size) of classes (label, vector, rep): every class's leaves and their sizes."""
-    rows = of.select("rep", "vector", F.xxhash64("label", F.octet_length("vector")).alias("node"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+            for part in slices(batch, 1024):
+                rows = list(rows_of(part.column(2)))
+                sizes = np.array([len(x) for x in rows])
+                flat = np.empty((len(rows), TREES * LEVELS), np.float32)
+                for dim in np.unique(sizes):
+                    k = np.flatnonzero(sizes == dim)
+                    if dim not in ways:
+                        ways[dim] = directions(int(dim), TREES, seed)
+                    flat[k] = unit([rows[i] for i in k]) @ ways[dim]
+                inner = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, LEVELS), pa.int32()), pa.array(flat.ravel()))
+                outer = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * TREES + 1, TREES), pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes.astype(np.int32)), outer], names=schema.names)
+
+    rooted = found.select("rep", F.xxhash64("label", F.size("embedding")).alias("root"), "embedding").mapInArrow(run, schema)
+    return rooted.select("rep", "dim", F.posexplode("ways").alias("tree", "ways"), F.col("root").alias("node"))
+
+
+def leaves(rows: DataFrame, cosine: float, leaf: int) -> DataFrame:
+    """(tree, node, rep, size): every class's leaves with their sizes, of rows (rep, tree, node, dim, ways)."""
     done = None
-    for level in range(LEVELS):
-        sizes = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size"))
-        sized = rows.join(sizes, ["tree", "node"])
-        ready = sized.where(F.col("size") <= leaf).select("tree", "node", "rep", "vector", "size")
-        done = ready if done is None else done.unionByName(ready)
-        large = cut(projected(sized.where(F.col("size") > leaf).drop("size"), level, seed))
-        if large.isEmpty():
-            return done
-        marks = large.groupBy("tree", "node").agg(F.percentile_approx("at", [0.05, 0.5 - SPILL, 0.5 + SPILL, 0.95], 1000).alias("q"))
-        split = large.join(marks, ["tree", "node"])
+    for level in range(LEVELS + 1):
+        at = F.element_at("ways", min(level, LEVELS - 1) + 1)
+        nodes = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size"), F.first("dim").alias("dim"), F.percentile_approx(at, [0.05, 0.5 - SPILL, 0.5 + SPILL, 0.95], 1000).alias("q"))
         # as narrow as vectors that are linked with each other: a split would only part them
-        narrow = F.col("q")[3] - F.col("q")[0] < 3 * (2 - 2 * cosine) ** 0.5 / F.sqrt(F.octet_length("vector") / 8)
-        stuck = split.where(narrow).select("tree", "node", "rep", "vector")
-        counted = stuck.join(stuck.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size")), ["tree", "node"])
-        done = done.unionByName(counted.select("tree", "node", "rep", "vector", "size"))
-        sides = F.array_compact(F.array(F.when(F.col("at") <= F.col("q")[2], 0), F.when(F.col("at") >= F.col("q")[1], 1)))
-        moved = split.where(~narrow).select("tree", "rep", "vector", "node", F.explode(sides).alias("side"))
-        rows = cut(moved.select("rep", "vector", F.xxhash64("node", "side").alias("node"), "tree"))
-    sizes = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size"))
-    return done.unionByName(rows.join(sizes, ["tree", "node"]).select("tree", "node", "rep", "vector", "size"))
-
-
-def compared(held: DataFrame, cosine: float, leaf: int) -> DataFrame:
-    """(a, b) with a < b: the pairs within a leaf at cosine or more."""
+        narrow = F.col("q")[3] - F.col("q")[0] < 3 * (2 - 2 * cosine) ** 0.5 / F.sqrt("dim")
+        split = (F.col("size") > leaf) & ~narrow if level < LEVELS else F.lit(False)
+        nodes = cut(nodes.select("tree", "node", "size", "q", split.alias("split")))
+        ready = rows.join(nodes.where("NOT split").select("tree", "node", "size"), ["tree", "node"]).select("tree", "node", "rep", "size")
+        done = ready if done is None else done.unionByName(ready)
+        if nodes.where("split").isEmpty():
+            break
+        moving = rows.join(nodes.where("split").select("tree", "node", "q"), ["tree", "node"])
+        sides = F.array_compact(F.array(F.when(at <= F.col("q")[2], 0), F.when(at >= F.col("q")[1], 1)))
+        rows = cut(moving.select("rep", "tree", "dim", "ways", "node", F.explode(sides).alias("side")).select("rep", "tree", F.xxhash64("node", "side").alias("node"), "dim", "ways"))
+    return done
+
+
+def compared(held: DataFrame, found: DataFrame, cosine: float, leaf: int) -> DataFrame:
+    """(a, b) with a < b: the pairs of classes within a leaf at cosine or more."""
     blocks = F.ceil(F.col("size") / leaf).cast("int")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     # a row in block i takes part in the tasks (i, j) and (j, i): all pairs of blocks meet once
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y")))
     tasks = held.withColumn("blocks", blocks).withColumn("block", block).withColumn("task", F.explode(others))
-    tasks = tasks.select("tree", "node", "task.x", "task.y", "block", "rep", "vector")
-    schema = "a long, b long"
+    tasks = tasks.join(found.select("rep", "embedding"), "rep").select("tree", "node", "task.x", "task.y", "block", "rep", "embedding")
 
     def pairs(key, part):
-        v = np.stack([np.frombuffer(x.as_buffer()) for x in part.column("vector").combine_chunks()])
+        v = unit([x for c in part.column("embedding").chunks for x in rows_of(c)])
         ids, block = part.column("rep").to_numpy(), part.column("block").to_numpy()
         x, y = key[2].as_py(), key[3].as_py()
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
@@ -113,21 +116,13 @@ def compared(held: DataFrame, cosine: float, leaf: int) -> DataFrame:
         keep = (a < b) if x == y else (a != b)
         return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
 
-    return tasks.groupBy("tree", "node", "x", "y").applyInArrow(pairs, schema).distinct()
+    return tasks.groupBy("tree", "node", "x", "y").applyInArrow(pairs, "a long, b long").distinct()
 
 
 def links(vectors: DataFrame, cosine: float, leaf: int = LEAF, seed: int = 6) -> tuple[DataFrame, DataFrame]:
     """Classes (label, embedding, rep, n) and the links (a, b) between their representatives."""
     found = cut(classes(vectors))
-    schema = T.StructType([T.StructField("label", found.schema["label"].dataType), T.StructField("rep", T.LongType()), T.StructField("vector", T.BinaryType())])
-
-    def unit(batches):
-        for batch in batches:
-            rows = [np.asarray(x, np.float64) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([(x / np.sqrt(x @ x)).tobytes() for x in rows], pa.binary())], names=schema.names)
-
-    units = found.select("label", "rep", "embedding").mapInArrow(unit, schema)
-    return found, cut(compared(leaves(units, cosine, leaf, seed), cosine, leaf))
+    return found, cut(compared(leaves(cut(planted(found, seed)), cosine, leaf), found, cosine, leaf))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, leaf: int = LEAF, seed: int = 6) -> DataFrame:
