@@ -1,6 +1,292 @@
-"""Queries of the pose index and their SQL, by name."""
+"""Queries of the pose index, by name."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from posetrie.config import DEFAULT, KEYPOINTS, PoseConfig
+from posetrie.functions import octree, pose as P, rotation
+from posetrie.operators import evaluate, predict, rank, train
+from posetrie.plans import oracle
+from posetrie.plans.poses import ABSOLUTE_POSE, COARSE_POSE, LINE_KEYS, LINE_POSE, embedded, line_paths, pose, table
+from posetrie.sources import metadata, model
+from posetrie.streaming import training
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _xyz(df: DataFrame, keys, column: str = "pose") -> DataFrame:
+    """keys and one column an axis of every keypoint."""
+    return df.select(*keys, *(F.col(column)[k][a].alias(f"{k}_{a}") for k in KEYPOINTS for a in "xyz"))
+
+
+LINE = ("l_orderkey", "l_linenumber")
+
+
+@query
+def pose_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absolute poses of maps by name, made relative to the hips."""
+    absolute = pose(ABSOLUTE_POSE)
+    as_map = F.create_map(*(x for k in KEYPOINTS for x in (F.lit(k), F.array(*(absolute[k][a] for a in "xyz")))))
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, as_map.alias("keypoints"))
+    return _xyz(rows.select(*LINE, P.coerce(rows, "keypoints").alias("pose")), LINE)
+
+
+@query
+def pose_validate_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which keypoints a map lacks: line n has its first n names only."""
+    names = F.slice(F.array(*map(F.lit, KEYPOINTS)), F.lit(1), F.least("l_linenumber", F.lit(len(KEYPOINTS))))
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, F.map_from_arrays(names, F.transform(names, lambda n: F.array(F.lit(0.0)))).alias("keypoints"))
+    lacking = P.missing(F.col("keypoints"))
+    return rows.select(*LINE, F.array_join(lacking, ",").alias("missing"), (F.size(lacking) == 0).alias("complete"))
+
+
+@query
+def keypoints_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each keypoint of a pose, in order."""
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, F.explode(P.listed(pose(LINE_POSE))).alias("k"))
+    return rows.select(*LINE, "k.pos", "k.name", "k.x", "k.y", "k.z")
+
+
+@query
+def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths in three units."""
+    unit = F.element_at(F.array(F.lit("original"), F.lit("cm"), F.lit("m")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").select(*LINE, unit.alias("unit"), P.scaled(F.col("l_extendedprice"), unit).alias("length"))
+
+
+@query
+def octant_level1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The octant of each embedding-derived keypoint in the root box."""
+    p, root = pose(embedded(0)), octree.box((-100,) * 3, (100,) * 3)
+    return table(spark, sf_dir, "embeddings").select("vec_id", *(octree.octant(p[k], root).alias(k) for k in KEYPOINTS))
+
+
+@query
+def octant_levels_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of every level of embedding-derived poses."""
+    rows = octree.with_path(table(spark, sf_dir, "embeddings").select("vec_id", pose(embedded(0)).alias("pose")), "pose")
+    return rows.select("vec_id", F.posexplode(octree.codes(F.col("path"))).alias("level", "code")).withColumn("level", F.col("level") + 1)
+
+
+@query
+def combination_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Octants joined into a code, and as model files write it."""
+    octants = F.array(*((F.col("l_linenumber") + k).cast("int") % 8 for k in range(6)))
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, octree.code(octants).alias("code"))
+    return rows.select("*", octree.child_key(F.col("code")).alias("key"), octree.code_of_key(F.concat(F.lit(" "), octree.child_key(F.col("code")), F.lit(", "))).alias("read_back"))
+
+
+@query
+def pose_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole paths of lineitem's poses."""
+    return line_paths(spark, sf_dir).select(*LINE, "path")
+
+
+@query
+def bbox_subdivide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part of a box that grows with the order, by octant."""
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, "l_quantity", (F.col("l_linenumber") % 8).cast("int").alias("octant"))
+    part = octree.subdivide(octree.box([-F.col("l_quantity")] * 3, [F.col("l_quantity") * 3] * 3), F.col("octant"))
+    made = rows.select(*LINE, "octant", part.alias("b"))
+    sides = [F.col("b")[end][a].alias(f"{end}_{a}") for end in ("min", "max") for a in "xyz"]
+    return made.select(*LINE, "octant", *sides, octree.center(F.col("b"))["x"].alias("center_x"), octree.size(F.col("b"))["x"].alias("size_x"))
+
+
+@query
+def bbox_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The left wrist's box at the node four levels down."""
+    rows = line_paths(spark, sf_dir).select(F.substring("path", 1, 24).alias("node_path")).distinct()
+    made = rows.select("node_path", octree.box_of_path(F.col("node_path"), KEYPOINTS.index("left_wrist")).alias("b"))
+    return made.select("node_path", *(F.col("b")[end][a].alias(f"{end}_{a}") for end in ("min", "max") for a in "xyz"))
+
+
+def _counts(spark: SparkSession, sf_dir: str, where: str = "true", coordinates: dict = LINE_POSE) -> DataFrame:
+    return train.counts(line_paths(spark, sf_dir, coordinates).where(where).select("path", F.col("l_returnflag").alias("label")))
+
+
+@query
+def tree_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train.nodes(_counts(spark, sf_dir)).select("depth", "node_path", "total_samples")
+
+
+@query
+def tree_label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train.nodes(_counts(spark, sf_dir)).select("depth", "node_path", F.explode("sample_counts").alias("label", "n"))
+
+
+@query
+def tree_resolved_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train.nodes(_counts(spark, sf_dir)).select("depth", "node_path", "resolved_label")
+
+
+@query
+def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many children each inner node has."""
+    return train.children(train.nodes(_counts(spark, sf_dir))).groupBy("parent_path").agg(F.count(F.lit(1)).alias("n_children"), F.sum("total_samples").alias("samples_below"))
+
+
+@query
+def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train.leaves(train.nodes(_counts(spark, sf_dir))).select("depth", "node_path", "total_samples")
+
+
+@query
+def tree_depth_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and samples by depth."""
+    return train.nodes(_counts(spark, sf_dir)).groupBy("depth").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("total_samples").alias("n_samples"))
+
+
+@query
+def tree_rollup_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coarse poses' counts, which the SQL makes by ROLLUP over the twelve codes."""
+    return _counts(spark, sf_dir, coordinates=COARSE_POSE)
+
+
+@query
+def tree_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of finished and open lines, merged."""
+    return train.merge(_counts(spark, sf_dir, "l_linestatus = 'F'"), _counts(spark, sf_dir, "l_linestatus <> 'F'"))
+
+
+@query
+def tree_stale_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live counts of all lines beside labels that only finished lines have decided."""
+    old = train.nodes(_counts(spark, sf_dir, "l_linestatus = 'F'"))
+    return train.stale(old, _counts(spark, sf_dir)).select("depth", "node_path", "total_samples", "resolved_label")
+
+
+def _predicted(spark: SparkSession, sf_dir: str, config: PoseConfig = DEFAULT, nodes: DataFrame | None = None) -> DataFrame:
+    """All lines' predictions by a tree of the finished ones."""
+    nodes = train.nodes(_counts(spark, sf_dir, "l_linestatus = 'F'")) if nodes is None else nodes
+    return predict.predict(line_paths(spark, sf_dir), nodes, config)
+
+
+@query
+def predict_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicted(spark, sf_dir).select(*LINE, "predicted")
+
+
+@query
+def predict_path_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicted(spark, sf_dir).select(*LINE, F.explode("steps").alias("s")).select(*LINE, "s.*")
+
+
+@query
+def predict_termination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicted(spark, sf_dir).select(*LINE, "terminated_at_depth", "fallback_triggered")
+
+
+@query
+def predict_miss_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poses of embeddings looked up in the lines' tree: most stop near the root."""
+    rows = octree.with_path(table(spark, sf_dir, "embeddings").select("vec_id", pose(embedded(0)).alias("pose")), "pose")
+    return predict.predict(rows, train.nodes(_counts(spark, sf_dir))).select("vec_id", "predicted", "terminated_at_depth", "fallback_triggered")
+
+
+def _stale_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train.stale(train.nodes(_counts(spark, sf_dir, "l_linestatus = 'F'")), _counts(spark, sf_dir))
+
+
+@query
+def predict_ancestor_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes newer than the last finalisation have no label; their nearest labelled ancestor's holds."""
+    return _predicted(spark, sf_dir, nodes=_stale_nodes(spark, sf_dir)).select(*LINE, "predicted", "terminated_at_depth")
+
+
+@query
+def predict_no_fallback_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicted(spark, sf_dir, PoseConfig(fallback="none"), _stale_nodes(spark, sf_dir)).select(*LINE, "predicted", "terminated_at_depth")
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicted(spark, sf_dir).select(F.col("l_returnflag").alias("expected"), "predicted")
+
+
+@query
+def eval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.accuracy(_judged(spark, sf_dir))
+
+
+@query
+def eval_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion(_judged(spark, sf_dir))
+
+
+@query
+def eval_empty_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.accuracy(_judged(spark, sf_dir).where("false"))
+
+
+@query
+def rank_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of every line's path from the path of the middle pose."""
+    middle = "0" * DEFAULT.width * DEFAULT.max_depth
+    return line_paths(spark, sf_dir).select(*LINE, rank.distance(F.lit(middle), F.col("path")).alias("distance"))
+
+
+@query
+def rank_top5_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every nation as a query pose, the five nearest of all lines' paths."""
+    at = {k: tuple(f"n_nationkey*{i + j + 1}e0-{10 * i}e0" for j in range(3)) for i, k in enumerate(KEYPOINTS)} | {"hips": ("0e0",) * 3}
+    queries = octree.with_path(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), pose(at).alias("pose")), "pose")
+    samples = line_paths(spark, sf_dir).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), "path").groupBy("path").agg(F.min("pos").alias("pos"))
+    return rank.nearest_each(queries, samples).select("query_id", "pos", "distance", "rank")
+
+
+@query
+def euler_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rotation matrices of three angles."""
+    m = rotation.matrix_zyx(F.col("l_quantity") * 7.0, F.col("l_discount") * 900.0, F.col("l_tax") * 1000.0)
+    return table(spark, sf_dir, "lineitem").select(*LINE, *(F.round(m[i][j], 6).alias(f"m{i}{j}") for i in range(3) for j in range(3)))
+
+
+@query
+def fk_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of a chain of three joints."""
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, "l_quantity", "l_discount", "l_tax")
+    angles = [(F.col("l_quantity"), F.lit(0.0), F.lit(0.0)), (F.lit(5.0), F.col("l_discount") * 300.0, F.lit(0.0)), (F.lit(0.0), F.lit(-10.0), F.col("l_tax") * 400.0)]
+    p = rotation.chain_end(angles, [(1.0, 2.0, 0.5), (0.0, 3.0, -0.25), (2.0, 0.0, 1.0)])
+    return rows.select(*LINE, *(F.round(c, 6).alias(a) for c, a in zip(p, "xyz")))
+
+
+@query
+def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples' metadata of documents of JSON: which are kept, under what name, with how many codes."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.expr(oracle.METADATA_JSON).alias("json"))
+    kept = metadata.samples_of(rows.select("pos", F.parse_json("json").alias("sample")))
+    return kept.select("pos", "sample_name", F.size("combination_indices").alias("n_codes"), F.array_join("combination_indices", ",").alias("codes"))
+
+
+@query
+def bvh_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keypoints of the library's own clip, frame by frame."""
+    from posetrie.sources import bvh, clips
+
+    return bvh.keypoints_long(bvh.keypoints(spark, clips.example(spark)))
+
+
+@query
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coarse poses' tree written as nested JSON and read back."""
+    tree = train.nodes(_counts(spark, sf_dir, coordinates=COARSE_POSE))
+    path = model.new_folder(spark, "tree-json")
+    model.write_json(tree, path)
+    return model.read_json(spark, path).select("depth", "node_path", "total_samples", "resolved_label", F.explode_outer("sample_counts").alias("label", "n"))
+
+
+@query
+def stream_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the coarse poses by a stream over lineitem, as they stand at its end."""
+    lines = table(spark, sf_dir, "lineitem")
+    stream = spark.readStream.schema(lines.schema).parquet(f"{sf_dir}/lineitem*.parquet")
+    samples = octree.with_path(stream.select(F.col("l_returnflag").alias("label"), pose(COARSE_POSE).alias("pose")), "pose")
+    return training.run_once(samples.select("path", "label"), model.new_folder(spark, "stream-train")).select("depth", "node_path", "total_samples", "resolved_label")
+
+
+ORACLE_SQL = oracle.SQL
