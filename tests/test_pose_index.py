@@ -359,3 +359,20 @@ def test_matrix_and_turns_agree(spark):
     t = rotation.turned("z", angles[0], rotation.turned("y", angles[1], rotation.turned("x", angles[2], v)))
     row = spark.range(1).select(*m, *t).first()
     assert all(abs(row[k] - row[k + 3]) < 1e-12 for k in range(3))
+
+
+def test_asking_a_model(spark, tmp_path):
+    from posetrie.query import ask, sample_metadata
+
+    clip = clips.example(spark)
+    placed = octree.with_path(bvh.keypoints(spark, clip), "pose").withColumn("sample_name", F.concat(F.lit("f"), F.col("frame_index").cast("string")))
+    model.save(train.nodes(train.counts(placed.select("path", F.col("sample_name").alias("label")))), str(tmp_path / "m"))
+    named = sample_metadata(placed).select(F.to_json(F.struct("*")).alias("json"), "sample_name").orderBy("sample_name")
+    lines = [r.json for r in named.collect()]
+    (tmp_path / "s.json").write_text('{"samples":[' + ",".join(lines) + "]}")
+    got = ask(spark, clip, 1, str(tmp_path / "m"), str(tmp_path / "s.json"))
+    row = got.prediction.first()
+    assert (row.predicted, row.terminated_at_depth, row.fallback_triggered) == ("f1", 12, False)
+    near = got.candidates.collect()
+    assert near[0].sample_name == "f1" and near[0].distance == 0.0 and len(near) == 3
+    assert ask(spark, clip, 1, str(tmp_path / "m"), str(tmp_path / "none.json")).candidates.count() == 0
