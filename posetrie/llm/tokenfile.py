@@ -13,9 +13,12 @@ A null text counts as empty and has the end id alone; a null doc_id sorts first.
 doc_id stand together, in order of a hash of the text. An empty table has no rows to read back.
 Columns beyond doc_id and text aren't written.
 
-The tokenizers library encodes each distinct chunk once in a worker: a chunk is a run of white space
-and the run of other characters after it, and no pre-token of byte-level BPE goes on from one chunk to
-the next. Chunks beyond what the worker's memory of them holds are encoded anew.
+The tokenizers library encodes each distinct part of the texts once in a worker. Texts are cut before
+single spaces that follow other characters than white space (where white space is mixed, into runs of
+white space with the run of other characters after it), and a word once more before its first
+punctuation that follows a letter: no pre-token of byte-level BPE goes on across such a place. New words
+are encoded many at a time as one text, whose ids fall to the words by the bytes that they stand for.
+Parts beyond what the worker's memory of them holds are encoded anew.
 """
 
 from __future__ import annotations
@@ -28,42 +31,117 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from posetrie.llm.bpe import BLANK
 from posetrie.llm.common import list_array, new_folder, rows_of, slices
 
 _CHUNK = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
-#: Chunks that a worker remembers (some 230 bytes each), and how long they may be.
-REMEMBERED, SHORT = 1_000_000, 48
+_ENDS_BLANK = re.compile(f"[{BLANK}]$|^$")
+_TAIL = re.compile(r"(?<=[A-Za-z])[!-&(-/:-@\[-`{-~]")
+#: Parts that a worker remembers (some 230 bytes each), how long they may be, and how many are encoded as one text.
+REMEMBERED, SHORT, JOINED = 1_000_000, 48, 4096
 STRIPE_BYTES, STRIDE = 32 << 20, 1000
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start_in_file", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """The tokenizer of a file of the tokenizers library; special tokens' strings in a text are ordinary text."""
+    """The tokenizer of a file of the tokenizers library, the bytes of each id, and an empty memory of parts.
+
+    Special tokens' strings in a text are ordinary text.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True
-    return found, {}
+    vocabulary = found.get_vocab()
+    n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        n_bytes[i] = len(token)  # byte-level BPE writes a byte as a character
+    return found, n_bytes, {}
+
+
+def _encode_words(words: list[str], tok, n_bytes: np.ndarray) -> list[bytes]:
+    """The ids of words that begin with a space and end with other characters than white space."""
+    out = []
+    for k in range(0, len(words), JOINED):
+        some = words[k : k + JOINED]
+        ids = np.array(tok.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum([len(w.encode()) for w in some])) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        out += [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+    return out
+
+
+def _encode_parts(parts: list[str], path: str) -> dict[str, bytes]:
+    """The ids of each part by itself."""
+    tok, n_bytes, _ = tokenizer(path)
+    words = [x for x in parts if x[0] == " " and not _ENDS_BLANK.search(x)]
+    others = [x for x in parts if x[0] != " " or _ENDS_BLANK.search(x)]
+    found = dict(zip(words, _encode_words(words, tok, n_bytes)))
+    found.update((x, array("I", e.ids).tobytes()) for x, e in zip(others, tok.encode_batch_fast(others, add_special_tokens=False)))
+    return found
+
+
+def _cut_up(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different parts, the parts of all texts one after the other as places among them, and the text of each."""
+    split = pc.split_pattern(pa.array([x or "" for x in texts], pa.string()), " ")
+    coded = split.values.dictionary_encode()
+    at, starts = coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()
+    pieces = coded.dictionary.to_pylist()
+    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+    # a space may be cut off only after other characters than white space, or at the start
+    unsafe = np.array([_ENDS_BLANK.search(x) is not None for x in pieces], bool)[at]
+    first, last = starts[:-1], starts[1:] - 1
+    lead = np.array([not x or x[0] == " " for x in (y or "" for y in texts)])
+    unsafe[first[lead]] = False
+    unsafe[last] = False
+    parts = [f" {x}" for x in pieces] + [pieces[k] for k in at[first]]
+    at[first] = len(pieces) + np.arange(len(texts))
+    mixed = np.unique(owner[unsafe])
+    keep = ~np.isin(owner, mixed)
+    at, owner = [at[keep]], [owner[keep]]
+    for k in mixed.tolist():
+        chunks = _CHUNK.findall(texts[k])
+        at.append(len(parts) + np.arange(len(chunks)))
+        owner.append(np.full(len(chunks), k))
+        parts += chunks
+    at, owner = np.concatenate(at), np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return parts, at[order], owner[order]
 
 
 def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
     """The ids of each whole text (without special tokens)."""
-    tok, known = tokenizer(path)
-    split = [_CHUNK.findall(x) if x else [] for x in texts]
-    found = [list(map(known.get, chunks)) for chunks in split]
-    lacking = [k for k, have in enumerate(found) if not all(have)]
-    new = list({c for k in lacking for c, ids in zip(split[k], found[k]) if ids is None})
-    ids_of = {c: array("I", e.ids).tobytes() for c, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False))}
+    if not texts:
+        return []
+    known = tokenizer(path)[2]
+    parts, at, owner = _cut_up(texts)
+    ids = list(map(known.get, parts))
+    lacking = [k for k, have in enumerate(ids) if have is None]
+    halves = {}
     for k in lacking:
-        found[k] = [ids_of[c] if ids is None else ids for c, ids in zip(split[k], found[k])]
-    if len(known) < REMEMBERED:  # frequent chunks come early; what comes later is encoded as it comes
-        known.update((c, ids) for c, ids in ids_of.items() if len(c) <= SHORT)
-    return [np.frombuffer(b"".join(have), np.uint32).astype(np.int32) for have in found]
+        part = parts[k]
+        tail = _TAIL.search(part)
+        halves[k] = (part[: tail.start()], part[tail.start() :]) if tail else (part, "")
+    new = _encode_parts(list({x for both in halves.values() for x in both if x and x not in known}), path)
+    new[""] = b""
+    for k, both in halves.items():
+        a, b = (known[x] if x in known else new[x] for x in both)
+        ids[k] = a + b
+    if len(known) < REMEMBERED:  # frequent parts come early; what comes later is encoded as it comes
+        known.update((x, found) for x, found in new.items() if len(x) <= SHORT)
+    sizes = np.array([len(x) for x in ids], np.int64) // 4
+    flat = np.frombuffer(b"".join(ids), np.uint32).astype(np.int32)
+    n = sizes[at]
+    begin = np.cumsum(sizes)[at] - n  # where a part's ids begin in flat
+    upto = np.cumsum(n)
+    taken = flat[np.repeat(begin - upto + n, n) + np.arange(n.sum())]
+    ends = np.cumsum(np.bincount(owner, n, minlength=len(texts)).astype(np.int64))
+    return np.split(taken, ends[:-1])
 
 
 def write(docs: DataFrame, tokenizer_path: str, end: int | None, path: str | None = None, files: int | None = None) -> str:
