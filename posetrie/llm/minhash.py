@@ -12,8 +12,9 @@ every coordinate is filled; nearly always the first few rounds do. Two sets agre
 with probability equal to their Jaccard similarity, concentrated as if coordinates were independent.
 
 Documents with equal sets are one class, represented by its least id. Classes that share a band are
-candidates. First, every member of a bucket is compared with the bucket's pivot alone, the same
-document in as many buckets as can be, so that a bucket of copies of any size takes a comparison a member. Buckets
+candidates. First, every member of a bucket is compared with the bucket's pivot alone (with a few, if
+the bucket is crowded), the same documents in as many buckets as can be, so that a bucket of copies of
+any size takes a few comparisons a member. Buckets
 that still hold several components are left; their members are joined exactly, by prefixes: with all
 shingles in order of their frequency among these documents, two sets at the asked similarity share
 one of the rarest n - ceil(percent * n) + 1 of the larger set and of the (still fewer) rarest of the smaller, early enough
@@ -38,6 +39,8 @@ from posetrie.llm.common import cut, list_array, slices
 from posetrie.llm.components import components
 
 ROWS, BANDS = 6, 40
+#: Pivots of a bucket that has so many members; smaller ones have one.
+PIVOTS, CROWDED = 4, 16
 T_BINS = ROWS * BANDS
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -212,8 +215,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = some.groupBy("set_hash", "n").agg(F.min("doc_id").alias("rep"))
     nodes = cut(some.join(classes.drop("n"), "set_hash").where("doc_id = rep").select("rep", "n", "marks", "bands").dropDuplicates(["rep"]))
     keys = nodes.select("rep", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("rep").alias("turn"), "rep")).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = cut(keys.join(shared, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "rep", F.col("first.rep").alias("pivot")))
+    firsts = [F.min(F.struct(F.xxhash64(F.lit(k), "rep").alias("turn"), "rep"))["rep"] for k in range(PIVOTS)]
+    shared = keys.groupBy("band", "key").agg(F.array(*firsts).alias("firsts"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    pivots = F.slice("firsts", F.lit(1), F.when(F.col("members") >= CROWDED, PIVOTS).otherwise(1)).alias("pivots")
+    buckets = cut(keys.join(shared.select("band", "key", pivots), ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "rep", "pivots"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         a = nodes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma"))
@@ -224,7 +229,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     def labels(links: DataFrame) -> DataFrame:
         return components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
 
-    stars = linked(buckets.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
+    stars = linked(buckets.select(F.col("rep").alias("a"), F.explode("pivots").alias("b")).where("a <> b").distinct())
     live = buckets.join(labels(stars), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = live.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
     left = cut(live.join(mixed, "bucket").select("rep", "label").distinct())
