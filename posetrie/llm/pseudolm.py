@@ -5,9 +5,9 @@ words in OTHER classes by hash. A network sees the SIDE tokens before and the SI
 masked place (embeddings, one tanh layer) and predicts its token; a document's score is the sum of
 the log-probabilities of all its tokens, each predicted from both sides.
 
-Word counts cover all documents. The network is trained in numpy on windows around every RATE-th
-place of every document, so that what it gathers grows with the input; trainers, each on a share of
-the windows, start from common weights, and the means of their weights are the next round's start.
+Word counts cover all documents. The network is trained in numpy on the windows around every
+place of every document (every rate-th one where a caller asks for that). Trainers each take a share of the documents'
+classes and make windows of them batch by batch; they start from common weights, and the means of their weights are the next round's start.
 Only weights reach the driver (some 90 KB a trainer, MOST_TRAINERS at most), and the vocabulary (TOP words).
 
 Null and empty texts have no tokens and score 0 (their score a token is null). Ties of words in
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,10 @@ from posetrie.llm.common import cut, slices
 TOP, OTHER, SIDE, WIDTH, HIDDEN = 192, 64, 3, 16, 32
 CLASSES = TOP + OTHER
 PAD = CLASSES
-RATE, ROUNDS, BATCH = 48, 2, 256
+RATE, ROUNDS, BATCH = 1, 2, 256
 PER_TRAINER, MOST_TRAINERS = 200_000, 256
+#: Windows that a trainer holds, and draws in random order, at a time.
+HELD = 1 << 16
 BLOCK = 2048
 _AROUND = [o for o in range(-SIDE, SIDE + 1) if o]
 
@@ -82,25 +84,41 @@ def stream(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate([np.empty(0, np.int64), *places])
 
 
-def windows(docs: DataFrame, top: list[bytes], rate: int) -> DataFrame:
-    """(key, part): the windows of each document (2 * SIDE + 1 classes of 16 bits each) around every rate-th token."""
+def sequences(docs: DataFrame, top: list[bytes]) -> DataFrame:
+    """(key, part): the classes of each document, 16 bits each."""
 
     def run(batches):
         known = Vocabulary(top)
         for batch in batches:
             for part in slices(batch):
-                held, keys = [], []
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    d = known.classes(text)
-                    s, at = stream([d])
-                    first = zlib.crc32(d.tobytes()) % rate
-                    if some := s[at[first::rate, None] + np.arange(-SIDE, SIDE + 1)].tobytes():
-                        held.append(some)
-                        keys.append(key)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(held, pa.binary())], names=["key", "part"])
+                held = [known.classes(text).tobytes() for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.binary())], names=["key", "part"])
 
     # the id decides the trainer too, so that copies of a text spread out
-    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "key long, part binary")
+    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "key long, part binary").where("octet_length(part) > 0")
+
+
+def windows(parts: Iterable[bytes], rate: int) -> Iterator[np.ndarray]:
+    """The windows (2 * SIDE + 1 classes) around every rate-th token of each document, at most HELD at a time."""
+    around, docs, first, n = np.arange(-SIDE, SIDE + 1), [], [], 0
+
+    def held():
+        s, at = stream(docs)
+        starts = np.cumsum([0, *map(len, docs)])
+        if rate > 1:
+            at = np.concatenate([at[a + f : b : rate] for a, b, f in zip(starts, starts[1:], first)])
+        for k in range(0, len(at), HELD):
+            yield s[at[k : k + HELD, None] + around]
+
+    for part in parts:
+        docs.append(np.frombuffer(part, np.int16))
+        first.append(zlib.crc32(part) % rate)
+        n += len(docs[-1])
+        if n >= HELD * rate:
+            yield from held()
+            docs, first, n = [], [], 0
+    if docs:
+        yield from held()
 
 
 class Network:
@@ -134,29 +152,35 @@ class Network:
             at += x.size
         return Network(parts)
 
-    def train(self, rows: np.ndarray, seed: int, rate: float = 0.05) -> None:
-        """One pass of AdaGrad over windows in random order."""
-        p, seen = self.p, {k: np.full_like(x, 1e-4) for k, x in self.p.items()}
+    def train(self, rows: np.ndarray, seed: int, rate: float = 0.05, seen: dict[str, np.ndarray] | None = None) -> None:
+        """One pass of AdaGrad over windows in random order; seen, from squares(), carries its state from call to call."""
+        p, seen = self.p, self.squares() if seen is None else seen
         order = np.random.default_rng(seed).permutation(len(rows))
+        wide = len(_AROUND) * WIDTH
         for s in range(0, len(order), BATCH):
             x = rows[order[s : s + BATCH]].astype(np.int64)
             y, around = x[:, SIDE], np.delete(x, SIDE, axis=1)
             n = np.arange(len(y))
-            e = p["e"][around]
-            h = np.tanh(np.einsum("nod,odh->nh", e, p["w"], optimize=True) + p["b"])
-            z = h @ p["v"] + p["c"]
-            q = np.exp(z - z.max(axis=1, keepdims=True))
+            e, w = p["e"][around].reshape(-1, wide), p["w"].reshape(wide, HIDDEN)
+            h = np.tanh(e @ w + p["b"])
+            q = h @ p["v"] + p["c"]
+            q -= q.max(axis=1, keepdims=True)
+            np.exp(q, out=q)
             q /= q.sum(axis=1, keepdims=True)
             q[n, y] -= 1
             q /= len(y)
             dh = (q @ p["v"].T) * (1 - h * h)
-            de = np.zeros_like(p["e"])
-            np.add.at(de, around.ravel(), np.einsum("nh,odh->nod", dh, p["w"], optimize=True).reshape(-1, WIDTH))
-            g = {"e": de, "w": np.einsum("nod,nh->odh", e, dh, optimize=True), "b": dh.sum(axis=0), "v": h.T @ q, "c": q.sum(axis=0)}
+            cells = (around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()  # bincount is faster than np.add.at
+            de = np.bincount(cells, (dh @ w.T).ravel(), p["e"].size).reshape(p["e"].shape).astype(np.float32)
+            g = {"e": de, "w": (e.T @ dh).reshape(p["w"].shape), "b": dh.sum(axis=0), "v": h.T @ q, "c": q.sum(axis=0)}
             for k in p:
                 seen[k] += g[k] * g[k]
                 p[k] -= (rate * g[k] / np.sqrt(seen[k])).astype(np.float32)
 
+    def squares(self) -> dict[str, np.ndarray]:
+        """AdaGrad's sums of squares before any step."""
+        return {k: np.full_like(x, 1e-4) for k, x in self.p.items()}
+
     def log_chance(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The log-probability of each token of stream s at the places, from both sides."""
         p, out = self.p, np.empty(len(at))
@@ -173,25 +197,28 @@ class Network:
         return out
 
 
-def train(parts: DataFrame, seed: int = 2) -> Network:
-    """The network of windows (key, part), trained in rounds by trainers whose weights are averaged."""
+def train(parts: DataFrame, rate: int = RATE, seed: int = 2) -> Network:
+    """The network of sequences (key, part), trained in rounds by trainers whose weights are averaged."""
     parts = cut(parts)
-    n = parts.agg(F.coalesce(F.sum(F.octet_length("part")), F.lit(0))).first()[0] // (2 * (2 * SIDE + 1))
-    trainers = int(min(MOST_TRAINERS, max(1, -(-n // PER_TRAINER))))
+    n = parts.agg(F.coalesce(F.sum(F.octet_length("part")), F.lit(0))).first()[0] // 2
+    trainers = int(min(MOST_TRAINERS, max(1, -(-n // (rate * PER_TRAINER)))))
     dealt = parts.repartition(trainers, "key", "part").sortWithinPartitions("key", "part")
     model = Network.new(seed)
     for turn in range(ROUNDS if n else 0):
         start = model.dump()
 
         def run(batches, start=start, turn=turn):
-            held = [x for batch in batches for x in batch.column(1).to_pylist()]
-            if held:
-                net = Network.new(seed).load(start)
-                rows = np.frombuffer(b"".join(held), np.int16).reshape(-1, 2 * SIDE + 1)
-                net.train(rows, seed + turn)
-                yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([net.dump()], pa.binary())], names=["n", "weights"])
+            net, n = Network.new(seed).load(start), 0
+            seen = net.squares()
+            for rows in windows((x for batch in batches for x in batch.column(1).to_pylist()), rate):
+                net.train(rows, seed + turn + n, seen=seen)
+                n += len(rows)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([net.dump()], pa.binary())], names=["n", "weights"])
 
         found = dealt.mapInArrow(run, "n long, weights binary").collect()
+        if not found:
+            break
         n_rows = np.array([r[0] for r in found], float)
         flat = np.stack([np.frombuffer(bytes(r[1]), np.float32) for r in found])
         order = np.lexsort(flat[:, :2].T)  # sums don't depend on which trainer answers first
@@ -222,4 +249,4 @@ def score(docs: DataFrame, top: list[bytes], model: Network, keep: Sequence[str]
 def pseudo_likelihood(docs: DataFrame, keep: Sequence[str] = ("doc_id",), rate: int = RATE, seed: int = 2) -> DataFrame:
     """score() of docs by a network trained on them."""
     top = vocabulary(docs)
-    return score(docs, top, train(windows(docs, top, rate), seed), keep)
+    return score(docs, top, train(sequences(docs, top), rate, seed), keep)

@@ -160,6 +160,17 @@ def test_log_chances_by_hand_and_learning():
     assert net.log_chance(s, at).mean() > max(before, -0.5)
 
 
+def test_every_place_of_every_document_trains(spark, docs):
+    """At the production rate; a short document gives all its windows, and one larger than a batch of windows too."""
+    parts = {bytes(r.part) for r in pseudolm.sequences(docs, pseudolm.vocabulary(docs)).collect()}
+    assert len(parts) == len({tuple((x or "").lower().split()) for x in TEXTS} - {()})
+    long = np.arange(2 * pseudolm.HELD + 5) % 200
+    every = [np.frombuffer(x, np.int16) for x in parts] + [long.astype(np.int16), np.array([7], np.int16)]
+    got = list(pseudolm.windows([d.tobytes() for d in every], pseudolm.RATE))
+    assert max(map(len, got)) <= pseudolm.HELD
+    assert np.array_equal(np.concatenate(got)[:, pseudolm.SIDE], np.concatenate(every))
+
+
 # 3: near duplicates
 
 
