@@ -2,8 +2,10 @@
 
 Tokens are the classes of lower-cased words: the TOP most frequent words of all documents one class each, all other
 words in OTHER classes by hash. A network sees the SIDE tokens before and the SIDE tokens after a
-masked place (embeddings, one tanh layer) and predicts its token; a document's score is the sum of
-the log-probabilities of all its tokens, each predicted from both sides.
+masked place (embeddings, one tanh layer) and predicts its token's class; a document's score is the sum of
+the log-probabilities of all its words: of the class, predicted from both sides, and of the word
+within its class, by the counts of all documents. The latter are joined to the documents' words by Spark.
+Rows are told apart there by a 64-bit hash of id and text; rows that repeat both share one mean, as they should.
 
 Word counts cover all documents. The network is trained in numpy on the windows around every
 place of every document (every rate-th one where a caller asks for that). Trainers each take a share of the documents'
@@ -23,9 +25,9 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from posetrie.llm.common import cut, slices
+from posetrie.llm.common import cut, fresh, slices
 
 TOP, OTHER, SIDE, WIDTH, HIDDEN = 192, 64, 3, 16, 32
 CLASSES = TOP + OTHER
@@ -59,8 +61,8 @@ class Vocabulary(dict):
         return np.fromiter(map(self.__getitem__, found), np.int16, len(found))
 
 
-def vocabulary(docs: DataFrame) -> list[bytes]:
-    """The TOP most frequent words of all texts; counts are summed in the workers first."""
+def counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of all texts; counts are summed in the workers first."""
 
     def run(batches):
         for batch in batches:
@@ -69,8 +71,47 @@ def vocabulary(docs: DataFrame) -> list[bytes]:
                 count.update(words(text))
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r[0]) for r in counts.orderBy(F.desc("n"), "word").limit(TOP).collect()]
+    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most(counted: DataFrame) -> list[bytes]:
+    """The TOP most frequent words of (word, n)."""
+    return [bytes(r[0]) for r in counted.orderBy(F.desc("n"), "word").limit(TOP).collect()]
+
+
+def vocabulary(docs: DataFrame) -> list[bytes]:
+    """The TOP most frequent words of all texts."""
+    return most(counts(docs))
+
+
+def shares(counted: DataFrame, top: list[bytes]) -> DataFrame:
+    """(word, share): log p(word | class) of the words without a class of their own, for which it is 0."""
+    rest = counted.where(~F.col("word").isin(*(F.lit(bytearray(w)) for w in top))).withColumn("class", F.crc32("word") % OTHER)
+    whole = rest.groupBy("class").agg(F.sum("n").alias("whole"))  # OTHER rows
+    return rest.join(F.broadcast(whole), "class").select("word", (F.log("n") - F.log("whole")).alias("share"))
+
+
+def rare(docs: DataFrame, top: list[bytes]) -> DataFrame:
+    """(key, word, n): how often each document has each of its words without a class of their own."""
+    known = frozenset(top)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                keys, held, n = [], [], []
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found = Counter(w for w in words(text) if w not in known)
+                    keys += [key] * len(found)
+                    held += found
+                    n += found.values()
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(held, pa.binary()), pa.array(n, pa.int64())], names=["key", "word", "n"])
+
+    return docs.select(_key(), "text").mapInArrow(run, "key long, word binary, n long")
+
+
+def _key() -> Column:
+    # the id too, so that copies of a text spread out
+    return F.xxhash64("doc_id", "text").alias("key")
 
 
 def stream(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +135,7 @@ def sequences(docs: DataFrame, top: list[bytes]) -> DataFrame:
                 held = [known.classes(text).tobytes() for text in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.binary())], names=["key", "part"])
 
-    # the id decides the trainer too, so that copies of a text spread out
-    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "key long, part binary").where("octet_length(part) > 0")
+    return docs.select(_key(), "text").mapInArrow(run, "key long, part binary").where("octet_length(part) > 0")
 
 
 def windows(parts: Iterable[bytes], rate: int) -> Iterator[np.ndarray]:
@@ -227,26 +267,33 @@ def train(parts: DataFrame, rate: int = RATE, seed: int = 2) -> Network:
     return model
 
 
-def score(docs: DataFrame, top: list[bytes], model: Network, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, n_tokens and log_likelihood of each whole text."""
-    rows = docs.select(*keep, "text")
-    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())])
+def score(docs: DataFrame, top: list[bytes], model: Network, within: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns in keep, n_tokens and log_likelihood of each whole text; within has the shares of words in their classes."""
+    kept = docs.select(*keep)
+    key, n_rare, mean = (fresh(kept, c) for c in ("key", "n_rare", "mean"))
+    rows = docs.select(*keep, _key().alias(key), "text")
+    schema = T.StructType([*kept.schema.fields, T.StructField(key, T.LongType()), T.StructField(n_rare, T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())])
     raw = model.dump()
 
     def run(batches):
         known, net = Vocabulary(top), Network.new(0).load(raw)
         for batch in batches:
             for part in slices(batch, 64):
-                ds = [known.classes(x) for x in part.column(len(keep)).to_pylist()]
+                ds = [known.classes(x) for x in part.column(len(keep) + 1).to_pylist()]
                 sizes = np.array([len(d) for d in ds])
+                others = np.array([np.count_nonzero(d >= TOP) for d in ds])
                 owner = np.repeat(np.arange(len(ds)), sizes)
                 sums = np.bincount(owner, net.log_chance(*stream(ds)), minlength=len(ds)).astype(float)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep) + 1], pa.array(others, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    # rows that repeat an id and a text meet under one key: the mean is each one's own
+    means = rare(docs, top).join(within, "word").groupBy("key").agg((F.sum(F.col("n") * F.col("share")) / F.sum("n")).alias(mean)).withColumnRenamed("key", key)
+    both = F.col("log_likelihood") + F.coalesce(F.col(n_rare) * F.col(mean), F.lit(0.0))
+    return rows.mapInArrow(run, schema).join(means, key, "left").select(*keep, "n_tokens", both.alias("log_likelihood"))
 
 
 def pseudo_likelihood(docs: DataFrame, keep: Sequence[str] = ("doc_id",), rate: int = RATE, seed: int = 2) -> DataFrame:
-    """score() of docs by a network trained on them."""
-    top = vocabulary(docs)
-    return score(docs, top, train(sequences(docs, top), rate, seed), keep)
+    """score() of docs by a network trained on them, and by their own counts of words."""
+    counted = cut(counts(docs))
+    top = most(counted)
+    return score(docs, top, train(sequences(docs, top), rate, seed), shares(counted, top), keep)

@@ -171,6 +171,21 @@ def test_every_place_of_every_document_trains(spark, docs):
     assert np.array_equal(np.concatenate(got)[:, pseudolm.SIDE], np.concatenate(every))
 
 
+def test_every_word_has_a_probability_of_its_own(spark):
+    """Words of one class score apart by their counts; rows that repeat an id and a text score alike."""
+    frequent = " ".join(f"top{k}" for k in range(pseudolm.TOP))
+    of_one = [w for k in range(10_000) if zlib.crc32((w := f"w{k}").encode()) % pseudolm.OTHER == 5][:2]
+    rows = [(k, frequent) for k in range(40)] + [(100 + k, f"top1 {of_one[0]} top2") for k in range(30)] + [(200, f"top1 {of_one[1]} top2")] * 2
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = pseudolm.pseudo_likelihood(d, rate=pseudolm.RATE).collect()
+    assert len(found) == len(rows)
+    got = {r.doc_id: r.log_likelihood for r in found}
+    assert all(abs(r.log_likelihood - got[r.doc_id]) < 1e-6 for r in found)
+    assert abs(got[100] - got[200] - np.log(30 / 2)) < 1e-4
+    share = {bytes(r.word).decode(): r.share for r in pseudolm.shares(pseudolm.counts(d), pseudolm.vocabulary(d)).collect()}
+    assert share.keys() == set(of_one) and abs(share[of_one[1]] - np.log(2 / 32)) < 1e-9
+
+
 # 3: near duplicates
 
 
