@@ -8,7 +8,8 @@ Bootstrapping: base matches are seeds. Each identifier-like string (a chain of d
 groups of hexadecimal digits between colons) is an instance, and the words before it are lexical patterns: the last one if it is a cue (ends
 in : = or #), and the last two. Over all documents, Spark scores the graph of patterns and instances
 in rounds: a pattern is as reliable for a kind as the share of its instances that are (smoothed), an instance as likely of the kind
-as any of its reliable patterns says. Patterns with enough different seeds and confidence then mark
+as any of its reliable patterns says, until nothing changes. Patterns with enough different seeds, or instances found
+likely by other patterns, and confidence then mark
 the strings that stand after them and have the kind's form but aren't base matches, such as a phone number without country code
 after "phone:". Base spans always stay.
 
@@ -43,8 +44,10 @@ _AT = re.compile(r"(?<!\S)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?![\w.])")
 _COLONS = re.compile(r"(?<![\w:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![\w:])")
 _BEFORE = 48
 
-#: Rounds, the share of reliable instances a pattern needs, and of how many different seeds.
-ROUNDS, CONFIDENT, SEEDS, SMOOTH = 3, 0.8, 5, 1.0
+#: The share of reliable instances a pattern needs, and of how many different seeds or confident instances.
+CONFIDENT, SEEDS, SMOOTH = 0.8, 5, 1.0
+#: Patterns' scores are cut to one part in so many; rounds go on until none rises by that.
+GRAIN = 1000
 
 
 def luhn(digits: str) -> bool:
@@ -152,22 +155,30 @@ def scan(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def reliable(seen: DataFrame) -> DataFrame:
-    """(pattern, kind) of the patterns that rounds of scoring find reliable, for seen (kind, value, pattern, seed)."""
+    """(pattern, kind) of the patterns that rounds of scoring find reliable, for seen (kind, value, pattern, seed).
+
+    A round counts seeds and what earlier rounds made confident alike, so that new patterns can join in each."""
     edges = cut(seen.groupBy("pattern", "value", "kind").agg(F.max("seed").alias("seed")))
-    # a value that is a seed of some kind counts for that kind alone, and against the others
-    known = edges.where("seed").groupBy("value", "kind").agg(F.lit(1.0).alias("p"))
     per_pattern = cut(edges.groupBy("pattern").agg(F.count_distinct("value").alias("n")))
-    seeds = cut(edges.where("seed").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= SEEDS))
-    live = cut(edges.join(seeds.select("pattern", "kind"), ["pattern", "kind"]))
-    patterns = None
-    for _ in range(ROUNDS):
-        mass = live.join(known, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("p").alias("mass"))
-        patterns = cut(mass.join(per_pattern, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + SMOOTH)).alias("p")))
-        said = live.where("NOT seed").join(patterns.where(F.col("p") >= CONFIDENT), ["pattern", "kind"])
+    # what could never be reliable, were all its values known, takes no part
+    could = edges.where("kind <> ''").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("most")).join(per_pattern, "pattern")
+    could = could.where((F.col("most") >= SEEDS) & (F.floor(GRAIN * F.col("most") / (F.col("n") + SMOOTH)) >= GRAIN * CONFIDENT))
+    live = cut(edges.join(could.select("pattern", "kind", "n"), ["pattern", "kind"]))
+    seeds = cut(edges.where("seed").groupBy("value", "kind").agg(F.lit(1.0).alias("p")))
+    # a value that is a seed of some kind counts for that kind alone, and against the others
+    known, before = seeds, None
+    while True:
+        of = live.join(known, ["value", "kind"]).groupBy("pattern", "kind", "n").agg(F.sum("p").alias("mass"), F.count_if(F.col("p") >= CONFIDENT).alias("support"))
+        scored = of.where(F.col("support") >= SEEDS).select("pattern", "kind", (F.floor(GRAIN * F.col("mass") / (F.col("n") + SMOOTH)) / GRAIN).alias("p"))
+        patterns = cut(scored.where(F.col("p") >= CONFIDENT))
+        # scores only rise from round to round, so that equal sums are equal scores
+        now = patterns.agg(F.count(F.lit(1)), F.sum(F.round(F.col("p") * GRAIN).cast("long"))).first()
+        if now == before:
+            return patterns.select("pattern", "kind")
+        before = now
+        said = live.where("NOT seed").join(patterns, ["pattern", "kind"])
         guessed = said.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.999)))))).alias("p"))
-        known = live.where("seed").groupBy("value", "kind").agg(F.lit(1.0).alias("p")).unionByName(guessed).groupBy("value", "kind").agg(F.max("p").alias("p"))
-        known = cut(known)
-    return patterns.where(F.col("p") >= CONFIDENT).select("pattern", "kind")
+        known = cut(seeds.unionByName(guessed).groupBy("value", "kind").agg(F.max("p").alias("p")))
 
 
 def find(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -497,6 +497,19 @@ def test_bootstrapped_contexts(spark):
         pii.MOST_BROADCAST = few
 
 
+def test_discovered_instances_make_new_contexts(spark):
+    """No base match stands behind 'please call' or 'or ring': their support is what other contexts have found."""
+    rows = [(i, f"word {i} phone: +1 ({100 + i}) 555-{1000 + i} end") for i in range(200)]
+    rows += [(1000 + i, f"and phone: 555 20{i:02} end") for i in range(40)] + [(1200 + i, f"please call 555 20{i:02} end") for i in range(1, 42)]
+    rows += [(1300 + i, f"or ring 555 20{i:02} end") for i in range(5, 41)] + [(1400 + i, f"count 777 40{i:02} of things") for i in range(20)]
+    rows += [(1500, "please call 555 9999 end"), (1501, "or ring 555 8888 end")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(d).collect()}
+    assert spans[1500] == [("phone", 12, 20)] and spans[1501] == [("phone", 8, 16)] and spans[1241] and spans[1405] == []
+    masked = {r.doc_id: r.text for r in pii.redact(d).collect()}
+    assert masked[1500] == "please call [PHONE] end" and masked[1501] == "or ring [PHONE] end" and masked[1405] == dict(rows)[1405]
+
+
 def test_masks():
     assert pii.masked("ab 12 34 cd", [("card", 3, 8), ("phone", 6, 11)]) == "ab [CARD]"
     assert pii.masked("x a@b.cd y", [("email", 2, 8)]) == "x [EMAIL] y"
