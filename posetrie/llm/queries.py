@@ -114,7 +114,7 @@ N_SHARDS, SHARD_SEED = 40, 8
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in 40 shards, read from the shards' files."""
     docs = pick(documents(spark, sf_dir), doc_id="doc_id", text="text")
-    placed = sharding.read(spark, sharding.shard(docs, N_SHARDS, seed=SHARD_SEED))
+    placed = sharding.read(spark, sharding.shard(docs, N_SHARDS, seed=SHARD_SEED), docs.schema)
     return placed.select(
         "doc_id",
         sharding.size_of(F.col("text")).alias("size"),

@@ -9,7 +9,7 @@ a bucket touches the few shards that its part of the order meets. Reruns agree.
 A record's size is the UTF-8 bytes of its text (null: none) plus 16. Null ids and texts are hashed as
 such. The id and the text both decide a record's bucket, so that copies of a text spread out. Rows
 that repeat an id and a text share a bucket, where they are as good as each other. An empty table
-gives no files and an empty result. Further columns are written with the record; names that the
+gives no files, and an empty result where read() is given the schema. Further columns are written with the record; names that the
 shards use (shard, slot, size) must be free.
 """
 
@@ -82,6 +82,9 @@ def shard(docs: DataFrame, n_shards: int, path: str | None = None, seed: int = 0
     return path
 
 
-def read(spark, path: str) -> DataFrame:
-    """The records of the shards in path, with shard and slot."""
-    return spark.read.parquet(path)
+def read(spark, path: str, records: T.StructType | None = None) -> DataFrame:
+    """The records of the shards in path, with shard and slot; records, their schema, is needed where there may be none."""
+    if records is None:
+        return spark.read.parquet(path)
+    placed = [T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())]
+    return spark.read.schema(T.StructType([*records.fields, *placed])).parquet(path)

@@ -430,6 +430,15 @@ def test_shards(spark, docs):
     assert sharding.shard(none(docs), 7)
 
 
+def test_shards_of_nothing(spark, docs, tmp_path):
+    plain = docs.select("doc_id", "text")
+    none(plain).write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.op8_shards(spark, str(tmp_path)).collect() == []
+    path = sharding.shard(plain, 3)
+    key = lambda df: sorted((r.shard, r.slot, r.doc_id, r.text) for r in df.collect())
+    assert key(sharding.read(spark, path, plain.schema)) == key(sharding.read(spark, path))
+
+
 def test_shards_are_shuffled(spark):
     d = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x" * 50).alias("text"))
     got = sharding.read(spark, sharding.shard(d, 4, bucket_bytes=30_000)).orderBy("shard", "slot").select("doc_id").toPandas().doc_id.to_numpy()
