@@ -7,7 +7,27 @@ from pyspark.sql import DataFrame, functions as F
 from posetrie.config import DEFAULT, PoseConfig
 
 
-def predict(queries: DataFrame, nodes: DataFrame, config: PoseConfig = DEFAULT) -> DataFrame:
+#: Nodes (some 150 bytes each) of the upper levels that are broadcast; deeper ones meet the paths in a shuffle.
+MOST_BROADCAST = 100_000
+
+
+def _upper_levels(nodes: DataFrame, most: int) -> int:
+    """The deepest level down to which the tree has at most `most` nodes; -1 if there is none. A row a level is counted."""
+    depth, total = -1, 0
+    for level, n in sorted(tuple(r) for r in nodes.groupBy("depth").count().collect()):
+        total += n
+        if total > most or level != depth + 1:
+            break
+        depth = level
+    return depth
+
+
+def _prefixes(paths: DataFrame, first: int, last: int, width: int) -> DataFrame:
+    each = paths.select("path", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("at"))
+    return each.withColumn("node_path", F.expr(f"substring(path, 1, at * {width})"))
+
+
+def predict(queries: DataFrame, nodes: DataFrame, config: PoseConfig = DEFAULT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """queries (path, more) with label, steps, terminated_at_depth and fallback_triggered.
 
     steps: array<struct<depth, combination_index, resolved_label, total_samples>> from the root (whose
@@ -15,17 +35,30 @@ def predict(queries: DataFrame, nodes: DataFrame, config: PoseConfig = DEFAULT)
     fallback_triggered. Where the last node has no label, the nearest labelled ancestor's is taken,
     if the configured fallback says so.
 
-    Every different path is looked up once; its prefixes (depth 0 to max_depth) meet the nodes in one
-    hash join, and at most max_depth + 1 matches come together again.
+    Every different path is looked up once. The upper levels, where all paths share a few nodes, are
+    broadcast as far as their counted size allows; only paths that go on below them have their deeper
+    prefixes shuffled to the nodes, which a hash of the prefix spreads and sorts. nodes is read
+    several times: give a stored tree.
     """
-    w = config.width
+    w, deepest = config.width, config.max_depth
     paths = queries.select("path").distinct()
-    prefixes = paths.select("path", F.explode(F.sequence(F.lit(0), F.lit(config.max_depth))).alias("at")).withColumn("node_path", F.expr(f"substring(path, 1, at * {w})"))
-    found = prefixes.join(nodes.select("node_path", "resolved_label", "total_samples"), "node_path")
-    step = F.struct(
-        F.col("at").alias("depth"), F.when(F.col("at") > 0, F.expr(f"right(node_path, {w})")).alias("combination_index"), "resolved_label", "total_samples"
-    )
-    matched = found.groupBy("path").agg(F.array_sort(F.collect_list(step)).alias("all"))
+    known = nodes.select("depth", "node_path", "resolved_label", "total_samples")
+    upper = min(_upper_levels(known, most_broadcast), deepest)
+    step = F.struct(F.col("at").alias("depth"), F.when(F.col("at") > 0, F.expr(f"right(node_path, {w})")).alias("combination_index"), "resolved_label", "total_samples").alias("step")
+    parts = []
+    if upper >= 0:
+        top = F.broadcast(known.where(F.col("depth") <= upper).drop("depth"))
+        parts.append(_prefixes(paths, 0, upper, w).join(top, "node_path").select("path", step))
+    if upper < deepest:
+        alive = paths
+        if upper >= 0:
+            edge = F.broadcast(known.where(F.col("depth") == upper).select(F.col("node_path").alias("edge")))
+            alive = paths.join(edge, F.expr(f"substring(path, 1, {upper * w})") == F.col("edge"), "left_semi")
+        below = known.where(F.col("depth") > upper).withColumn("key", F.xxhash64("node_path")).drop("depth")
+        deeper = _prefixes(alive, upper + 1, deepest, w).withColumn("key", F.xxhash64("node_path"))
+        parts.append(deeper.join(below, ["key", "node_path"]).select("path", step))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    matched = found.groupBy(F.xxhash64("path").alias("key"), "path").agg(F.array_sort(F.collect_list("step")).alias("all"))
     # a missing child ends the descent, even if deeper nodes are in the table
     steps = matched.select("path", F.filter("all", lambda s, k: s["depth"] == k).alias("steps"))
     last = F.element_at("steps", -1)

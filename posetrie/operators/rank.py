@@ -6,11 +6,12 @@ whose octants differ there; a level that only one side has counts as all differe
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from posetrie.config import DEFAULT, PoseConfig
+from posetrie.functions import octree
 
 
 def halving(level: int) -> float:
@@ -18,12 +19,19 @@ def halving(level: int) -> float:
 
 
 def distance(query: Column, sample: Column, config: PoseConfig = DEFAULT, weight: Callable[[int], float] = halving) -> Column:
-    """The distance of two paths, the query's cut off after its matched levels; unrolled, so that it stays in codegen."""
+    """The distance of two paths, the query's cut off after its matched levels."""
+    return packed_distance(octree.packed_of(query, config), octree.packed_of(sample, config), config, weight)
+
+
+def packed_distance(query: Sequence[Column], sample: Sequence[Column], config: PoseConfig = DEFAULT, weight: Callable[[int], float] = halving) -> Column:
+    """The distance of two packed paths (see octree): digits that differ leave bits in the exclusive or, which are counted level by level."""
     total = F.lit(0.0)
-    for d in range(config.max_depth):
-        at = 1 + d * config.width
-        differ = sum((F.when(F.substring(query, at + k, 1) != F.substring(sample, at + k, 1), 1).otherwise(0) for k in range(config.width)), F.lit(0))
-        total = total + weight(d + 1) * differ
+    for levels, q, s in zip(octree.groups(config), query, sample):
+        odd = q.bitwiseXOR(s)
+        marks = odd.bitwiseOR(F.shiftright(odd, 1)).bitwiseOR(F.shiftright(odd, 2)).bitwiseOR(F.shiftright(odd, 3))
+        for i, level in enumerate(levels):
+            ones = sum(1 << 4 * k for k in range(config.width)) << 4 * config.width * (len(levels) - 1 - i)
+            total = total + weight(level) * F.bit_count(marks.bitwiseAND(F.lit(ones).cast("long")))
     return total
 
 
@@ -46,13 +54,45 @@ def nearest(samples: DataFrame, query_codes: list[str], k: int = 5, config: Pose
     return ranked.orderBy("distance", "pos").limit(k)
 
 
-def nearest_each(queries: DataFrame, samples: DataFrame, k: int = 5, config: PoseConfig = DEFAULT) -> DataFrame:
-    """(query_id, pos, distance, rank): the k samples (pos, path) nearest to each query (query_id, path).
+#: Queries (some 70 bytes each) that are broadcast at a time; more are taken in blocks.
+BLOCK = 10_000
+#: Steps of distance in which candidates are counted before any is ranked.
+STEPS = 24_576
+
+
+def nearest_each(queries: DataFrame, samples: DataFrame, k: int = 5, config: PoseConfig = DEFAULT, weight: Callable[[int], float] = halving, block: int = BLOCK) -> DataFrame:
+    """(query_id, pos, distance, rank): the k samples (pos, path) nearest to each query (query_id, path), ties by pos.
 
-    The query set is small by contract and broadcast to all samples; each task keeps its own k best of
-    a query before anything is shuffled.
+    Samples are read twice for each block of queries. First the candidates of each query are counted
+    by steps of distance, which partial aggregation keeps to STEPS rows a query and task; then only
+    those up to the step that holds the k-th are ranked, each task's k best before the shuffle.
+    Samples may have their paths packed (packed_0, ...) instead.
     """
-    q = F.broadcast(queries.select("query_id", F.col("path").alias("query_path")))
-    scored = samples.select("pos", "path").join(q).select("query_id", "pos", distance(F.col("query_path"), F.col("path"), config).alias("distance"))
-    first = Window.partitionBy("query_id").orderBy("distance", "pos")
-    return scored.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    n_groups = len(octree.groups(config))
+    names = [f"packed_{g}" for g in range(n_groups)]
+
+    def packed(df: DataFrame, key: str) -> DataFrame:
+        held = [F.col(n) for n in names] if names[0] in df.columns else [c.alias(n) for c, n in zip(octree.packed_of(F.col("path"), config), names)]
+        return df.select(key, *held)
+
+    asked, held = packed(queries, "query_id"), packed(samples, "pos")
+    blocks = max(1, -(-asked.count() // block))
+    most = config.width * sum(weight(d) for d in range(1, config.max_depth + 1))
+    whole = None
+    for b in range(blocks):
+        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        few = some.select("query_id", *(F.col(n).alias(f"q_{n}") for n in names))
+
+        def scored(of: DataFrame) -> DataFrame:
+            apart = packed_distance([F.col(f"q_{n}") for n in names], [F.col(n) for n in names], config, weight)
+            near = held.join(F.broadcast(of)).withColumn("distance", apart)
+            return near.withColumn("step", F.floor(F.col("distance") * (STEPS / most)))
+
+        counts = scored(few).groupBy("query_id", "step").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("query_id").orderBy("step")) - F.col("n")
+        last = counts.withColumn("before", upto).where(F.col("before") < k).groupBy("query_id").agg(F.max("step").alias("last"))
+        close = scored(few.join(last, "query_id")).where(F.col("step") <= F.col("last")).select("query_id", "pos", "distance")
+        first = Window.partitionBy("query_id").orderBy("distance", "pos")
+        best = close.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+        whole = best if whole is None else whole.unionByName(best)
+    return whole

@@ -20,11 +20,18 @@ def _prefixes(config: PoseConfig) -> Column:
 
 
 def counts(samples: DataFrame, config: PoseConfig = DEFAULT) -> DataFrame:
-    """Counts of samples (path, label). Samples of the same leaf and label are counted before they go up the tree."""
+    """Counts of samples (path, label). Samples of the same leaf and label are counted before they go up the tree.
+
+    On the way up, paths are bytes of two digits each (where a code has an even number of them).
+    """
     checked = samples.select("path", F.when(F.col("label").isNull(), F.raise_error(F.lit("a sample has no label")).cast("string")).otherwise(F.col("label")).alias("label"))
     leaves = checked.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
-    up = leaves.select(_prefixes(config), "path", "label", "n").select("depth", F.expr(f"substring(path, 1, depth * {config.width})").alias("node_path"), "label", "n")
-    return up.groupBy("depth", "node_path", "label").agg(F.sum("n").alias("n"))
+    even = config.width % 2 == 0
+    each = config.width // 2 if even else config.width
+    up = leaves.select(_prefixes(config), (F.unhex("path") if even else F.col("path")).alias("path"), "label", "n")
+    placed = up.select("depth", F.expr(f"substring(path, 1, depth * {each})").alias("node_path"), "label", "n")
+    counted = placed.groupBy("depth", "node_path", "label").agg(F.sum("n").alias("n"))
+    return counted.withColumn("node_path", F.hex("node_path")) if even else counted
 
 
 def merge(*parts: DataFrame) -> DataFrame:
@@ -41,12 +48,14 @@ def majority(n: str = "n", label: str = "label") -> Column:
 
 
 def nodes(counted: DataFrame) -> DataFrame:
-    """Finalised nodes of counts."""
-    entries = F.array_sort(F.collect_list(F.struct("label", "n")))
-    grouped = counted.groupBy("depth", "node_path").agg(F.sum("n").alias("total_samples"), F.map_from_entries(entries).alias("sample_counts"), majority().alias("resolved_label"))
-    root = counted.sparkSession.createDataFrame([(0, "")], "depth int, node_path string").join(counted.where("depth = 0").limit(1).select(F.lit(1).alias("some")), how="left")
-    empty = root.where("some IS NULL").select("depth", "node_path", F.lit(0).cast("long").alias("total_samples"), F.create_map().cast("map<string,bigint>").alias("sample_counts"), F.lit(None).cast("string").alias("resolved_label"))
-    return grouped.unionByName(empty)
+    """Finalised nodes of counts. The root is there even without samples: a count of nothing is added to it."""
+    root = counted.sparkSession.createDataFrame([(0, "", None, 0)], COUNTS)
+    every = counted.select(*COUNTS.names).unionByName(root)
+    entries = F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "n"))))
+    # a hash comes first among the keys, since Spark sorts by the first one's leading bytes
+    keyed = every.withColumn("key", F.xxhash64("depth", "node_path"))
+    grouped = keyed.groupBy("key", "depth", "node_path").agg(F.sum("n").alias("total_samples"), F.map_from_entries(entries).alias("sample_counts"), majority().alias("resolved_label"))
+    return grouped.drop("key")
 
 
 def stale(finalized: DataFrame, counted: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from posetrie.config import DEFAULT, KEYPOINTS, PoseConfig
 from posetrie.functions import octree, pose as P, rotation
 from posetrie.operators import evaluate, predict, rank, train
 from posetrie.plans import oracle
-from posetrie.plans.poses import ABSOLUTE_POSE, COARSE_POSE, LINE_KEYS, LINE_POSE, embedded, line_paths, pose, table
+from posetrie.plans.poses import ABSOLUTE_POSE, COARSE_POSE, LINE_POSE, columns, embedded, line_paths, pose, table
 from posetrie.sources import metadata, model
 from posetrie.streaming import training
 
@@ -70,7 +70,7 @@ def octant_level1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def octant_levels_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code of every level of embedding-derived poses."""
-    rows = octree.with_path(table(spark, sf_dir, "embeddings").select("vec_id", pose(embedded(0)).alias("pose")), "pose")
+    rows = octree.with_path(table(spark, sf_dir, "embeddings"), columns(embedded(0))).select("vec_id", "path")
     return rows.select("vec_id", F.posexplode(octree.codes(F.col("path"))).alias("level", "code")).withColumn("level", F.col("level") + 1)
 
 
@@ -161,10 +161,17 @@ def tree_stale_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.stale(old, _counts(spark, sf_dir)).select("depth", "node_path", "total_samples", "resolved_label")
 
 
+def _stored(tree: DataFrame) -> DataFrame:
+    """A tree written as a table and read again, as a trained model is before it is asked."""
+    path = model.new_folder(tree.sparkSession, "tree")
+    tree.write.parquet(path)
+    return tree.sparkSession.read.parquet(path)
+
+
 def _predicted(spark: SparkSession, sf_dir: str, config: PoseConfig = DEFAULT, nodes: DataFrame | None = None) -> DataFrame:
     """All lines' predictions by a tree of the finished ones."""
     nodes = train.nodes(_counts(spark, sf_dir, "l_linestatus = 'F'")) if nodes is None else nodes
-    return predict.predict(line_paths(spark, sf_dir), nodes, config)
+    return predict.predict(line_paths(spark, sf_dir), _stored(nodes), config)
 
 
 @query
@@ -185,8 +192,8 @@ def predict_termination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def predict_miss_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poses of embeddings looked up in the lines' tree: most stop near the root."""
-    rows = octree.with_path(table(spark, sf_dir, "embeddings").select("vec_id", pose(embedded(0)).alias("pose")), "pose")
-    return predict.predict(rows, train.nodes(_counts(spark, sf_dir))).select("vec_id", "predicted", "terminated_at_depth", "fallback_triggered")
+    rows = octree.with_path(table(spark, sf_dir, "embeddings"), columns(embedded(0))).select("vec_id", "path")
+    return predict.predict(rows, _stored(train.nodes(_counts(spark, sf_dir)))).select("vec_id", "predicted", "terminated_at_depth", "fallback_triggered")
 
 
 def _stale_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,16 +233,17 @@ def eval_empty_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rank_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distance of every line's path from the path of the middle pose."""
-    middle = "0" * DEFAULT.width * DEFAULT.max_depth
-    return line_paths(spark, sf_dir).select(*LINE, rank.distance(F.lit(middle), F.col("path")).alias("distance"))
+    middle = octree.packed_of(F.lit("0" * DEFAULT.width * DEFAULT.max_depth))
+    packed = octree.with_packed(table(spark, sf_dir, "lineitem"), columns(LINE_POSE))
+    return packed.select(*LINE, rank.packed_distance(middle, [F.col(f"packed_{g}") for g in range(len(middle))]).alias("distance"))
 
 
 @query
 def rank_top5_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every nation as a query pose, the five nearest of all lines' paths."""
+    """For every nation as a query pose, the five nearest of all lines."""
     at = {k: tuple(f"n_nationkey*{i + j + 1}e0-{10 * i}e0" for j in range(3)) for i, k in enumerate(KEYPOINTS)} | {"hips": ("0e0",) * 3}
-    queries = octree.with_path(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), pose(at).alias("pose")), "pose")
-    samples = line_paths(spark, sf_dir).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), "path").groupBy("path").agg(F.min("pos").alias("pos"))
+    queries = octree.with_packed(table(spark, sf_dir, "nation"), columns(at)).withColumnRenamed("n_nationkey", "query_id")
+    samples = octree.with_packed(table(spark, sf_dir, "lineitem"), columns(LINE_POSE)).withColumn("pos", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     return rank.nearest_each(queries, samples).select("query_id", "pos", "distance", "rank")
 
 
@@ -271,6 +279,18 @@ def bvh_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bvh.keypoints_long(bvh.keypoints(spark, clips.example(spark)))
 
 
+@query
+def ask_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame of the library's own clip asked of a model that was trained on the clip's frames, by name."""
+    from posetrie.query import ask
+    from posetrie.sources import bvh, clips
+
+    clip, path = clips.example(spark), model.new_folder(spark, "asked")
+    placed = octree.with_path(bvh.keypoints(spark, clip), "pose").select("path", F.concat(F.lit("f"), F.col("frame_index").cast("string")).alias("label"))
+    model.save(train.nodes(train.counts(placed)), path)
+    return ask(spark, clip, 1, path, f"{path}-no-metadata").prediction.select("predicted", "terminated_at_depth", "fallback_triggered")
+
+
 @query
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coarse poses' tree written as nested JSON and read back."""
@@ -285,7 +305,7 @@ def stream_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the coarse poses by a stream over lineitem, as they stand at its end."""
     lines = table(spark, sf_dir, "lineitem")
     stream = spark.readStream.schema(lines.schema).parquet(f"{sf_dir}/lineitem*.parquet")
-    samples = octree.with_path(stream.select(F.col("l_returnflag").alias("label"), pose(COARSE_POSE).alias("pose")), "pose")
+    samples = octree.with_path(stream, columns(COARSE_POSE)).withColumnRenamed("l_returnflag", "label")
     return training.run_once(samples.select("path", "label"), model.new_folder(spark, "stream-train")).select("depth", "node_path", "total_samples", "resolved_label")
 
 

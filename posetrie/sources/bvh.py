@@ -32,48 +32,94 @@ class Joint:
     moves: tuple[int, ...] = ()
 
 
+@dataclass
+class _Node:
+    """A joint of the hierarchy as the file nests it; an end site has no name."""
+
+    name: str | None
+    offset: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    channels: tuple[str, ...] = ()
+    children: tuple[_Node, ...] = ()
+
+
+def _hierarchy(header: str) -> _Node:
+    """The nested joints of a header's text."""
+    words = iter(header.partition("ROOT")[2].split())
+
+    def block(name: str | None) -> _Node:
+        node = _Node(name)
+        for word in words:
+            if word == "OFFSET":
+                node.offset = tuple(float(next(words)) for _ in "xyz")
+            elif word == "CHANNELS":
+                node.channels = tuple(next(words) for _ in range(int(next(words))))
+            elif word == "JOINT":
+                node.children += (block(next(words)),)
+            elif word == "End":
+                node.children += (block(None),)
+            elif word == "}":
+                return node
+        raise ValueError(f"the hierarchy ends within {name or 'an end site'}")
+
+    try:
+        return block(next(words))
+    except StopIteration:
+        raise ValueError("no joints in the hierarchy") from None
+
+
+def _in_file_order(node: _Node) -> list[_Node]:
+    return [node, *(x for c in node.children if c.name for x in _in_file_order(c))]
+
+
+def _nested(root: _Node) -> dict[str, tuple[str | None, tuple[float, float, float]]]:
+    """Parent and offset of each joint, as the file says."""
+    above = {c.name: node.name for node in _in_file_order(root) for c in node.children if c.name}
+    return {node.name: (above.get(node.name), node.offset) for node in _in_file_order(root)}
+
+
+def _flattened(root: _Node) -> dict[str, tuple[str | None, tuple[float, float, float]]]:
+    """The same where an end site isn't a level of its own: it gives its offset to its joint and closes one level more."""
+    found: dict[str, list] = {}
+    line: list[str] = []
+
+    def close() -> None:
+        del line[-1:]
+
+    def visit(node: _Node) -> None:
+        found[node.name] = [line[-1] if line else found.get(node.name, [None])[0], node.offset]
+        line.append(node.name)
+        for child in node.children:
+            if child.name:
+                visit(child)
+            else:
+                if line:
+                    found[line[-1]][1] = child.offset
+                close()
+        close()
+
+    visit(root)
+    return {name: (parent, offset) for name, (parent, offset) in found.items()}
+
+
 def skeleton(header: str, mode: str = "compat") -> list[Joint]:
     """The joints of a clip's header, in file order, the root first."""
     if mode not in MODES:
         raise ValueError(f"unknown hierarchy mode {mode!r}; known: {', '.join(MODES)}")
-    strict = mode == "strict"
-    names: list[str] = []
-    parent: dict[str, str | None] = {}
-    offset: dict[str, tuple[float, ...]] = {}
-    channels: dict[str, list[str]] = {}
-    root, open_ = None, []
-    for words in filter(None, (line.split() for line in header.splitlines())):
-        if words[0] in ("ROOT", "JOINT"):
-            name = words[1]
-            if words[0] == "ROOT" and root is None:
-                root = name
-            if name not in names:
-                names.append(name)
-            if open_:
-                parent[name] = open_[-1]
-            open_.append(name)
-        elif words[0] == "End" and strict:
-            open_.append(None)
-        elif words[0] == "OFFSET" and len(words) == 4 and open_ and open_[-1]:
-            offset[open_[-1]] = tuple(map(float, words[1:]))
-        elif words[0] == "CHANNELS" and open_ and open_[-1]:
-            channels[open_[-1]] = words[2:]
-        elif words == ["}"] and open_:
-            open_.pop()
-    root = root or names[0]
+    root = _hierarchy(header)
+    placed = _nested(root) if mode == "strict" else _flattened(root)
+    channels = {node.name: node.channels for node in _in_file_order(root)}
     joints, start = [], 0
-    for name in [root, *(n for n in names if n != root)] if not strict else names:
-        if strict:
-            own = channels.get(name, [])
-            turns = tuple((c[0].lower(), start + k) for k, c in enumerate(own) if c.lower().endswith("rotation"))
-            moves = tuple(start + own.index(f"{a}position") for a in "XYZ" if f"{a}position" in own) if name == root else ()
-            start += len(own)
+    for name, (parent, offset) in placed.items():
+        is_root = name == root.name
+        if mode == "strict":
+            own = channels[name]
         else:
-            moves = (0, 1, 2) if name == root else ()
-            start += 3 if name == root else 0
-            turns = tuple((a, start + k) for k, a in enumerate("zyx"))
-            start += 3
-        joints.append(Joint(name, None if name == root else parent.get(name), offset.get(name, (0.0, 0.0, 0.0)), turns, moves))
+            own = (*(f"{a}position" for a in "XYZ" if is_root), *(f"{a}rotation" for a in "ZYX"))
+        at = {c: start + k for k, c in enumerate(own)}
+        turns = tuple((c[0].lower(), k) for c, k in at.items() if c.endswith("rotation"))
+        moves = tuple(at[f"{a}position"] for a in "XYZ" if f"{a}position" in at) if is_root else ()
+        joints.append(Joint(name, None if is_root else parent, offset, turns, moves))
+        start += len(own)
     return joints
 
 
@@ -104,9 +150,16 @@ def joints(spark: SparkSession, path: str, mode: str = "compat") -> DataFrame:
     return spark.createDataFrame(rows, "header string, idx int, name string, parent string, ox double, oy double, oz double, ch_start int, ch_count int")
 
 
+#: Different skeletons in one call; each has a plan of its own.
+MOST_SKELETONS = 64
+
+
 def _skeletons(clip: DataFrame, mode: str) -> list[tuple[str, list[Joint]]]:
-    """Each different header with its joints. Headers are short, and many clips share one."""
-    return [(r[0], skeleton(r[0], mode)) for r in clip.select("header").distinct().orderBy("header").collect()]
+    """Each different header with its joints. Headers are short, and many clips share one; too many different ones are an error."""
+    headers = [r[0] for r in clip.select("header").distinct().orderBy("header").limit(MOST_SKELETONS + 1).collect()]
+    if len(headers) > MOST_SKELETONS:
+        raise ValueError(f"more than {MOST_SKELETONS} different skeletons; read the clips of some at a time")
+    return [(header, skeleton(header, mode)) for header in headers]
 
 
 def _chain(by_name: dict[str, Joint], root: str, name: str) -> list[Joint] | None:
@@ -216,9 +269,9 @@ def keypoints(spark: SparkSession, path: str, mode: str = "compat", config: Pose
 
 def asked_frames(spark: SparkSession, poses: DataFrame, indices: Sequence[int]) -> DataFrame:
     """poses of the asked frames with pos, in the order asked for, repeats included; an index out of range is an error."""
-    asked = spark.createDataFrame([(k, int(i)) for k, i in enumerate(indices)], "pos int, asked int")
+    wanted = F.array(*(F.lit(int(i)) for i in indices)).cast("array<int>")
     files = poses.groupBy("file").agg(F.max("frame_index").alias("last"))
-    every = asked.join(files)
+    every = files.select("file", "last", F.posexplode(wanted).alias("pos", "asked"))
     sound = (F.col("asked") >= 0) & (F.col("asked") <= F.col("last"))
     error = F.raise_error(F.concat(F.lit("frame "), F.col("asked").cast("string"), F.lit(" out of [0, "), F.col("last").cast("string"), F.lit("]"))).cast("int")
     checked = every.select("pos", "file", F.when(sound, F.col("asked")).otherwise(error).alias("frame_index"))
@@ -230,4 +283,4 @@ def keypoints_long(poses: DataFrame) -> DataFrame:
     from posetrie.functions.pose import listed
 
     each = poses.select("frame_index", F.explode(listed(F.col("pose"))).alias("k"))
-    return each.select("frame_index", F.col("k.name").alias("keypoint"), *(F.round(f"k.{a}", 6).alias(a) for a in "xyz"))
+    return each.select("frame_index", F.col("k.name").alias("keypoint"), *((F.round(f"k.{a}", 6) + 0.0).alias(a) for a in "xyz"))

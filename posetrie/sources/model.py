@@ -25,8 +25,11 @@ NODES = T.StructType(
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    """An unused path in the folder that all executors share."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="posetrie-")
+    """An unused path in the folder that all executors share: spark.checkpoint.dir, or a temporary one if all is on this machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    where = where or tempfile.mkdtemp(prefix="posetrie-")
     return f"{where.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

@@ -114,6 +114,42 @@ def test_boxes_of_paths(spark):
         assert all(abs(x - y) < 1e-9 for p, q in zip(got, other) for x, y in zip(p, q))
 
 
+def test_codes_of_another_length_are_errors(spark):
+    for bad in (octree.code(F.array(F.lit(1), F.lit(2))), octree.code_of_key(F.lit("1,2,3,4,5,6,7")), octree.code(F.array(*map(F.lit, (1, 2, 3, 4, 5, 8))))):
+        with pytest.raises(Exception, match="expected 6 octants"):
+            spark.range(1).select(bad).collect()
+
+
+def test_null_coordinates_count_as_nan(spark):
+    at = {k: [F.lit(float("nan")) if k == "neck" else F.lit(1.0)] * 3 for k in KEYPOINTS}
+    nan = octree.with_path(spark.range(1), at).first().path
+    lost = octree.with_path(spark.range(1), at | {"neck": [F.lit(None).cast("double")] * 3}).first().path
+    assert nan == lost and nan[3] == "0"
+
+
+def test_prediction_without_broadcast_levels(spark):
+    tree = train.nodes(train.counts(samples(spark, (P1, "walk"), (P2, "run"), (P3, "run"))))
+    asked = samples(spark, (P1, "a"), (P2, "b"), ("1" * 66 + "222222", "c"), ("4" * 72, "d"))
+    key = lambda df: sorted((r.path, r.predicted, r.terminated_at_depth, len(r.steps)) for r in df.collect())
+    whole = key(predict.predict(asked, tree))
+    assert [x[2] for x in whole] == [12, 11, 12, 0]
+    assert all(key(predict.predict(asked, tree, most_broadcast=n)) == whole for n in (0, 1, 3, 7))
+
+
+def test_nearest_of_each_by_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    path = lambda: "".join(r.choice("01") for _ in range(72))
+    base = [path() for _ in range(40)]
+    held, asked = [(k, r.choice(base)) for k in range(300)], [(k, path()) for k in range(12)]
+    far = lambda a, b: sum(2.0 ** -(1 + i // 6) for i in range(72) if a[i] != b[i])
+    want = [(q, *x) for q, p in asked for x in ((s, far(p, t), k + 1) for k, (s, t) in enumerate(sorted(held, key=lambda x: (far(p, x[1]), x[0]))[:5]))]
+    for block in (100, 5):
+        got = rank.nearest_each(spark.createDataFrame(asked, "query_id int, path string"), spark.createDataFrame(held, "pos int, path string"), block=block)
+        assert sorted((x.query_id, x.pos, x.distance, x["rank"]) for x in got.collect()) == sorted(want)
+
+
 def test_normalizing(spark):
     values = {k: [float(i), 2.0 * i, -1.0 * i] for i, k in enumerate(KEYPOINTS, 1)} | {"tail": [1.0]}
     df = spark.createDataFrame([(values,)], "kp map<string,array<double>>")
@@ -324,12 +360,16 @@ def test_plans(spark):
     sf = "/root/testdata/sf0.001"
     from posetrie.plans import core
 
+    # the JVM doesn't compile methods beyond 8,000 bytes
+    paths = core.QUERIES["pose_path"](spark, sf)
+    stages = paths._jdf.queryExecution().debug().codegenToSeq()
+    assert 0 < max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
     encode = plan_of(core.QUERIES["pose_path"](spark, sf))
     assert "Exchange" not in encode and "Python" not in encode and "l_shipdate" not in encode.split("Physical Plan")[1]
     assert "Python" not in plan_of(core.QUERIES["predict_label"](spark, sf))
 
 
-@pytest.mark.parametrize("name", ["pose_validate_missing", "combination_index", "tree_resolved_labels", "predict_miss_embeddings", "eval_confusion", "euler_matrix", "fk_chain", "metadata_filter"])
+@pytest.mark.parametrize("name", ["pose_validate_missing", "combination_index", "bvh_keypoints", "ask_frame", "stream_train", "json_roundtrip", "predict_ancestor_fallback", "rank_top5_per_query", "tree_resolved_labels", "predict_miss_embeddings", "eval_confusion", "euler_matrix", "fk_chain", "metadata_filter"])
 def test_queries_and_their_sql(spark, name):
     import __spark_entry__
 
