@@ -148,6 +148,9 @@ def with_packed(df: DataFrame, pose: Pose, to: str = "packed", config: PoseConfi
         return df.select(*kept, *(c.alias(n) for c, n in zip(made, names)), *more)
 
     given = [F.coalesce(c, F.lit(float("nan"))) for c in coordinates(pose, config)]
+    if isinstance(pose, str):
+        df = df.select(*kept, F.array(*given).alias("__given"))
+        given = [F.coalesce(F.get("__given", F.lit(k)), F.lit(float("nan"))) for k in range(len(given))]
     cubes = [config.is_cube(name) for name, _ in at]
     df = step(df, given)
     df = step(df, cols, *(guess(c).alias(f"{n}_guess") for c, n, cube in zip(cols, names, cubes) if cube))

@@ -37,8 +37,8 @@ def predict(queries: DataFrame, nodes: DataFrame, config: PoseConfig = DEFAULT,
 
     Every different path is looked up once. The upper levels, where all paths share a few nodes, are
     broadcast as far as their counted size allows; only paths that go on below them have their deeper
-    prefixes shuffled to the nodes, which a hash of the prefix spreads and sorts. nodes is read
-    several times: give a stored tree.
+    prefixes shuffled to the nodes, which a hash of the prefix spreads and sorts. Both tables are
+    read several times: give stored ones.
     """
     w, deepest = config.width, config.max_depth
     paths = queries.select("path").distinct()

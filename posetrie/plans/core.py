@@ -161,17 +161,10 @@ def tree_stale_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.stale(old, _counts(spark, sf_dir)).select("depth", "node_path", "total_samples", "resolved_label")
 
 
-def _stored(tree: DataFrame) -> DataFrame:
-    """A tree written as a table and read again, as a trained model is before it is asked."""
-    path = model.new_folder(tree.sparkSession, "tree")
-    tree.write.parquet(path)
-    return tree.sparkSession.read.parquet(path)
-
-
 def _predicted(spark: SparkSession, sf_dir: str, config: PoseConfig = DEFAULT, nodes: DataFrame | None = None) -> DataFrame:
     """All lines' predictions by a tree of the finished ones."""
     nodes = train.nodes(_counts(spark, sf_dir, "l_linestatus = 'F'")) if nodes is None else nodes
-    return predict.predict(line_paths(spark, sf_dir), _stored(nodes), config)
+    return predict.predict(model.stored(line_paths(spark, sf_dir)), model.stored(nodes), config)
 
 
 @query
@@ -193,7 +186,7 @@ def predict_termination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predict_miss_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poses of embeddings looked up in the lines' tree: most stop near the root."""
     rows = octree.with_path(table(spark, sf_dir, "embeddings"), columns(embedded(0))).select("vec_id", "path")
-    return predict.predict(rows, _stored(train.nodes(_counts(spark, sf_dir)))).select("vec_id", "predicted", "terminated_at_depth", "fallback_triggered")
+    return predict.predict(model.stored(rows), model.stored(train.nodes(_counts(spark, sf_dir)))).select("vec_id", "predicted", "terminated_at_depth", "fallback_triggered")
 
 
 def _stale_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +279,7 @@ def ask_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     from posetrie.sources import bvh, clips
 
     clip, path = clips.example(spark), model.new_folder(spark, "asked")
-    placed = octree.with_path(bvh.keypoints(spark, clip), "pose").select("path", F.concat(F.lit("f"), F.col("frame_index").cast("string")).alias("label"))
+    placed = octree.with_path(model.stored(bvh.keypoints(spark, clip)), "pose").select("path", F.concat(F.lit("f"), F.col("frame_index").cast("string")).alias("label"))
     model.save(train.nodes(train.counts(placed)), path)
     return ask(spark, clip, 1, path, f"{path}-no-metadata").prediction.select("predicted", "terminated_at_depth", "fallback_triggered")
 

@@ -23,8 +23,8 @@ class Answer:
 def ask(spark: SparkSession, clip_path: str, frame: int, model_path: str, metadata_path: str, k: int = 5, mode: str = "compat", config: PoseConfig = DEFAULT) -> Answer:
     """The answer for a frame. A missing model is an error, missing metadata leave the candidates empty."""
     tree = model.load(spark, model_path)
-    poses = bvh.asked_frames(spark, bvh.keypoints(spark, clip_path, mode, config), [frame])
-    predicted = predict.predict(octree.with_path(poses, "pose", config=config), tree, config)
+    poses = model.stored(bvh.asked_frames(spark, model.stored(bvh.keypoints(spark, clip_path, mode, config)), [frame]))
+    predicted = predict.predict(model.stored(octree.with_path(poses, "pose", config=config)), tree, config)
     matched = predicted.select(predict.matched_codes().alias("codes")).first()["codes"]
     return Answer(predicted.drop("pose"), rank.nearest(metadata.load(spark, metadata_path), matched, k, config))
 

@@ -33,6 +33,13 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{where.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str = "table") -> DataFrame:
+    """df written as a table in the shared folder and read again, so that what follows doesn't repeat or replan it."""
+    path = new_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def save(tree: DataFrame, path: str, model_id: str = "default") -> None:
     """Nodes as Parquet, partitioned by model and depth; each file holds a range of paths."""
     named = tree.withColumn("model_id", F.lit(model_id))

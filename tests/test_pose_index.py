@@ -405,7 +405,7 @@ def test_asking_a_model(spark, tmp_path):
     from posetrie.query import ask, sample_metadata
 
     clip = clips.example(spark)
-    placed = octree.with_path(bvh.keypoints(spark, clip), "pose").withColumn("sample_name", F.concat(F.lit("f"), F.col("frame_index").cast("string")))
+    placed = octree.with_path(model.stored(bvh.keypoints(spark, clip)), "pose").withColumn("sample_name", F.concat(F.lit("f"), F.col("frame_index").cast("string")))
     model.save(train.nodes(train.counts(placed.select("path", F.col("sample_name").alias("label")))), str(tmp_path / "m"))
     named = sample_metadata(placed).select(F.to_json(F.struct("*")).alias("json"), "sample_name").orderBy("sample_name")
     lines = [r.json for r in named.collect()]
