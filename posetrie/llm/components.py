@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from posetrie.llm.common import cut
+from posetrie.llm.common import cut, dropped, staged
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def _least(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the least node that each node of links (a, b) reaches. Nodes without links aren't in it."""
-    links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    links = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +29,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        links = cut(small.where("u <> v").distinct())
+        old, links = links, staged(small.where("u <> v").distinct())
+        dropped(old)
         # a pair hash alone could repeat by chance; with the count it doesn't in practice
         state = tuple(links.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if state == before:
@@ -37,6 +38,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         before = state
     else:
         raise RuntimeError(f"no fixed point in {rounds} rounds")
+    last, links = links, cut(links)
+    dropped(last)
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -22,10 +22,10 @@ to leave room for the rest. So many documents that share a frequent passage, and
 make no pairs. Candidates whose sizes or sketches rule them out are dropped, the others are compared
 on their full sets; pairs that links join already aren't compared.
 
-With 6 rows and 40 bands, a pair at similarity 0.8 misses all bands with probability 5e-6.
+With 7 rows and 36 bands, a pair at similarity 0.8 misses all bands with probability 2e-4, one at 0.85 with 1e-6.
 
-doc_id may not be null for a document to be linked sensibly; rows that repeat a doc_id are one node
-and get equal results if their texts are equal. Extra columns are not used. Empty tables give empty results.
+doc_id may not be null for a document to be linked sensibly. Rows that repeat a doc_id are one document:
+they share a component, and are linked by any of their texts. Extra columns are not used. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -35,12 +35,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from posetrie.llm.common import cut, list_array, slices
+from posetrie.llm.common import cut, dropped, list_array, slices, staged
 from posetrie.llm.components import components
 
-ROWS, BANDS = 6, 40
-#: Pivots of a bucket that has so many members; smaller ones have one.
-PIVOTS, CROWDED = 4, 16
+ROWS, BANDS = 7, 36
+#: Pivots of a bucket that has so many members; smaller ones have one. Each is the least member after an exclusive or.
+TURNS, CROWDED = (0, 0x2B992DDFA23249D6, 0x4CF5AD432745937F, 0x52DCE729DA3ED6F4), 16
 T_BINS = ROWS * BANDS
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -110,7 +110,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 sets = [shingles(x, words) for x in part.column(1).to_pylist()]
                 some = [k for k, s in enumerate(sets) if len(s)]
                 found = sketch([sets[k] for k in some])
-                acc = np.zeros((len(some), BANDS), np.uint64)
+                acc = np.tile(np.arange(BANDS, dtype=np.uint64), (len(some), 1))  # so that equal values in different bands differ
                 for j in range(ROWS):
                     acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + found[:, j::ROWS])
                 bands, marks = [np.empty(0, np.int64)] * len(sets), [b""] * len(sets)
@@ -131,24 +131,25 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _SKETCHED)
 
 
-def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """(id, items) of docs (doc_id, text): the full set as array<bigint>."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
+def sets_of(docs: DataFrame, words: int, keep: list[str]) -> DataFrame:
+    """The columns in keep and the full set of each text as items, array<bigint>."""
+    rows = docs.select(*keep, "text")
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("items", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 64):
-                sets = [shingles(x, words).view(np.int64) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), list_array(sets, pa.int64())], names=schema.names)
+                sets = [shingles(x, words).view(np.int64) for x in part.column(len(keep)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], list_array(sets, pa.int64())], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def alike(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb, ma, mb) that sizes and sketches don't rule out.
 
-    The share of agreeing coordinate bytes estimates the similarity; it falls short of it by 0.14 (more
-    than 5 deviations at 0.8) with probability below 1e-6.
+    The share of agreeing coordinate bytes estimates the similarity; it falls short of it by 0.14 (5.5
+    deviations at 0.8) with probability below 1e-6.
     """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     floor = (percent / 100 - 0.14) * T_BINS
@@ -167,18 +168,17 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     """The pairs (a, b) that are linked by their full sets.
 
     b is the pivot, which may be in very many pairs: its set goes to as many salted copies as it has
-    hundreds of pairs, so that no task gets all of them.
+    hundreds of pairs, so that no task gets all of them. Sets are made where texts meet the pairs, and
+    each is shuffled once.
     """
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(sets_of(wanted, words))
     salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("salts"))
-    salted = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
-    members = salted.join(sets, salted["a"] == sets["id"]).select("a", "b", "salt", F.col("items").alias("ia"))
-    pivots = sets.join(salts, sets["id"] == salts["b"]).select("b", F.col("items").alias("ib"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    both = members.join(pivots, ["b", "salt"])
-    common = F.size(F.array_intersect("ia", "ib"))
-    return both.where(100 * common >= percent * (F.size("ia") + F.size("ib") - common)).select("a", "b")
+    salted = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
+    members = sets_of(docs.join(salted, docs["doc_id"] == salted["a"]), words, ["a", "b", "salt"])
+    pivots = sets_of(docs.join(salts, docs["doc_id"] == salts["b"]), words, ["b", "salts"])
+    copies = pivots.select("b", F.col("items").alias("ib"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    both = members.join(copies, ["b", "salt"])
+    common = F.size(F.array_intersect("items", "ib"))
+    return both.where(100 * common >= percent * (F.size("items") + F.size("ib") - common)).select("a", "b").distinct()
 
 
 def prefix_pairs(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -186,15 +186,15 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, words: int, percent: int)
 
     An exact filter by prefixes and positions; b is the smaller set.
     """
-    wanted = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(sets_of(wanted, words).join(members.withColumnRenamed("rep", "id"), "id"))
-    items = sets.select("id", "label", F.size("items").alias("n"), F.explode("items").alias("item"))
+    sets = staged(sets_of(docs.join(members, docs["doc_id"] == members["rep"]), words, ["rep", "label"]))
+    items = sets.select(F.col("rep").alias("id"), "label", F.size("items").alias("n"), F.explode("items").alias("item"))
     often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
     own = Window.partitionBy("id").orderBy("often", "item")
     placed = items.join(often, "item").withColumn("pos", F.row_number().over(own))
     # items shared by an i-th and j-th place leave room for 1 + min(n - i, n' - j) in common
     probe = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = cut(placed.where((F.col("pos") <= probe) & (F.col("often") > 1)).select("item", "id", "label", "n", "pos"))
+    prefix = staged(placed.where((F.col("pos") <= probe) & (F.col("often") > 1)).select("item", "id", "label", "n", "pos"))
+    dropped(sets)
     a, b = prefix.alias("a"), prefix.alias("b")
     least = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
     fits = (
@@ -204,38 +204,49 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, words: int, percent: int)
         & (100 * F.col("b.n") >= percent * F.col("a.n"))
         & (1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= least)
     )
-    return a.join(b, fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    found = staged(a.join(b, fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    dropped(prefix)
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    found = cut(sketches(docs, words))
+    found = staged(sketches(docs, words))
     some = found.where("n > 0")
     classes = some.groupBy("set_hash", "n").agg(F.min("doc_id").alias("rep"))
-    nodes = cut(some.join(classes.drop("n"), "set_hash").where("doc_id = rep").select("rep", "n", "marks", "bands").dropDuplicates(["rep"]))
-    keys = nodes.select("rep", F.posexplode("bands").alias("band", "key"))
-    firsts = [F.min(F.struct(F.xxhash64(F.lit(k), "rep").alias("turn"), "rep"))["rep"] for k in range(PIVOTS)]
-    shared = keys.groupBy("band", "key").agg(F.array(*firsts).alias("firsts"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    pivots = F.slice("firsts", F.lit(1), F.when(F.col("members") >= CROWDED, PIVOTS).otherwise(1)).alias("pivots")
-    buckets = cut(keys.join(shared.select("band", "key", pivots), ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "rep", "pivots"))
+    own = some.join(classes.select("rep", F.col("set_hash").alias("h")), (F.col("doc_id") == F.col("rep")) & (F.col("set_hash") == F.col("h")))
+    nodes = staged(own.select("rep", "n", "marks", "bands").distinct())
+    keys = nodes.select("rep", F.explode("bands").alias("bucket"))
+    turned = [F.min(F.col("rep").bitwiseXOR(F.lit(t))).bitwiseXOR(F.lit(t)) for t in TURNS]
+    shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), *(x.alias(f"pivot{k}") for k, x in enumerate(turned))).where("members > 1")
+    buckets = staged(keys.join(shared, "bucket"))
+    every = F.array(*(f"pivot{k}" for k in range(len(TURNS))))
+    pivots = F.slice(every, F.lit(1), F.when(F.col("members") >= CROWDED, len(TURNS)).otherwise(1))
 
     def linked(pairs: DataFrame) -> DataFrame:
         a = nodes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma"))
         b = nodes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb"))
-        likely = cut(alike(pairs.join(a, "a").join(b, "b"), percent))
-        return cut(verified(likely, docs, words, percent))
+        likely = staged(alike(pairs.join(a, "a").join(b, "b"), percent))
+        sure = staged(verified(likely, docs, words, percent))
+        dropped(likely)
+        return sure
 
     def labels(links: DataFrame) -> DataFrame:
         return components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
 
-    stars = linked(buckets.select(F.col("rep").alias("a"), F.explode("pivots").alias("b")).where("a <> b").distinct())
-    live = buckets.join(labels(stars), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    stars = linked(buckets.select(F.col("rep").alias("a"), F.explode(pivots).alias("b")).where("a <> b").distinct())
+    live = buckets.select("bucket", "rep").join(labels(stars), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = live.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    left = cut(live.join(mixed, "bucket").select("rep", "label").distinct())
-    label = labels(stars.unionByName(linked(prefix_pairs(left, docs, words, percent))))
+    left = staged(live.join(mixed, "bucket").select("rep", "label").distinct())
+    candidates = prefix_pairs(left, docs, words, percent)
+    more = linked(candidates)
+    label = labels(stars.unionByName(more))
+    classes = cut(classes)
+    plain = cut(found.select("doc_id", "n", "set_hash"))
+    dropped(found, nodes, buckets, left, candidates, stars, more)
     of_class = classes.join(label, "rep", "left").select("set_hash", F.coalesce("label", "rep").alias("label"))
-    joined = found.select("doc_id", "n", "set_hash").join(of_class, "set_hash", "left")
+    joined = plain.join(of_class, "set_hash", "left")
     component = F.coalesce("label", "doc_id")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
