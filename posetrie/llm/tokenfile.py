@@ -9,7 +9,7 @@ not the larger ids, each task writes one file, and a file's rows know how many i
 in it. A document's place among all ids is that plus the ids of all files before, a sum over a row a
 file.
 
-A null text counts as empty and has the end id alone; a null doc_id sorts first. Rows that repeat a
+A special token's string in a text has its own id, as the library gives it. A null text counts as empty and has the end id alone; a null doc_id sorts first. Rows that repeat a
 doc_id stand together, in order of a hash of the text. An empty table has no rows to read back.
 Columns beyond doc_id and text aren't written.
 
@@ -24,6 +24,7 @@ Parts beyond what the worker's memory of them holds are encoded anew.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -40,28 +41,38 @@ from posetrie.llm.common import list_array, new_folder, rows_of, slices
 _CHUNK = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 _ENDS_BLANK = re.compile(f"[{BLANK}]$|^$")
 _TAIL = re.compile(r"(?<=[A-Za-z])[!-&(-/:-@\[-`{-~]")
-#: Parts that a worker remembers (some 230 bytes each), how long they may be, and how many are encoded as one text.
-REMEMBERED, SHORT, JOINED = 1_000_000, 48, 4096
+#: Parts that a worker remembers (some 200 bytes each), how long they may be, and how many are encoded as one text.
+REMEMBERED, SHORT, JOINED = 500_000, 48, 4096
 STRIPE_BYTES, STRIDE = 32 << 20, 1000
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start_in_file", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
+class Memory:
+    """The ids of parts, one after the other in one array, and where each part's begin."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = array("i"), array("q"), array("q")
+
+    def add(self, part: str, ids: bytes) -> None:
+        self.place[part] = len(self.starts)
+        self.starts.append(len(self.ids))
+        self.sizes.append(len(ids) // 4)
+        self.ids.frombytes(ids)
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """The tokenizer of a file of the tokenizers library, the bytes of each id, and an empty memory of parts.
-
-    Special tokens' strings in a text are ordinary text.
-    """
+    """The tokenizer of a file of the tokenizers library as loaded, the bytes of each id, an empty memory, and the ids of added tokens by their text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
     vocabulary = found.get_vocab()
     n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
     for token, i in vocabulary.items():
         n_bytes[i] = len(token)  # byte-level BPE writes a byte as a character
-    return found, n_bytes, {}
+    return found, n_bytes, Memory(), {t.content: i for i, t in found.get_added_tokens_decoder().items()}
 
 
 def _encode_words(words: list[str], tok, n_bytes: np.ndarray) -> list[bytes]:
@@ -78,7 +89,7 @@ def _encode_words(words: list[str], tok, n_bytes: np.ndarray) -> list[bytes]:
 
 def _encode_parts(parts: list[str], path: str) -> dict[str, bytes]:
     """The ids of each part by itself."""
-    tok, n_bytes, _ = tokenizer(path)
+    tok, n_bytes = tokenizer(path)[:2]
     words = [x for x in parts if x[0] == " " and not _ENDS_BLANK.search(x)]
     others = [x for x in parts if x[0] != " " or _ENDS_BLANK.search(x)]
     found = dict(zip(words, _encode_words(words, tok, n_bytes)))
@@ -94,7 +105,8 @@ def _cut_up(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]
     pieces = coded.dictionary.to_pylist()
     owner = np.repeat(np.arange(len(texts)), np.diff(starts))
     # a space may be cut off only after other characters than white space, or at the start
-    unsafe = np.array([_ENDS_BLANK.search(x) is not None for x in pieces], bool)[at]
+    blank_end = pc.or_(pc.equal(pc.binary_length(coded.dictionary), 0), pc.match_substring_regex(coded.dictionary, f"[{BLANK}]$"))
+    unsafe = blank_end.to_numpy(zero_copy_only=False)[at]
     first, last = starts[:-1], starts[1:] - 1
     lead = np.array([not x or x[0] == " " for x in (y or "" for y in texts)])
     unsafe[first[lead]] = False
@@ -115,29 +127,58 @@ def _cut_up(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]
 
 
 def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """The ids of each whole text (without special tokens)."""
+    """The ids of each whole text; no special tokens are put around it, those whose text it holds have their ids."""
+    added = tokenizer(path)[3]
+    if not any(t in x for t in added for x in texts if x):
+        return _encode_plain(texts, path)
+    mark = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    between = [mark.split(x or "") for x in texts]  # every second piece is an added token
+    flat = iter(_encode_plain([piece for pieces in between for piece in pieces[::2]], path))
+    out = []
+    for pieces in between:
+        ids = [next(flat)]
+        for token in pieces[1::2]:
+            ids += [np.array([added[token]], np.int32), next(flat)]
+        out.append(np.concatenate(ids))
+    return out
+
+
+def _encode_plain(texts: list[str | None], path: str) -> list[np.ndarray]:
+    """The ids of texts that hold no added token."""
     if not texts:
         return []
     known = tokenizer(path)[2]
     parts, at, owner = _cut_up(texts)
-    ids = list(map(known.get, parts))
-    lacking = [k for k, have in enumerate(ids) if have is None]
-    halves = {}
-    for k in lacking:
+    place = np.fromiter(map(known.place.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+    lacking = np.flatnonzero(place < 0)
+    halves = []
+    for k in lacking.tolist():
         part = parts[k]
         tail = _TAIL.search(part)
-        halves[k] = (part[: tail.start()], part[tail.start() :]) if tail else (part, "")
-    new = _encode_parts(list({x for both in halves.values() for x in both if x and x not in known}), path)
-    new[""] = b""
-    for k, both in halves.items():
-        a, b = (known[x] if x in known else new[x] for x in both)
-        ids[k] = a + b
-    if len(known) < REMEMBERED:  # frequent parts come early; what comes later is encoded as it comes
-        known.update((x, found) for x, found in new.items() if len(x) <= SHORT)
-    sizes = np.array([len(x) for x in ids], np.int64) // 4
-    flat = np.frombuffer(b"".join(ids), np.uint32).astype(np.int32)
-    n = sizes[at]
-    begin = np.cumsum(sizes)[at] - n  # where a part's ids begin in flat
+        halves.append((part[: tail.start()], part[tail.start() :]) if tail else (part, ""))
+    new = _encode_parts(list({x for both in halves for x in both if x and x not in known.place}), path)
+
+    def ids_of(x: str) -> bytes:
+        if x in known.place:
+            k = known.place[x]
+            return known.ids[known.starts[k] : known.starts[k] + known.sizes[k]].tobytes()
+        return new.get(x, b"")
+
+    found = [ids_of(a) + ids_of(b) for a, b in halves]
+    n = np.array([len(x) for x in found], np.int64) // 4
+    flat = np.concatenate([np.frombuffer(known.ids, np.int32), np.frombuffer(b"".join(found), np.int32)])
+    starts = np.concatenate([np.frombuffer(known.starts, np.int64), len(known.ids) + np.cumsum(n) - n])
+    sizes = np.concatenate([np.frombuffer(known.sizes, np.int64), n])
+    place[lacking] = len(known.starts) + np.arange(len(lacking))
+    if len(known.place) < REMEMBERED:  # frequent parts come early; what comes later is encoded as it comes
+        for k, ids in zip(lacking.tolist(), found):
+            if len(parts[k]) <= SHORT and parts[k] not in known.place:
+                known.add(parts[k], ids)
+        for x, ids in new.items():
+            if len(x) <= SHORT and x not in known.place:
+                known.add(x, ids)
+    of = place[at]
+    n, begin = sizes[of], starts[of]
     upto = np.cumsum(n)
     taken = flat[np.repeat(begin - upto + n, n) + np.arange(n.sum())]
     ends = np.cumsum(np.bincount(owner, n, minlength=len(texts)).astype(np.int64))
@@ -148,8 +189,9 @@ def write(docs: DataFrame, tokenizer_path: str, end: int | None, path: str | Non
     """Writes the ids of docs (doc_id, text) as ORC in ascending doc_id order; gives the folder."""
     path = path or new_folder(docs.sparkSession, "tokens")
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    ranged = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+    # ranges of the id alone keep rows of one id together, and are sampled without the texts' hashes
+    rows, by_id = docs.select("doc_id", "text"), F.col("doc_id").asc_nulls_first()
+    ranged = (rows.repartitionByRange(files, by_id) if files else rows.repartitionByRange(by_id)).withColumn("tie", F.xxhash64("text"))
 
     def ids(batches):
         before = 0

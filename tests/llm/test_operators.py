@@ -261,9 +261,7 @@ def test_sketches_fill_and_estimate():
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_token_files(spark, docs, tokenizer):
@@ -284,7 +282,7 @@ def test_token_files(spark, docs, tokenizer):
 def test_chunks_are_encoded_as_the_whole(tokenizer):
     r = np.random.default_rng(8)
     alphabet = list("ab'sé漢9!., \n\t  \x1c😀")
-    texts = ["".join(alphabet[k] for k in r.integers(len(alphabet), size=n)) for n in range(1, 200)] + ["<|endoftext|> x"]
+    texts = ["".join(alphabet[k] for k in r.integers(len(alphabet), size=n)) for n in range(1, 200)] + ["<|endoftext|> x", "<|endoftext|>", "a <|endoftext|><|endoftext|>b  <|endoftext", "end of text|> <| endoftext |>"]
     got = tokenfile.encode(texts, public_tokenizers.path("byte_bpe_50k.json"))
     assert [g.tolist() for g in got] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
