@@ -34,14 +34,16 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 @contextlib.contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, Spark removes the shuffle files of each query when the query ends."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+    """While it lasts, Spark removes the shuffle files of each query when the query ends, and gives Python smaller batches."""
+    mine = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    before = {name: spark.conf.get(name) for name in mine}
+    for name, value in mine.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def cut(df: DataFrame) -> DataFrame:
