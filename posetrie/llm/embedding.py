@@ -40,9 +40,8 @@ def directions(dim: int, trees: int, seed: int) -> np.ndarray:
 
 def classes(vectors: DataFrame) -> DataFrame:
     """(label, embedding, rep, n) of vectors (vec_id, embedding, label): one row for each different usable vector."""
-    square = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x)
     sound = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = vectors.where(sound).withColumn("square", F.when(sound, square)).where("square > 0")
+    usable = vectors.where(sound & F.exists("embedding", lambda x: x != 0))
     return usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("n"))
 
 
@@ -87,6 +86,11 @@ def leaves(rows: DataFrame, cosine: float, leaf: int) -> DataFrame:
         narrow = F.col("q")[3] - F.col("q")[0] < 3 * (2 - 2 * cosine) ** 0.5 / F.sqrt("dim")
         split = (F.col("size") > leaf) & ~narrow if level < LEVELS else F.lit(False)
         nodes = cut(nodes.select("tree", "node", "size", "q", split.alias("split")))
+        if level == 0:
+            # a root that some tree leaves whole is compared whole there, once for all trees
+            once = F.struct(F.col("split"), F.col("tree"))
+            first = nodes.groupBy("node").agg(F.min(once).alias("first"))
+            nodes = cut(nodes.join(first, "node").where("first.split OR tree = first.tree").drop("first"))
         ready = rows.join(nodes.where("NOT split").select("tree", "node", "size"), ["tree", "node"]).select("tree", "node", "rep", "size")
         done = ready if done is None else done.unionByName(ready)
         if nodes.where("split").isEmpty():

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash thresholds, in DataFrame operations alone.
 
-Every document has a fixed place: a 60-bit hash of its id and the seed. A source takes the documents
+Every document has a fixed place: a 60-bit hash of its id, its text and the seed. A source takes the documents
 whose hash lies below its threshold, so that a larger budget always takes a superset (thresholds are
 nested) and reruns agree. The threshold comes from histograms: words by source and bucket of the
 hash's leading bits, a running sum over the buckets, then again over the next bits of the one bucket
@@ -13,7 +13,8 @@ the rest. A budget beyond a source's size takes the whole source as often as it
 threshold. The document at the threshold is taken if that brings the sum nearer to the target.
 
 Null and empty texts have size 0; a source of size 0 has target 0 and its documents are taken 0
-times. Rows that repeat an id in a source share a hash and are taken alike. A null source is a source of its own. An
+times. Rows that repeat an id and a text in a source share a hash and are taken alike; rows without an
+id are told apart by their texts. A null source is a source of its own. An
 empty table gives an empty table. Columns beyond the two used stay with the caller.
 """
 
@@ -33,7 +34,7 @@ _HEX = BITS // 4
 
 def place(key: Column, seed: int) -> Column:
     """The leading 15 hexadecimal digits of a hash of the key."""
-    return F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null")))), 1, _HEX * LEVELS)
+    return F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key)), 1, _HEX * LEVELS)
 
 
 def bucket(at: Column, level: int) -> Column:
@@ -62,7 +63,8 @@ def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFram
 
 def sized(docs: DataFrame, seed: int = 0, keep: Sequence[str] = ()) -> DataFrame:
     """(source, size, at) and the columns in keep, for docs with doc_id, source and text."""
-    return docs.select("source", n_words(F.col("text")).alias("size"), place(F.col("doc_id"), seed).alias("at"), *keep)
+    own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
+    return docs.select("source", n_words(F.col("text")).alias("size"), place(own, seed).alias("at"), *keep)
 
 
 def by_source(rows: DataFrame, per_source: DataFrame, n: int) -> DataFrame:

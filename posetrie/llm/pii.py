@@ -16,11 +16,12 @@ after "phone:". Base spans always stay.
 A null text counts as empty: no spans. Ties and repeated rows have no effect on each other: rows that
 repeat an id keep their own results. Counts are of different instances, so that copies of a document
 don't make a pattern reliable. Very long texts take time in proportion to their length. Columns other than
-those used stay in `scan` if asked for. An empty table gives an empty table.
+those used stay in `scan` and `find` if asked for, where they may not be called base or spans. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator, Sequence
 
@@ -114,14 +115,21 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
         for pattern in filter(None, (f"1 {cue}" if cue else None, f"2 {two}")):
             found.append((kind, a, b, value, pattern, seed))
 
+    begins, ends = [], []  # of the stretches that base spans cover, in order and apart
     for kind, a, b in base:
         add(kind, a, b, True)
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
     for form, pattern in (("number", _NUMBER), ("at", _AT), ("colons", _COLONS)):
         if form == "at" and "@" not in text:
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
-            if b - a >= 5 and not any(x < b and a < y for _, x, y in base):
+            k = bisect.bisect_left(begins, b) - 1  # the last stretch that begins before b
+            if b - a >= 5 and (k < 0 or ends[k] <= a):
                 kinds = _kinds(form, m[0])
                 for kind in kinds:
                     add(kind, a, b, False)

@@ -26,7 +26,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         substr(md5('{MIX_SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15) AS at
+         substr(md5('{MIX_SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 15) AS at
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (

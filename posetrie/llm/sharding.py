@@ -8,9 +8,9 @@ a bucket touches the few shards that its part of the order meets. Reruns agree.
 
 A record's size is the UTF-8 bytes of its text (null: none) plus 16. Null ids and texts are hashed as
 such. The id and the text both decide a record's bucket, so that copies of a text spread out. Rows
-that repeat an id and a text share a bucket, where they are as good as each other. An empty table
+that repeat an id and a text share a bucket, where a hash of the whole record orders them. An empty table
 gives no files, and an empty result where read() is given the schema. Further columns are written with the record; names that the
-shards use (shard, slot, size) must be free.
+results have (shard, slot) must be free.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from posetrie.llm.common import new_folder
+from posetrie.llm.common import fresh, new_folder
 
 #: Bytes of text in a bucket, which one task holds in memory about three times.
 BUCKET_BYTES = 32 << 20
+#: Buckets (16 bytes each) up to which their begins are broadcast; beyond it they are joined by shuffle.
+MOST_BROADCAST = 500_000
 
 
 def size_of(text: Column) -> Column:
@@ -34,9 +36,9 @@ def scatter(docs: DataFrame, n_buckets: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(n_buckets)).cast("int")
 
 
-def shuffled(part: pa.Table, bucket: int, seed: int) -> pa.Table:
+def shuffled(part: pa.Table, bucket: int, seed: int, tie: str) -> pa.Table:
     """The rows of a bucket in an order that only its content and the seed decide."""
-    canonical = pc.sort_indices(part, sort_keys=[("doc_id", "ascending"), ("tie", "ascending")])
+    canonical = pc.sort_indices(part, sort_keys=[("doc_id", "ascending"), (tie, "ascending")])
     order = np.arange(part.num_rows)
     np.random.default_rng([seed, bucket]).shuffle(order)  # numpy's shuffle is Fisher and Yates'
     return part.take(canonical.take(pa.array(order)))
@@ -52,17 +54,19 @@ def shard(docs: DataFrame, n_shards: int, path: str | None = None, seed: int = 0
     path = path or new_folder(spark, "shards")
     n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(size_of(F.col("text"))), F.lit(0))).first()
     n_buckets = max(1, -(-total // bucket_bytes))
-    placed = docs.withColumn("bucket", scatter(docs, n_buckets, seed))
+    bucket_, begin_, tie_ = (fresh(docs, x) for x in ("bucket", "begin", "tie"))
+    placed = docs.withColumn(bucket_, scatter(docs, n_buckets, seed))
     # a row for each bucket_bytes of text: where the bucket's records begin in the global order
-    counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    begins = counts.withColumn("begin", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    begins = begins.select("bucket", F.coalesce("begin", F.lit(0)).cast("long").alias("begin"))
+    counts = placed.groupBy(bucket_).agg(F.count(F.lit(1)).alias("n"))
+    begins = counts.withColumn(begin_, F.sum("n").over(Window.orderBy(bucket_).rowsBetween(Window.unboundedPreceding, -1)))
+    begins = begins.select(bucket_, F.coalesce(begin_, F.lit(0)).cast("long").alias(begin_))
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     scattered = (
-        placed.withColumn("tie", F.xxhash64("text"))
-        .join(F.broadcast(begins), "bucket")
-        .repartitionById(n_buckets, F.col("bucket"))
+        placed.withColumn(tie_, F.xxhash64(*hashed))
+        .join(F.broadcast(begins) if n_buckets <= MOST_BROADCAST else begins, bucket_)
+        .repartitionById(n_buckets, F.col(bucket_))
     )
-    kept = [c for c in scattered.columns if c not in ("bucket", "begin", "tie")]
+    kept = list(docs.columns)
     schema = T.StructType([*(scattered.schema[c] for c in kept), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def second_pass(batches):
@@ -70,8 +74,8 @@ def shard(docs: DataFrame, n_shards: int, path: str | None = None, seed: int = 0
         if not held:
             return
         part = pa.Table.from_batches(held)
-        bucket, begin = part.column("bucket")[0].as_py(), part.column("begin")[0].as_py()
-        part = shuffled(part, bucket, seed).select(kept)
+        bucket, begin = part.column(bucket_)[0].as_py(), part.column(begin_)[0].as_py()
+        part = shuffled(part, bucket, seed, tie_).select(kept)
         at = begin + np.arange(part.num_rows)
         s = at * n_shards // n  # the last shard whose part begins at or before the record
         slot = at - -(-s * n // n_shards)

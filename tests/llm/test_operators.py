@@ -522,6 +522,59 @@ def test_masks():
     assert pii.masked("x a@b.cd y", [("email", 2, 8)]) == "x [EMAIL] y"
 
 
+# the queries
+
+
+def test_queries_of_small_tables(spark, docs, tokenizer, tmp_path):
+    """The digests that the queries make of their operators' results, against plain computation."""
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {name: {r.doc_id: r for r in queries.QUERIES[name](spark, str(tmp_path)).collect()} for name in ("op3_minhash_near_dedup", "op4_token_files", "op8_shards", "op9_pii")}
+    same = brute(list(enumerate(TEXTS)), 4)
+    at = 0
+    for i, x in enumerate(TEXTS):
+        r = rows["op3_minhash_near_dedup"][i]
+        assert (r.n_shingles, r.component_id, r.kept) == same[i]
+        ids = [*tokenizer.encode(x or "", add_special_tokens=False).ids, 2]
+        r = rows["op4_token_files"][i]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+        raw = (x or "").encode()
+        r = rows["op8_shards"][i]
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+        base = plain_spans(x or "")
+        r, written = rows["op9_pii"][i], ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(written.encode()).hexdigest() and r.spans == written
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in pii.KINDS]
+    slots = {(r.shard, r.slot) for r in rows["op8_shards"].values()}
+    assert len(slots) == len(TEXTS) and {s for _, s in slots} == {0}
+
+
+def test_shards_with_clashing_names(spark, docs):
+    more = docs.select("doc_id", "text", F.lit("x").alias("bucket"), F.lit(1).alias("begin"), F.lit(2).alias("tie"))
+    got = sharding.read(spark, sharding.shard(more, 3, seed=1, bucket_bytes=20_000))
+    assert {(r.bucket, r.begin, r.tie) for r in got.collect()} == {("x", 1, 2)} and got.count() == len(TEXTS)
+
+
+def test_rows_without_ids_are_mixed_by_their_texts(spark):
+    d = spark.createDataFrame([(None, f"w w{i}", "a") for i in range(300)] + [(i, "w w", "b") for i in range(300)], "doc_id long, text string, source string")
+    s = mixing.sized(d, 3, ["doc_id"])
+    taken = mixing.take(s, mixing.plan(s, (1, 5), 3)).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n"), F.first("target").alias("t")).collect()
+    assert all(abs(r.n - r.t) <= 2 for r in taken)
+
+
+def test_embeddings_at_production_size(spark):
+    """Labels beyond a leaf, with the production settings: near all links are found; tiny numbers aren't zero."""
+    r = np.random.default_rng(14)
+    center = r.standard_normal((40, 64))
+    v = (center[r.integers(40, size=1500)] + r.standard_normal((1500, 64)) * 0.2).astype(np.float32)
+    rows = [(i, [float(x) for x in v[i]], 0) for i in range(1500)] + [(5000, [1e-30] * 64, 1), (5001, [2e-30] * 64, 1)]
+    got = {x.vec_id: x for x in embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)).collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    want = ((u @ u.T) >= 0.93).sum(axis=1) - 1
+    assert sum(got[i].n_links for i in range(1500)) >= 0.99 * want.sum() > 0
+    assert all(got[i].n_links <= want[i] for i in range(1500)) and got[5001].component_id == 5000
+
+
 # the pipeline
 
 
