@@ -55,12 +55,15 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    with shuffles_removed(spark):
-        return df.select("*").checkpoint(eager=True)
+    return df.checkpoint(eager=True)
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """The rows of df as a table in the shared folder, for large steps between; dropped() removes it."""
+    """The rows of df as a table in the shared folder, for large steps between; dropped() removes it.
+
+    Small steps are cut() instead: where Spark finds a side empty it may end a query before all its
+    tasks, and these would wait for shuffle files that are gone.
+    """
     spark = df.sparkSession
     path = new_folder(spark, "staged")
     with shuffles_removed(spark):
