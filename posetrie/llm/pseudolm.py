@@ -2,15 +2,17 @@
 
 Tokens are the classes of lower-cased words: the TOP most frequent words of all documents one class each, all other
 words in OTHER classes by hash. A network sees the SIDE tokens before and the SIDE tokens after a
-masked place (embeddings, one tanh layer) and predicts its token's class; a document's score is the sum of
+masked place (embeddings, one tanh layer) and predicts its token's class in two steps, the group of MEMBERS classes of
+like frequency and the class in it, so that thousands of classes cost what a few hundred would in one; a document's score is the sum of
 the log-probabilities of all its words: of the class, predicted from both sides, and of the word
 within its class, by the counts of all documents. The latter are joined to the documents' words by Spark.
 Rows are told apart there by a 64-bit hash of id and text; rows that repeat both share one mean, as they should.
 
 Word counts cover all documents. The network is trained in numpy on the windows around every
-place of every document (every rate-th one where a caller asks for that). Trainers each take a share of the documents'
+place of every document (every rate-th one where a caller asks for that), each in one of the rounds. Trainers each take a share of the documents'
 classes and make windows of them batch by batch; they start from common weights, and the means of their weights are the next round's start.
-Only weights reach the driver (some 90 KB a trainer, MOST_TRAINERS at most), and the vocabulary (TOP words).
+Spark sums the trainers' weights, as whole numbers, so that sums don't depend on their order. Only the mean (some 210,000 numbers a round) reaches the driver,
+and the vocabulary (TOP words), whatever the input's size.
 
 Null and empty texts have no tokens and score 0 (their score a token is null). Ties of words in
 frequency go by the word's bytes. Repeated rows count and score as often as they occur. Whole texts are scored, long ones in
@@ -29,14 +31,21 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from posetrie.llm.common import cut, fresh, slices
 
-TOP, OTHER, SIDE, WIDTH, HIDDEN = 192, 64, 3, 16, 32
+TOP, OTHER, SIDE, WIDTH, HIDDEN = 3840, 256, 3, 16, 32
 CLASSES = TOP + OTHER
+MEMBERS = 64
+GROUPS = CLASSES // MEMBERS
 PAD = CLASSES
-RATE, ROUNDS, BATCH = 1, 2, 256
-PER_TRAINER, MOST_TRAINERS = 200_000, 256
+RATE, ROUNDS = 1, 2
+#: Windows of a step: first, at most, and the steps after which they double.
+FIRST, BATCH, DOUBLED = 256, 2048, 32
+#: Beyond so many trainers their shares grow; a trainer streams its share.
+PER_TRAINER, MOST_TRAINERS = 4_000_000, 4096
+#: Weights are summed in units of 1 / UNIT.
+UNIT = 1 << 44
 #: Windows that a trainer holds, and draws in random order, at a time.
 HELD = 1 << 16
-BLOCK = 2048
+BLOCK = 8192
 _AROUND = [o for o in range(-SIDE, SIDE + 1) if o]
 
 
@@ -86,7 +95,8 @@ def vocabulary(docs: DataFrame) -> list[bytes]:
 
 def shares(counted: DataFrame, top: list[bytes]) -> DataFrame:
     """(word, share): log p(word | class) of the words without a class of their own, for which it is 0."""
-    rest = counted.where(~F.col("word").isin(*(F.lit(bytearray(w)) for w in top))).withColumn("class", F.crc32("word") % OTHER)
+    own = counted.sparkSession.createDataFrame([(bytearray(w),) for w in top], "word binary")  # TOP rows
+    rest = counted.join(F.broadcast(own), "word", "left_anti").withColumn("class", F.crc32("word") % OTHER)
     whole = rest.groupBy("class").agg(F.sum("n").alias("whole"))  # OTHER rows
     return rest.join(F.broadcast(whole), "class").select("word", (F.log("n") - F.log("whole")).alias("share"))
 
@@ -162,7 +172,7 @@ def windows(parts: Iterable[bytes], rate: int) -> Iterator[np.ndarray]:
 
 
 class Network:
-    """Weights: e (embeddings), w and b (hidden layer), v and c (output)."""
+    """Weights: e (embeddings), w and b (hidden layer), g and d (groups), v and c (classes in each group)."""
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.p = parts
@@ -177,8 +187,10 @@ class Network:
                 "e": r.normal(0, 0.3, (CLASSES + 1, WIDTH)).astype(f),
                 "w": r.normal(0, wide**-0.5, (len(_AROUND), WIDTH, HIDDEN)).astype(f),
                 "b": np.zeros(HIDDEN, f),
-                "v": r.normal(0, 0.1, (HIDDEN, CLASSES)).astype(f),
-                "c": np.zeros(CLASSES, f),
+                "g": r.normal(0, 0.1, (HIDDEN, GROUPS)).astype(f),
+                "d": np.zeros(GROUPS, f),
+                "v": r.normal(0, 0.1, (GROUPS, HIDDEN, MEMBERS)).astype(f),
+                "c": np.zeros((GROUPS, MEMBERS), f),
             }
         )
 
@@ -196,47 +208,86 @@ class Network:
         """One pass of AdaGrad over windows in random order; seen, from squares(), carries its state from call to call."""
         p, seen = self.p, self.squares() if seen is None else seen
         order = np.random.default_rng(seed).permutation(len(rows))
-        wide = len(_AROUND) * WIDTH
-        for s in range(0, len(order), BATCH):
-            x = rows[order[s : s + BATCH]].astype(np.int64)
-            y, around = x[:, SIDE], np.delete(x, SIDE, axis=1)
-            n = np.arange(len(y))
+        wide, done = len(_AROUND) * WIDTH, 0
+
+        while done < len(order):
+            size = min(BATCH, FIRST << min(int(seen["steps"][0]) // DOUBLED, 20))
+            x = rows[order[done : done + size]]
+            done, seen["steps"][0] = done + size, seen["steps"][0] + 1
+            x = x[np.argsort(x[:, SIDE] // MEMBERS, kind="stable")].astype(np.int64)
+            group, member = np.divmod(x[:, SIDE], MEMBERS)
+            around = np.delete(x, SIDE, axis=1)
             e, w = p["e"][around].reshape(-1, wide), p["w"].reshape(wide, HIDDEN)
             h = np.tanh(e @ w + p["b"])
-            q = h @ p["v"] + p["c"]
-            q -= q.max(axis=1, keepdims=True)
-            np.exp(q, out=q)
-            q /= q.sum(axis=1, keepdims=True)
-            q[n, y] -= 1
-            q /= len(y)
-            dh = (q @ p["v"].T) * (1 - h * h)
+            q = _surplus(h @ p["g"] + p["d"], group, len(x))
+            dh = q @ p["g"].T
+            z = _surplus(self._members(h, group), member, len(x))
+            dv, dc = np.zeros_like(p["v"]), np.zeros_like(p["c"])
+            for k, here in _runs(group):
+                dh[here] += z[here] @ p["v"][k].T
+                np.matmul(h[here].T, z[here], out=dv[k])
+                dc[k] = z[here].sum(axis=0)
+            dh *= 1 - h * h
             cells = (around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()  # bincount is faster than np.add.at
             de = np.bincount(cells, (dh @ w.T).ravel(), p["e"].size).reshape(p["e"].shape).astype(np.float32)
-            g = {"e": de, "w": (e.T @ dh).reshape(p["w"].shape), "b": dh.sum(axis=0), "v": h.T @ q, "c": q.sum(axis=0)}
+            g = {"e": de, "w": (e.T @ dh).reshape(p["w"].shape), "b": dh.sum(axis=0), "g": h.T @ q, "d": q.sum(axis=0), "v": dv, "c": dc}
             for k in p:
                 seen[k] += g[k] * g[k]
                 p[k] -= (rate * g[k] / np.sqrt(seen[k])).astype(np.float32)
 
     def squares(self) -> dict[str, np.ndarray]:
-        """AdaGrad's sums of squares before any step."""
-        return {k: np.full_like(x, 1e-4) for k, x in self.p.items()}
-
-    def log_chance(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The log-probability of each token of stream s at the places, from both sides."""
-        p, out = self.p, np.empty(len(at))
-        side = np.einsum("cd,odh->och", p["e"], p["w"])  # what each class adds at each place around
+        """AdaGrad's sums of squares and number of steps before any step."""
+        return {"steps": np.zeros(1, np.int64), **{k: np.full_like(x, 1e-4) for k, x in self.p.items()}}
+
+    def sides(self) -> np.ndarray:
+        """What each class adds to the hidden layer at each place around."""
+        return np.stack([self.p["e"] @ w for w in self.p["w"]])
+
+    def _members(self, h: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """The logits of the classes of each row's own group; rows are in order of their groups."""
+        z = np.empty((len(h), MEMBERS), np.float32)
+        for k, here in _runs(group):
+            np.matmul(h[here], self.p["v"][k], out=z[here])
+        z += self.p["c"][group]
+        return z
+
+    def log_chance(self, s: np.ndarray, at: np.ndarray, sides: np.ndarray | None = None) -> np.ndarray:
+        """The log-probability of each token of stream s at the places, from both sides; sides() may be given."""
+        p, out, sides = self.p, np.empty(len(at)), self.sides() if sides is None else sides
         for k in range(0, len(at), BLOCK):
-            here = at[k : k + BLOCK]
+            order = np.argsort(s[at[k : k + BLOCK]] // MEMBERS, kind="stable")
+            here = at[k : k + BLOCK][order]
+            group, member = np.divmod(s[here], MEMBERS)
             h = np.repeat(p["b"][None, :], len(here), axis=0)
-            for o, table in zip(_AROUND, side):
+            for o, table in zip(_AROUND, sides):
                 h += table[s[here + o]]
-            z = np.tanh(h) @ p["v"] + p["c"]
-            z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(here)), s[here]]
-            out[k : k + BLOCK] = own - np.log(np.exp(z, out=z).sum(axis=1))
+            np.tanh(h, out=h)
+            out[k + order] = _log_own(h @ p["g"] + p["d"], group) + _log_own(self._members(h, group), member)
         return out
 
 
+def _runs(group: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each value of a sorted array and where it stands."""
+    starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+    return ((int(group[a]), slice(a, b)) for a, b in zip(starts, [*starts[1:], len(group)]))
+
+
+def _surplus(z: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """The gradient of the loss, a mean over n rows, by the logits z (overwritten)."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True) * n
+    z[np.arange(len(z)), own] -= 1 / n
+    return z
+
+
+def _log_own(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The log-probability of each row's own column by the logits z (overwritten)."""
+    z -= z.max(axis=1, keepdims=True)
+    mine = z[np.arange(len(z)), own]
+    return mine - np.log(np.exp(z, out=z).sum(axis=1))
+
+
 def train(parts: DataFrame, rate: int = RATE, seed: int = 2) -> Network:
     """The network of sequences (key, part), trained in rounds by trainers whose weights are averaged."""
     parts = cut(parts)
@@ -244,6 +295,7 @@ def train(parts: DataFrame, rate: int = RATE, seed: int = 2) -> Network:
     trainers = int(min(MOST_TRAINERS, max(1, -(-n // (rate * PER_TRAINER)))))
     dealt = parts.repartition(trainers, "key", "part").sortWithinPartitions("key", "part")
     model = Network.new(seed)
+    whole = max(n, 1)
     for turn in range(ROUNDS if n else 0):
         start = model.dump()
 
@@ -251,19 +303,18 @@ def train(parts: DataFrame, rate: int = RATE, seed: int = 2) -> Network:
             net, n = Network.new(seed).load(start), 0
             seen = net.squares()
             for rows in windows((x for batch in batches for x in batch.column(1).to_pylist()), rate):
-                net.train(rows, seed + turn + n, seen=seen)
-                n += len(rows)
+                net.train(rows[turn::ROUNDS], seed + turn + n, seen=seen)
+                n += len(rows[turn::ROUNDS])
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([net.dump()], pa.binary())], names=["n", "weights"])
-
-        found = dealt.mapInArrow(run, "n long, weights binary").collect()
-        if not found:
-            break
-        n_rows = np.array([r[0] for r in found], float)
-        flat = np.stack([np.frombuffer(bytes(r[1]), np.float32) for r in found])
-        order = np.lexsort(flat[:, :2].T)  # sums don't depend on which trainer answers first
-        mean = (flat[order] * (n_rows[order] / n_rows.sum())[:, None]).sum(axis=0)
-        model = model.load(mean.astype(np.float32).tobytes())
+                flat = np.frombuffer(net.dump(), np.float32).astype(float)
+                sums = np.append(np.rint(flat * (n / whole * UNIT)).astype(np.int64), n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], names=["at", "part"])
+
+        found = dealt.mapInArrow(run, "at int, part long").groupBy("at").agg(F.sum("part").alias("part")).toArrow()
+        if not found.num_rows:
+            continue
+        sums = found.sort_by("at").column("part").to_numpy()
+        model = model.load((sums[:-1] / (sums[-1] / whole * UNIT)).astype(np.float32).tobytes())
     return model
 
 
@@ -277,13 +328,14 @@ def score(docs: DataFrame, top: list[bytes], model: Network, within: DataFrame,
 
     def run(batches):
         known, net = Vocabulary(top), Network.new(0).load(raw)
+        sides = net.sides()
         for batch in batches:
-            for part in slices(batch, 64):
+            for part in slices(batch):
                 ds = [known.classes(x) for x in part.column(len(keep) + 1).to_pylist()]
                 sizes = np.array([len(d) for d in ds])
                 others = np.array([np.count_nonzero(d >= TOP) for d in ds])
                 owner = np.repeat(np.arange(len(ds)), sizes)
-                sums = np.bincount(owner, net.log_chance(*stream(ds)), minlength=len(ds)).astype(float)
+                sums = np.bincount(owner, net.log_chance(*stream(ds), sides), minlength=len(ds)).astype(float)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep) + 1], pa.array(others, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=schema.names)
 
     # rows that repeat an id and a text meet under one key: the mean is each one's own

@@ -144,13 +144,34 @@ def test_vocabulary_counts_all_texts(spark, docs):
 
 def test_log_chances_by_hand_and_learning():
     net = pseudolm.Network.new(1)
-    d = np.array([3, 200, 7, 7, 9], np.int16)
+    d = np.array([3, 200, 7, 7, 4095, 9], np.int16)
     s, at = pseudolm.stream([d, np.empty(0, np.int16), d[:2]])
-    p, got = net.p, net.log_chance(s, at)
-    for k, place in enumerate(at):
+
+    def by_hand(p, place):
         e = np.stack([p["e"][s[place + o]] for o in pseudolm._AROUND])
-        z = np.tanh(np.einsum("od,odh->h", e, p["w"]) + p["b"]) @ p["v"] + p["c"]
-        assert abs(got[k] - (z[s[place]] - np.log(np.exp(z).sum()))) < 1e-4
+        h = np.tanh(np.einsum("od,odh->h", e, p["w"]) + p["b"])
+        group, member = divmod(int(s[place]), pseudolm.MEMBERS)
+        both = ((h @ p["g"] + p["d"], group), (h @ p["v"][group] + p["c"][group], member))
+        return sum(z[own] - np.log(np.exp(z).sum()) for z, own in both)
+
+    got = net.log_chance(s, at)
+    assert all(abs(got[k] - by_hand(net.p, place)) < 1e-4 for k, place in enumerate(at))
+    # one step goes against the loss's slope, by differences, for some of every kind of weights
+    rows = s[at[:, None] + np.arange(-3, 4)]
+    exact = pseudolm.Network({k: x.astype(float) for k, x in net.p.items()})
+    stepped, seen = exact.load(net.dump()), net.squares()
+    for k in net.p:
+        seen[k] = np.full_like(net.p[k], 1e12)  # then a step is the slope times rate / 1e6
+    stepped.train(rows, 0, rate=1e6, seen=seen)
+    for k, x in exact.p.items():
+        found = net.p[k].astype(float) - stepped.p[k]
+        for cell in [np.unravel_index(np.abs(found).argmax(), x.shape), np.unravel_index(int(np.median(np.flatnonzero(found))), x.shape)]:
+            held, loss = x[cell], []
+            for d_ in (1e-4, -1e-4):
+                x[cell] = held + d_
+                loss.append(-sum(by_hand(exact.p, place) for place in at) / len(at))
+            x[cell] = held
+            assert abs(found[cell] - (loss[0] - loss[1]) / 2e-4) < 1e-4, k
     # a text in which the neighbours tell the word is learned
     text = np.tile(np.arange(8, dtype=np.int16), 2000)
     s, at = pseudolm.stream([text])
