@@ -148,8 +148,8 @@ def sequences(docs: DataFrame, top: list[bytes]) -> DataFrame:
     return docs.select(_key(), "text").mapInArrow(run, "key long, part binary").where("octet_length(part) > 0")
 
 
-def windows(parts: Iterable[bytes], rate: int) -> Iterator[np.ndarray]:
-    """The windows (2 * SIDE + 1 classes) around every rate-th token of each document, at most HELD at a time."""
+def windows(parts: Iterable[bytes], rate: int, turn: int = 0, turns: int = 1) -> Iterator[np.ndarray]:
+    """The windows (2 * SIDE + 1 classes) around every rate-th token of each document, at most HELD at a time; of turns calls, each gives its own."""
     around, docs, first, n = np.arange(-SIDE, SIDE + 1), [], [], 0
 
     def held():
@@ -157,6 +157,7 @@ def windows(parts: Iterable[bytes], rate: int) -> Iterator[np.ndarray]:
         starts = np.cumsum([0, *map(len, docs)])
         if rate > 1:
             at = np.concatenate([at[a + f : b : rate] for a, b, f in zip(starts, starts[1:], first)])
+        at = at[turn::turns]
         for k in range(0, len(at), HELD):
             yield s[at[k : k + HELD, None] + around]
 
@@ -164,7 +165,7 @@ def windows(parts: Iterable[bytes], rate: int) -> Iterator[np.ndarray]:
         docs.append(np.frombuffer(part, np.int16))
         first.append(zlib.crc32(part) % rate)
         n += len(docs[-1])
-        if n >= HELD * rate:
+        if n >= HELD * rate * turns:
             yield from held()
             docs, first, n = [], [], 0
     if docs:
@@ -293,7 +294,8 @@ def train(parts: DataFrame, rate: int = RATE, seed: int = 2) -> Network:
     parts = cut(parts)
     n = parts.agg(F.coalesce(F.sum(F.octet_length("part")), F.lit(0))).first()[0] // 2
     trainers = int(min(MOST_TRAINERS, max(1, -(-n // (rate * PER_TRAINER)))))
-    dealt = parts.repartition(trainers, "key", "part").sortWithinPartitions("key", "part")
+    # each trainer adds a row a weight, so that there must be no more of them than the input needs, whatever the session's partitions
+    dealt = parts.repartition(trainers, "key", "part").coalesce(trainers).sortWithinPartitions("key", "part")
     model = Network.new(seed)
     whole = max(n, 1)
     for turn in range(ROUNDS if n else 0):
@@ -302,9 +304,9 @@ def train(parts: DataFrame, rate: int = RATE, seed: int = 2) -> Network:
         def run(batches, start=start, turn=turn):
             net, n = Network.new(seed).load(start), 0
             seen = net.squares()
-            for rows in windows((x for batch in batches for x in batch.column(1).to_pylist()), rate):
-                net.train(rows[turn::ROUNDS], seed + turn + n, seen=seen)
-                n += len(rows[turn::ROUNDS])
+            for rows in windows((x for batch in batches for x in batch.column(1).to_pylist()), rate, turn, ROUNDS):
+                net.train(rows, seed + turn + n, seen=seen)
+                n += len(rows)
             if n:
                 flat = np.frombuffer(net.dump(), np.float32).astype(float)
                 sums = np.append(np.rint(flat * (n / whole * UNIT)).astype(np.int64), n)

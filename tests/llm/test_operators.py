@@ -190,6 +190,8 @@ def test_every_place_of_every_document_trains(spark, docs):
     got = list(pseudolm.windows([d.tobytes() for d in every], pseudolm.RATE))
     assert max(map(len, got)) <= pseudolm.HELD
     assert np.array_equal(np.concatenate(got)[:, pseudolm.SIDE], np.concatenate(every))
+    rounds = [np.concatenate(list(pseudolm.windows([d.tobytes() for d in every], pseudolm.RATE, k, pseudolm.ROUNDS))) for k in range(pseudolm.ROUNDS)]
+    assert sorted(map(bytes, np.concatenate(rounds))) == sorted(map(bytes, np.concatenate(got)))  # each in one round
 
 
 def test_every_word_has_a_probability_of_its_own(spark):
