@@ -165,20 +165,23 @@ def alike(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked by their full sets.
+    """The pairs (a, b) that are linked by their full sets, as a staged() table.
 
     b is the pivot, which may be in very many pairs: its set goes to as many salted copies as it has
     hundreds of pairs, so that no task gets all of them. Sets are made where texts meet the pairs, and
-    each is shuffled once.
+    each is shuffled once. The ids that ask for texts are written first: as tables of known size, Spark broadcasts
+    them while they are small and shuffles no text for them.
     """
-    salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("salts"))
-    salted = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
+    salts = staged(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("salts")))
+    salted = staged(pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt")))
     members = sets_of(docs.join(salted, docs["doc_id"] == salted["a"]), words, ["a", "b", "salt"])
     pivots = sets_of(docs.join(salts, docs["doc_id"] == salts["b"]), words, ["b", "salts"])
     copies = pivots.select("b", F.col("items").alias("ib"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     both = members.join(copies, ["b", "salt"])
     common = F.size(F.array_intersect("items", "ib"))
-    return both.where(100 * common >= percent * (F.size("items") + F.size("ib") - common)).select("a", "b").distinct()
+    found = staged(both.where(100 * common >= percent * (F.size("items") + F.size("ib") - common)).select("a", "b").distinct())
+    dropped(salts, salted)
+    return found
 
 
 def prefix_pairs(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -228,7 +231,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         a = nodes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma"))
         b = nodes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb"))
         likely = staged(alike(pairs.join(a, "a").join(b, "b"), percent))
-        sure = staged(verified(likely, docs, words, percent))
+        sure = verified(likely, docs, words, percent)
         dropped(likely)
         return sure
 
