@@ -1,12 +1,12 @@
-"""The queries op1 to op10: each applies its operator, with production parameters, to its whole table."""
+"""The queries op1 to op13: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from posetrie.llm import bpe, classifier, embedding, minhash, mixing, pii, pseudolm, quality, sharding, tokenfile
-from posetrie.llm.common import cut, pick
+from posetrie.llm import audit, bpe, classifier, embedding, lines, merkle, minhash, mixing, oracle, pii, pseudolm, quality, sharding, tokenfile
+from posetrie.llm.common import cut, lower_az, pick, staged
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,5 +141,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"figures.{x}").alias(x) for x in f), "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pseudo_likelihood, op3_minhash_near_dedup, op4_token_files, op5_byte_bpe, op6_embedding_near_dedup, op7_quality_classifier, op8_shards, op9_pii, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, those that it loses since many documents hold them, and a digest of the rest."""
+    found = lines.dedup(pick(documents(spark, sf_dir), doc_id="doc_id", text="text"))
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, its proof, and the root that it folds up to, a fifth of the texts tampered with."""
+    docs = pick(documents(spark, sf_dir), doc_id="doc_id", source="source", lang="lang", n_chars="n_chars", text="text")
+    before = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf(*before, lower_az(F.col("text"))))
+    leaves = staged(docs.select("doc_id", "source", merkle.leaf(*before, F.col("text")).alias("leaf"), tampered.alias("other_leaf")))
+    rows = merkle.manifest(leaves, "source", ["doc_id"]).rows
+    return rows.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+        merkle.folded(F.col("path"), F.coalesce("other_leaf", "leaf")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of every source's documents, step by step in every order."""
+    return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pseudo_likelihood, op3_minhash_near_dedup, op4_token_files, op5_byte_bpe, op6_embedding_near_dedup, op7_quality_classifier, op8_shards, op9_pii, op10_quality_rules, op11_line_dedup, op12_merkle_manifest, op13_filter_audit)}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op11_line_dedup": oracle.LINES, "op12_merkle_manifest": oracle.MERKLE, "op13_filter_audit": oracle.AUDIT}
