@@ -20,9 +20,8 @@ def vector(x, y, z) -> Column:
 
 def checked_vector(values: Column, what: str = "keypoint") -> Column:
     """A vector of array<double>; any other number of values than three is an error."""
-    message = F.concat(F.lit(f"{what}: expected 3 values, got "), F.coalesce(F.size(values).cast("string"), F.lit("null")))
     bad = values.isNull() | (F.size(values) != 3)
-    return F.when(bad, F.raise_error(message).cast(VECTOR)).otherwise(vector(*(F.get(values, F.lit(k)) for k in range(3))))
+    return F.when(bad, F.raise_error(_arity(values, what)).cast(VECTOR)).otherwise(vector(*(F.get(values, F.lit(k)) for k in range(3))))
 
 
 def missing(keypoints: Column, config: PoseConfig = DEFAULT) -> Column:
@@ -30,12 +29,33 @@ def missing(keypoints: Column, config: PoseConfig = DEFAULT) -> Column:
     return F.filter(F.array(*map(F.lit, config.keypoints)), lambda name: ~F.map_contains_key(keypoints, name))
 
 
+def _has_all(keypoints: Column, config: PoseConfig) -> Column:
+    found = F.lit(True)
+    for name in config.keypoints:
+        found = found & F.map_contains_key(keypoints, name)
+    return found
+
+
+def faults(keypoints: Column, config: PoseConfig = DEFAULT) -> Column:
+    """What keeps map<string, array<double>> from being a pose, as array<string>: empty for a good one."""
+    said = [F.when(~F.map_contains_key(keypoints, name), f"no {name}").otherwise(_fault(keypoints[name], name)) for name in config.keypoints]
+    return F.when(keypoints.isNull(), F.array(F.lit("no keypoints"))).otherwise(F.array_compact(F.array(*said)))
+
+
+def _fault(values: Column, what: str) -> Column:
+    """None for three values, else how many there are."""
+    return F.when(values.isNull() | (F.size(values) != 3), _arity(values, what))
+
+
+def _arity(values: Column, what: str) -> Column:
+    return F.concat(F.lit(f"{what}: expected 3 values, got "), F.coalesce(F.size(values).cast("string"), F.lit("null")))
+
+
 def from_map(keypoints: Column, config: PoseConfig = DEFAULT) -> Column:
     """The absolute pose of map<string, array<double>>; further names are ignored, a missing one is an error."""
-    lacking = missing(keypoints, config)
-    error = F.raise_error(F.concat(F.lit("missing keypoints: "), F.array_join(lacking, ", "))).cast(pose_type(config))
+    error = F.raise_error(F.concat(F.lit("missing keypoints: "), F.coalesce(F.array_join(missing(keypoints, config), ", "), F.lit("all")))).cast(pose_type(config))
     built = F.struct(*(checked_vector(keypoints[name], name).alias(name) for name in config.keypoints))
-    return F.when(F.size(lacking) > 0, error).otherwise(built)
+    return F.when(_has_all(keypoints, config), built).otherwise(error)
 
 
 def normalize(pose: Column, config: PoseConfig = DEFAULT) -> Column:

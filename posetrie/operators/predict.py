@@ -2,13 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from posetrie.config import DEFAULT, PoseConfig
+from posetrie.functions import octree
+from posetrie.operators import ranges
+from posetrie.sources import model
 
+#: What equal query paths are told apart by, so that ranges may end between them.
+SALTS = 65_536
 
-#: Nodes (some 150 bytes each) of the upper levels that are broadcast; deeper ones meet the paths in a shuffle.
-MOST_BROADCAST = 100_000
+
+def predict(queries: DataFrame, nodes: DataFrame, config: PoseConfig = DEFAULT, rows: int = ranges.ROWS) -> DataFrame:
+    """queries (path, more) with predicted, steps, terminated_at_depth and fallback_triggered.
+
+    steps: array<struct<depth, combination_index, resolved_label, total_samples>> from the root (whose
+    index is null) to the node where the path stops. A missing child stops it and sets
+    fallback_triggered, even if deeper nodes are there. Where the last node has no label, the nearest
+    labelled ancestor's is taken, if the configured fallback says so. A null path, or a tree without a
+    root, has no steps and null answers.
+
+    Longest prefixes by one sort: nodes and queries stand in the order of their paths, so that a query's
+    ancestor at a level is the last node of that level before it, if it is a prefix. Both tables are cut
+    into ranges by sampled bounds and shuffled once; equal query paths may fall into several ranges,
+    each of which also gets the nodes above its bound. Both tables are read several times: give stored
+    ones. Of what isn't selected from the answer, nothing is carried.
+    """
+    w, deepest = config.width, config.max_depth
+    salt = F.hex(F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + SALTS)
+    asked = queries.select(F.concat(F.coalesce("path", F.lit("")), F.lit(ranges.MARK), salt).alias("key"), F.struct(*(F.col(f"`{c}`") for c in queries.columns)).alias("row"))
+    known = nodes.select(F.col("node_path").alias("key"), F.struct("resolved_label").alias("label"), "total_samples")
+    at = ranges.bounds(known.select("key").unionByName(asked.select("key")), rows)
+    placed = known.withColumn("range", ranges.number(F.col("key"), at))
+    if at:
+        placed = placed.unionByName(known.join(F.broadcast(ranges.prefixes(queries.sparkSession, at, w)), "key"))
+    placed = placed.unionByName(asked.withColumn("range", ranges.number(F.col("key"), at)), allowMissingColumns=True)
+    here = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def last(level: int, of: str):
+        return F.last(F.when(F.col("row").isNull() & (F.length("key") == level * w), F.col(of)), ignorenulls=True).over(here)
+
+    levels = range(deepest + 1)
+    near = placed.select("row", *(last(d, of).alias(f"{of}_{d}") for d in levels for of in ("key", "label", "total_samples"))).where("row IS NOT NULL")
+    on_path = [F.coalesce(F.col(f"key_{d}") == F.substring("row.path", 1, w * d), F.lit(False)) for d in levels]
+    depth = F.lit(deepest)
+    for d in reversed(levels):
+        depth = F.when(on_path[d], depth).otherwise(F.lit(d - 1 if d else None).cast("int"))
+    answered = near.select("*", depth.alias("depth"))
+    labels = [F.col(f"label_{d}.resolved_label") for d in levels]
+    if config.fallback == "nearest_ancestor":
+        label = F.coalesce(*(F.when(F.col("depth") >= d, labels[d]) for d in reversed(levels)))
+    else:
+        label = F.coalesce(*(F.when(F.col("depth") == d, labels[d]) for d in levels))
+    every = [
+        F.struct(
+            F.lit(d).alias("depth"),
+            F.when(F.lit(d > 0), F.substring(f"key_{d}", w * (d - 1) + 1, w)).alias("combination_index"),
+            labels[d].alias("resolved_label"),
+            F.col(f"total_samples_{d}").alias("total_samples"),
+        )
+        for d in levels
+    ]
+    steps = F.slice(F.array(*every), F.lit(1), F.coalesce(F.col("depth") + 1, F.lit(0)))
+    return answered.select(
+        "row.*", label.alias("predicted"), steps.alias("steps"), F.col("depth").alias("terminated_at_depth"), (F.col("depth") < deepest).alias("fallback_triggered")
+    )
+
+
+#: Nodes with boxes (some 500 bytes each) of the upper levels that are broadcast; deeper ones meet the poses in a shuffle.
+MOST_BROADCAST = 20_000
 
 
 def _upper_levels(nodes: DataFrame, most: int) -> int:
@@ -22,54 +84,49 @@ def _upper_levels(nodes: DataFrame, most: int) -> int:
     return depth
 
 
-def _prefixes(paths: DataFrame, first: int, last: int, width: int) -> DataFrame:
-    each = paths.select("path", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("at"))
-    return each.withColumn("node_path", F.expr(f"substring(path, 1, at * {width})"))
-
-
-def predict(queries: DataFrame, nodes: DataFrame, config: PoseConfig = DEFAULT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """queries (path, more) with label, steps, terminated_at_depth and fallback_triggered.
-
-    steps: array<struct<depth, combination_index, resolved_label, total_samples>> from the root (whose
-    index is null) to the node where the path stops. A missing child stops it and sets
-    fallback_triggered. Where the last node has no label, the nearest labelled ancestor's is taken,
-    if the configured fallback says so.
+def descend(poses: DataFrame, pose: str, nodes: DataFrame, config: PoseConfig = DEFAULT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """poses (a column of relative poses, more) with the columns of predict(), by the boxes that nodes (boxes, more) hold.
 
-    Every different path is looked up once. The upper levels, where all paths share a few nodes, are
-    broadcast as far as their counted size allows; only paths that go on below them have their deeper
-    prefixes shuffled to the nodes, which a hash of the prefix spreads and sorts. Both tables are
-    read several times: give stored ones.
+    Level by level, a join finds each pose's node and takes the octants in that node's own boxes, which
+    tell the child to look for; null boxes are those of the path. A pose whose node isn't there goes on
+    under a key of its own that no node has, so that poses that have stopped don't meet in one task. The
+    upper levels are broadcast as far as their counted size allows. A null pose has no steps and null
+    answers; a null coordinate is in the lower half. nodes are read at each level: give stored ones.
     """
-    w, deepest = config.width, config.max_depth
-    paths = queries.select("path").distinct()
-    known = nodes.select("depth", "node_path", "resolved_label", "total_samples")
-    upper = min(_upper_levels(known, most_broadcast), deepest)
-    step = F.struct(F.col("at").alias("depth"), F.when(F.col("at") > 0, F.expr(f"right(node_path, {w})")).alias("combination_index"), "resolved_label", "total_samples").alias("step")
-    parts = []
-    if upper >= 0:
-        top = F.broadcast(known.where(F.col("depth") <= upper).drop("depth"))
-        parts.append(_prefixes(paths, 0, upper, w).join(top, "node_path").select("path", step))
-    if upper < deepest:
-        alive = paths
-        if upper >= 0:
-            edge = F.broadcast(known.where(F.col("depth") == upper).select(F.col("node_path").alias("edge")))
-            alive = paths.join(edge, F.expr(f"substring(path, 1, {upper * w})") == F.col("edge"), "left_semi")
-        below = known.where(F.col("depth") > upper).withColumn("key", F.xxhash64("node_path")).drop("depth")
-        deeper = _prefixes(alive, upper + 1, deepest, w).withColumn("key", F.xxhash64("node_path"))
-        parts.append(deeper.join(below, ["key", "node_path"]).select("path", step))
-    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    matched = found.groupBy(F.xxhash64("path").alias("key"), "path").agg(F.array_sort(F.collect_list("step")).alias("all"))
-    # a missing child ends the descent, even if deeper nodes are in the table
-    steps = matched.select("path", F.filter("all", lambda s, k: s["depth"] == k).alias("steps"))
-    last = F.element_at("steps", -1)
-    label = last["resolved_label"]
-    if config.fallback == "nearest_ancestor":
-        labelled = F.filter("steps", lambda s: s["resolved_label"].isNotNull())
-        label = F.when(F.size(labelled) > 0, F.try_element_at(labelled, F.lit(-1))["resolved_label"])
-    answered = steps.select(
-        "path", label.alias("predicted"), "steps", last["depth"].alias("terminated_at_depth"), (last["depth"] < config.max_depth).alias("fallback_triggered")
+    made = model.path_boxes(F.col("node_path"), config)
+    known = nodes.withColumn("boxes", F.coalesce("boxes", made) if "boxes" in nodes.columns else made)
+    upper = _upper_levels(known, most_broadcast)
+    salt = F.concat(F.lit("~"), F.hex(F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))))
+    kind = "array<struct<depth:int,combination_index:string,resolved_label:string,total_samples:bigint>>"
+    now = poses.select(
+        F.struct(*(F.col(f"`{c}`") for c in poses.columns)).alias("row"),
+        F.array(*(F.col(pose)[k] for k in config.keypoints)).alias("at"),
+        salt.alias("salt"),
+        F.when(F.col(pose).isNull(), salt).otherwise("").alias("key"),
+        F.array().cast(kind).alias("steps"),
     )
-    return queries.join(answered, "path")
+    for depth in range(config.max_depth + 1):
+        level = known.where(F.col("depth") == depth).select(F.col("node_path").alias("key"), "resolved_label", "total_samples", "boxes", F.lit(True).alias("there"))
+        met = now.join(F.broadcast(level) if depth <= upper else level, "key", "left")
+        step = F.struct(F.lit(depth).alias("depth"), F.expr(f"right(key, {config.width})" if depth else "CAST(NULL AS STRING)").alias("combination_index"), "resolved_label", "total_samples")
+        code = F.concat(*(octree.octant(F.col("at")[k], F.col("boxes")[k]).cast("string") for k in range(config.width)))
+        child = F.concat("key", code) if depth < config.max_depth else F.col("salt")
+        now = met.select(
+            "row", "at", "salt", F.when(F.col("there"), child).otherwise(F.col("salt")).alias("key"), F.when(F.col("there"), F.concat("steps", F.array(step))).otherwise(F.col("steps")).alias("steps")
+        )
+    some = F.size("steps") > 0
+    label = F.when(some, F.try_element_at("steps", F.lit(-1))["resolved_label"])
+    if config.fallback == "nearest_ancestor":
+        label = F.try_element_at(F.filter("steps", lambda s: s["resolved_label"].isNotNull()), F.lit(-1))["resolved_label"]
+    depth = F.when(some, F.size("steps") - 1)
+    return now.select("row.*", label.alias("predicted"), "steps", depth.alias("terminated_at_depth"), (depth < config.max_depth).alias("fallback_triggered"))
+
+
+def predict_poses(poses: DataFrame, pose: str, nodes: DataFrame, config: PoseConfig = DEFAULT) -> DataFrame:
+    """Predictions of poses by a tree that may hold boxes: by paths where all boxes follow them, else by descent."""
+    if model.boxes_follow(nodes, config):
+        return predict(model.stored(octree.with_path(poses, pose, config=config)), nodes, config)
+    return descend(poses, pose, nodes, config)
 
 
 def matched_codes(steps: str = "steps"):

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from posetrie.config import DEFAULT, PoseConfig
 from posetrie.functions import octree
+from posetrie.operators import train
+from posetrie.sources.model import stored
 
 
 def halving(level: int) -> float:
@@ -24,14 +26,20 @@ def distance(query: Column, sample: Column, config: PoseConfig = DEFAULT, weight
 
 
 def packed_distance(query: Sequence[Column], sample: Sequence[Column], config: PoseConfig = DEFAULT, weight: Callable[[int], float] = halving) -> Column:
-    """The distance of two packed paths (see octree): digits that differ leave bits in the exclusive or, which are counted level by level."""
+    """The distance of two packed paths (see octree)."""
     total = F.lit(0.0)
     for levels, q, s in zip(octree.groups(config), query, sample):
-        odd = q.bitwiseXOR(s)
-        marks = odd.bitwiseOR(F.shiftright(odd, 1)).bitwiseOR(F.shiftright(odd, 2)).bitwiseOR(F.shiftright(odd, 3))
-        for i, level in enumerate(levels):
-            ones = sum(1 << 4 * k for k in range(config.width)) << 4 * config.width * (len(levels) - 1 - i)
-            total = total + weight(level) * F.bit_count(marks.bitwiseAND(F.lit(ones).cast("long")))
+        total = _added(total, q, s, levels, config, weight)
+    return total
+
+
+def _added(total: Column, query: Column, sample: Column, levels: Sequence[int], config: PoseConfig, weight: Callable[[int], float]) -> Column:
+    """total and the distance at some levels, whose digits are one number: digits that differ leave bits in the exclusive or, which are counted level by level."""
+    odd = query.bitwiseXOR(sample)
+    marks = odd.bitwiseOR(F.shiftright(odd, 1)).bitwiseOR(F.shiftright(odd, 2)).bitwiseOR(F.shiftright(odd, 3))
+    for i, level in enumerate(levels):
+        ones = sum(1 << 4 * k for k in range(config.width)) << 4 * config.width * (len(levels) - 1 - i)
+        total = total + weight(level) * F.bit_count(marks.bitwiseAND(F.lit(ones).cast("long")))
     return total
 
 
@@ -54,45 +62,74 @@ def nearest(samples: DataFrame, query_codes: list[str], k: int = 5, config: Pose
     return ranked.orderBy("distance", "pos").limit(k)
 
 
-#: Queries (some 70 bytes each) that are broadcast at a time; more are taken in blocks.
-BLOCK = 10_000
-#: Steps of distance in which candidates are counted before any is ranked.
-STEPS = 24_576
+def cuts(config: PoseConfig = DEFAULT) -> list[int]:
+    """The levels at which pairs are pruned: the first two, then as many at a time as one number holds."""
+    each = max(1, octree.HELD // config.width)
+    found = [d for d in (1, 2) if d < config.max_depth]
+    while not found or found[-1] < config.max_depth:
+        found.append(min((found[-1] if found else 0) + each, config.max_depth))
+    return found
 
 
-def nearest_each(queries: DataFrame, samples: DataFrame, k: int = 5, config: PoseConfig = DEFAULT, weight: Callable[[int], float] = halving, block: int = BLOCK) -> DataFrame:
+def _nodes(paths: DataFrame, config: PoseConfig) -> DataFrame:
+    """(node_path, n, depth) of paths (path), whole ones: the nodes at each of cuts(), with the rows below; a written table, by depth."""
+    leaves = stored(paths.groupBy("path").agg(F.lit(None).cast("string").alias("label"), F.count(F.lit(1)).alias("n")), "leaves")
+    at = train.leaf_bounds(leaves)
+    rolled = train.rolled_up(train.ranged(leaves, at), at, lambda counted, keys: counted.select(*keys, "n"), config, cuts(config))
+    return stored(rolled.select("node_path", "n", "depth"), "nodes", by="depth")
+
+
+def nearest_each(queries: DataFrame, samples: DataFrame, k: int = 5, config: PoseConfig = DEFAULT, weight: Callable[[int], float] = halving) -> DataFrame:
     """(query_id, pos, distance, rank): the k samples (pos, path) nearest to each query (query_id, path), ties by pos.
 
-    Samples are read twice for each block of queries. First the candidates of each query are counted
-    by steps of distance, which partial aggregation keeps to STEPS rows a query and task; then only
-    those up to the step that holds the k-th are ranked, each task's k best before the shuffle.
-    Samples may have their paths packed (packed_0, ...) instead.
+    Branch and bound over two tries, of the queries' paths and of the samples'. A pair of nodes has a
+    distance so far, which no pair of paths below it falls short of, and which the weights of the
+    levels to come exceed by a known sum at most. Level by level, the pairs that are left are joined to
+    their children by the parents' paths; a query node's k-th least upper bound, counted by samples,
+    then removes the pairs whose distance so far is beyond it. This is exact for any weights that aren't
+    negative. The first level alone joins all with all, at most 8 ** keypoints nodes a side.
+
+    Of a path's samples only the k of least pos are ranked. Both tables may have their paths packed
+    (packed_0, ...) instead. Rows with a null path aren't ranked; absent levels count as all different.
     """
-    n_groups = len(octree.groups(config))
-    names = [f"packed_{g}" for g in range(n_groups)]
-
-    def packed(df: DataFrame, key: str) -> DataFrame:
-        held = [F.col(n) for n in names] if names[0] in df.columns else [c.alias(n) for c, n in zip(octree.packed_of(F.col("path"), config), names)]
-        return df.select(key, *held)
-
-    asked, held = packed(queries, "query_id"), packed(samples, "pos")
-    blocks = max(1, -(-asked.count() // block))
-    most = config.width * sum(weight(d) for d in range(1, config.max_depth + 1))
-    whole = None
-    for b in range(blocks):
-        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        few = some.select("query_id", *(F.col(n).alias(f"q_{n}") for n in names))
-
-        def scored(of: DataFrame) -> DataFrame:
-            apart = packed_distance([F.col(f"q_{n}") for n in names], [F.col(n) for n in names], config, weight)
-            near = held.join(F.broadcast(of)).withColumn("distance", apart)
-            return near.withColumn("step", F.floor(F.col("distance") * (STEPS / most)))
-
-        counts = scored(few).groupBy("query_id", "step").agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("query_id").orderBy("step")) - F.col("n")
-        last = counts.withColumn("before", upto).where(F.col("before") < k).groupBy("query_id").agg(F.max("step").alias("last"))
-        close = scored(few.join(last, "query_id")).where(F.col("step") <= F.col("last")).select("query_id", "pos", "distance")
-        first = Window.partitionBy("query_id").orderBy("distance", "pos")
-        best = close.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-        whole = best if whole is None else whole.unionByName(best)
-    return whole
+    whole = config.width * config.max_depth
+
+    def placed(df: DataFrame, key: str) -> DataFrame:
+        if "packed_0" in df.columns:
+            path = F.concat(*(octree.packed_text(F.col(f"packed_{g}"), len(levels) * config.width) for g, levels in enumerate(octree.groups(config))))
+        else:
+            path = F.rpad("path", whole, "8")
+        return stored(df.select(F.col(key), path.alias("path")).where("path IS NOT NULL"), "paths")
+
+    asked, held = placed(queries, "query_id"), placed(samples, "pos")
+    of_queries, of_samples = _nodes(asked.select("path"), config), _nodes(held.select("path"), config)
+    pairs = queries.sparkSession.createDataFrame([("", "", 0.0)], "q string, s string, distance double")
+    before = 0
+    for depth in cuts(config):
+        levels = range(before + 1, depth + 1)
+        rest = config.width * sum(weight(d) for d in range(depth + 1, config.max_depth + 1)) * (1 + 1e-9)  # rounding may not prune
+
+        def children(nodes: DataFrame, name: str, *more: str) -> DataFrame:
+            below = nodes.where(F.col("depth") == depth)
+            digits = F.conv(F.substring("node_path", before * config.width + 1, len(levels) * config.width), 16, 10).cast("long")
+            return below.select(F.substring("node_path", 1, before * config.width).alias(name), F.col("node_path").alias(f"{name}_child"), digits.alias(f"{name}_code"), *more)
+
+        joined = pairs.join(children(of_queries, "q"), "q").join(children(of_samples, "s", "n"), "s")
+        scored = stored(
+            joined.select(
+                F.col("q_child").alias("q"), F.col("s_child").alias("s"), "n", _added(F.col("distance"), F.col("q_code"), F.col("s_code"), levels, config, weight).alias("distance")
+            ),
+            "pairs",
+        )
+        steps = scored.groupBy("q", (F.col("distance") + rest).alias("upper")).agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("q").orderBy("upper"))
+        kth = steps.withColumn("upto", upto).where(F.col("upto") >= k).groupBy("q").agg(F.min("upper").alias("most"))
+        # with fewer samples than k, all stay
+        pairs = scored.join(stored(kth, "bounds"), "q", "left").where(F.coalesce(F.col("distance") <= F.col("most"), F.lit(True))).select("q", "s", "distance")
+        before = depth
+    found = stored(pairs, "pairs")
+    by_pos = Window.partitionBy("path").orderBy("pos")
+    first = held.join(found.select(F.col("s").alias("path")).distinct(), "path", "left_semi").withColumn("at", F.row_number().over(by_pos)).where(F.col("at") <= k)
+    close = found.join(first, found["s"] == first["path"]).select("q", "pos", "distance")
+    best = close.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "pos"))).where(F.col("rank") <= k)
+    return asked.join(stored(best, "best"), asked["path"] == F.col("q")).select("query_id", "pos", "distance", "rank")

@@ -6,32 +6,92 @@ resolved_label). node_path is the path down to the node, '' at the root.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from posetrie.config import DEFAULT, PoseConfig
+from posetrie.operators import ranges
+from posetrie.sources.model import stored
 
 COUNTS = T.StructType(
     [T.StructField("depth", T.IntegerType()), T.StructField("node_path", T.StringType()), T.StructField("label", T.StringType()), T.StructField("n", T.LongType())]
 )
 
 
-def _prefixes(config: PoseConfig) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(config.max_depth))).alias("depth")
+def checked(samples: DataFrame) -> DataFrame:
+    """Samples (path, label); one without a label or a path is an error."""
+
+    def there(name: str) -> Column:
+        return F.when(F.col(name).isNull(), F.raise_error(F.lit(f"a sample has no {name}")).cast("string")).otherwise(F.col(name)).alias(name)
+
+    return samples.select(there("path"), there("label"))
+
+
+def leaf_counts(samples: DataFrame) -> DataFrame:
+    """(path, label, n) of samples (path, label)."""
+    return checked(samples).groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
+
 
+def _key() -> Column:
+    return F.concat("path", F.lit(ranges.MARK), F.hex(F.xxhash64("label")))
 
-def counts(samples: DataFrame, config: PoseConfig = DEFAULT) -> DataFrame:
-    """Counts of samples (path, label). Samples of the same leaf and label are counted before they go up the tree.
 
-    On the way up, paths are bytes of two digits each (where a code has an even number of them).
+def leaf_bounds(leaves: DataFrame, rows: int = ranges.ROWS) -> list[str]:
+    """Bounds of ranges of stored leaves (path, label, n); a path of very many labels may be in several."""
+    return ranges.bounds(leaves.select(_key().alias("key")), rows)
+
+
+def ranged(leaves: DataFrame, at: list[str]) -> DataFrame:
+    """leaves with their range."""
+    return leaves.withColumn("range", ranges.number(_key(), at))
+
+
+def rolled_up(leaves: DataFrame, at: list[str], finish: Callable[[DataFrame, list[str]], DataFrame], config: PoseConfig = DEFAULT, depths: Sequence[int] = ()) -> DataFrame:
+    """(range, what finish makes) of leaves (path, label, n, range): the counts of all nodes on the leaves' paths, or of those at some depths.
+
+    Leaves are shuffled once, by range; the nodes above them are made and counted where they are. Only nodes that
+    may lie in several ranges, prefixes of the bounds, are summed over these; their range is -1.
+    finish(counts, keys) takes counts by keys and label, (*keys, label, n), and gives a row a node.
     """
-    checked = samples.select("path", F.when(F.col("label").isNull(), F.raise_error(F.lit("a sample has no label")).cast("string")).otherwise(F.col("label")).alias("label"))
-    leaves = checked.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
-    even = config.width % 2 == 0
-    each = config.width // 2 if even else config.width
-    up = leaves.select(_prefixes(config), (F.unhex("path") if even else F.col("path")).alias("path"), "label", "n")
-    placed = up.select("depth", F.expr(f"substring(path, 1, depth * {each})").alias("node_path"), "label", "n")
-    counted = placed.groupBy("depth", "node_path", "label").agg(F.sum("n").alias("n"))
-    return counted.withColumn("node_path", F.hex("node_path")) if even else counted
+    each = config.width
+    every = F.array(*map(F.lit, depths)) if depths else F.sequence(F.lit(0), F.expr(f"length(path) div {each}").cast("int"))
+    up = leaves.repartition("range").select("range", F.explode(every).alias("depth"), "path", "label", "n")
+    placed = up.select("range", "depth", F.expr(f"substring(path, 1, depth * {each})").alias("node_path"), "label", "n")
+    shared = ranges.is_shared(F.col("node_path"), F.col("range"), at)
+
+    def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return finish(rows.groupBy(*keys, "label").agg(F.sum("n").alias("n")), keys)
+
+    own = summed(placed.where(~shared), ["range", "depth", "node_path"])
+    if not at:
+        return own
+    return own.unionByName(summed(placed.where(shared), ["depth", "node_path"]).withColumn("range", F.lit(-1)))
+
+
+def counts(samples: DataFrame, config: PoseConfig = DEFAULT, rows: int = ranges.ROWS) -> DataFrame:
+    """Counts of samples (path, label). Samples of the same leaf and label are counted, and stored, before they go up the tree."""
+    leaves = stored(leaf_counts(samples), "leaves")
+    at = leaf_bounds(leaves, rows)
+    return rolled_up(ranged(leaves, at), at, lambda counted, keys: counted, config).select(*COUNTS.names)
+
+
+def tree(samples: DataFrame, config: PoseConfig = DEFAULT, rows: int = ranges.ROWS) -> DataFrame:
+    """Finalised nodes of samples: nodes(counts(samples)), with no shuffle beyond the leaves'."""
+    leaves = stored(leaf_counts(samples), "leaves")
+    at = leaf_bounds(leaves, rows)
+    return rolled_up(with_root(ranged(leaves, at)), at, finished, config).drop("range")
+
+
+def with_root(leaves: DataFrame) -> DataFrame:
+    """leaves and a count of nothing at the root, which is there even without samples."""
+    return leaves.unionByName(leaves.sparkSession.createDataFrame([("", None, 0, 0)], "path string, label string, n long, range int"))
+
+
+def finished(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes of counts (*keys, label, n)."""
+    entries = F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "n"))))
+    return counted.groupBy(*keys).agg(F.sum("n").alias("total_samples"), F.map_from_entries(entries).alias("sample_counts"), majority().alias("resolved_label"))
 
 
 def merge(*parts: DataFrame) -> DataFrame:
@@ -51,11 +111,8 @@ def nodes(counted: DataFrame) -> DataFrame:
     """Finalised nodes of counts. The root is there even without samples: a count of nothing is added to it."""
     root = counted.sparkSession.createDataFrame([(0, "", None, 0)], COUNTS)
     every = counted.select(*COUNTS.names).unionByName(root)
-    entries = F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "n"))))
     # a hash comes first among the keys, since Spark sorts by the first one's leading bytes
-    keyed = every.withColumn("key", F.xxhash64("depth", "node_path"))
-    grouped = keyed.groupBy("key", "depth", "node_path").agg(F.sum("n").alias("total_samples"), F.map_from_entries(entries).alias("sample_counts"), majority().alias("resolved_label"))
-    return grouped.drop("key")
+    return finished(every.withColumn("key", F.xxhash64("depth", "node_path")), ["key", "depth", "node_path"]).drop("key")
 
 
 def stale(finalized: DataFrame, counted: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from posetrie.config import DEFAULT, KEYPOINTS, PoseConfig
 from posetrie.functions import octree, pose as P, rotation
-from posetrie.operators import evaluate, predict, rank, train
+from posetrie.operators import evaluate, predict, quarantine, rank, train
 from posetrie.plans import oracle
-from posetrie.plans.poses import ABSOLUTE_POSE, COARSE_POSE, LINE_POSE, columns, embedded, line_paths, pose, table
-from posetrie.sources import metadata, model
+from posetrie.plans.poses import ABSOLUTE_POSE, COARSE_POSE, LINE_POSE, NATION_POSE, columns, embedded, line_paths, pose, table
+from posetrie.sources import growing, metadata, model
 from posetrie.streaming import training
 
 QUERIES: dict = {}
@@ -110,36 +110,40 @@ def _counts(spark: SparkSession, sf_dir: str, where: str = "true", coordinates:
     return train.counts(line_paths(spark, sf_dir, coordinates).where(where).select("path", F.col("l_returnflag").alias("label")))
 
 
+def _tree(spark: SparkSession, sf_dir: str, where: str = "true", coordinates: dict = LINE_POSE) -> DataFrame:
+    return train.tree(line_paths(spark, sf_dir, coordinates).where(where).select("path", F.col("l_returnflag").alias("label")))
+
+
 @query
 def tree_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train.nodes(_counts(spark, sf_dir)).select("depth", "node_path", "total_samples")
+    return _tree(spark, sf_dir).select("depth", "node_path", "total_samples")
 
 
 @query
 def tree_label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train.nodes(_counts(spark, sf_dir)).select("depth", "node_path", F.explode("sample_counts").alias("label", "n"))
+    return _tree(spark, sf_dir).select("depth", "node_path", F.explode("sample_counts").alias("label", "n"))
 
 
 @query
 def tree_resolved_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train.nodes(_counts(spark, sf_dir)).select("depth", "node_path", "resolved_label")
+    return _tree(spark, sf_dir).select("depth", "node_path", "resolved_label")
 
 
 @query
 def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many children each inner node has."""
-    return train.children(train.nodes(_counts(spark, sf_dir))).groupBy("parent_path").agg(F.count(F.lit(1)).alias("n_children"), F.sum("total_samples").alias("samples_below"))
+    return train.children(_tree(spark, sf_dir)).groupBy("parent_path").agg(F.count(F.lit(1)).alias("n_children"), F.sum("total_samples").alias("samples_below"))
 
 
 @query
 def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train.leaves(train.nodes(_counts(spark, sf_dir))).select("depth", "node_path", "total_samples")
+    return train.leaves(_tree(spark, sf_dir)).select("depth", "node_path", "total_samples")
 
 
 @query
 def tree_depth_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and samples by depth."""
-    return train.nodes(_counts(spark, sf_dir)).groupBy("depth").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("total_samples").alias("n_samples"))
+    return _tree(spark, sf_dir).groupBy("depth").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("total_samples").alias("n_samples"))
 
 
 @query
@@ -157,13 +161,13 @@ def tree_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tree_stale_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live counts of all lines beside labels that only finished lines have decided."""
-    old = train.nodes(_counts(spark, sf_dir, "l_linestatus = 'F'"))
+    old = _tree(spark, sf_dir, "l_linestatus = 'F'")
     return train.stale(old, _counts(spark, sf_dir)).select("depth", "node_path", "total_samples", "resolved_label")
 
 
 def _predicted(spark: SparkSession, sf_dir: str, config: PoseConfig = DEFAULT, nodes: DataFrame | None = None) -> DataFrame:
     """All lines' predictions by a tree of the finished ones."""
-    nodes = train.nodes(_counts(spark, sf_dir, "l_linestatus = 'F'")) if nodes is None else nodes
+    nodes = _tree(spark, sf_dir, "l_linestatus = 'F'") if nodes is None else nodes
     return predict.predict(model.stored(line_paths(spark, sf_dir)), model.stored(nodes), config)
 
 
@@ -186,11 +190,11 @@ def predict_termination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predict_miss_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poses of embeddings looked up in the lines' tree: most stop near the root."""
     rows = octree.with_path(table(spark, sf_dir, "embeddings"), columns(embedded(0))).select("vec_id", "path")
-    return predict.predict(model.stored(rows), model.stored(train.nodes(_counts(spark, sf_dir)))).select("vec_id", "predicted", "terminated_at_depth", "fallback_triggered")
+    return predict.predict(model.stored(rows), model.stored(_tree(spark, sf_dir))).select("vec_id", "predicted", "terminated_at_depth", "fallback_triggered")
 
 
 def _stale_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train.stale(train.nodes(_counts(spark, sf_dir, "l_linestatus = 'F'")), _counts(spark, sf_dir))
+    return train.stale(_tree(spark, sf_dir, "l_linestatus = 'F'"), _counts(spark, sf_dir))
 
 
 @query
@@ -234,12 +238,66 @@ def rank_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rank_top5_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every nation as a query pose, the five nearest of all lines."""
-    at = {k: tuple(f"n_nationkey*{i + j + 1}e0-{10 * i}e0" for j in range(3)) for i, k in enumerate(KEYPOINTS)} | {"hips": ("0e0",) * 3}
-    queries = octree.with_packed(table(spark, sf_dir, "nation"), columns(at)).withColumnRenamed("n_nationkey", "query_id")
-    samples = octree.with_packed(table(spark, sf_dir, "lineitem"), columns(LINE_POSE)).withColumn("pos", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    queries = octree.with_path(table(spark, sf_dir, "nation"), columns(NATION_POSE)).withColumnRenamed("n_nationkey", "query_id")
+    samples = line_paths(spark, sf_dir).withColumn("pos", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     return rank.nearest_each(queries, samples).select("query_id", "pos", "distance", "rank")
 
 
+@query
+def pose_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of keypoints, some of which lack a name, have two values for one or aren't there: the good and the rejected."""
+    absolute = pose(ABSOLUTE_POSE)
+    entries = [F.struct(F.lit(k).alias("key"), F.array(*(absolute[k][a] for a in "xyz")).alias("value")) for k in KEYPOINTS]
+    short = F.transform(F.array(*entries), lambda e: F.struct(e["key"].alias("key"), F.when((e["key"] == "neck") & (F.col("l_linenumber") == 3), F.slice(e["value"], 1, 2)).otherwise(e["value"]).alias("value")))
+    kept = F.map_from_entries(F.filter(short, lambda e: ~((e["key"] == "left_wrist") & F.col("l_linenumber").isin(2, 3))))
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, F.when(F.col("l_linenumber") != 5, kept).alias("keypoints"))
+    found = quarantine.sort_out(rows, "keypoints")
+    good = found.good.select(*LINE, F.lit(None).cast("string").alias("reasons"), F.col("pose.neck.x").alias("neck_x"), F.col("pose.left_wrist.y").alias("left_wrist_y"))
+    return good.unionByName(found.rejected.select(*LINE, F.array_join("reasons", "; ").alias("reasons")), allowMissingColumns=True)
+
+
+#: How far a node's boxes are moved for each level that it is below the root, in the trees with uneven boxes.
+MOVED = 0.75
+
+
+@query
+def predict_uneven_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines' predictions by the finished lines' tree, whose nodes hold boxes of their own that lie beside those of their paths."""
+    by = F.col("depth") * MOVED
+
+    def along(corner):
+        return F.struct(*((corner[a] + by).alias(a) for a in "xyz"))
+
+    boxes = F.transform(model.path_boxes(F.col("node_path")), lambda b: F.struct(along(b["min"]).alias("min"), along(b["max"]).alias("max")))
+    path = model.new_folder(spark, "uneven")
+    model.save(_tree(spark, sf_dir, "l_linestatus = 'F'").withColumn("boxes", boxes), path)
+    poses = table(spark, sf_dir, "lineitem").select(*LINE, pose(LINE_POSE).alias("pose"))
+    return predict.predict_poses(poses, "pose", model.load(spark, path, boxes=True)).select(*LINE, "predicted", "terminated_at_depth", "fallback_triggered")
+
+
+def _grown(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a model that has learned the finished lines, then the others."""
+    path = model.new_folder(spark, "grown")
+    samples = line_paths(spark, sf_dir).withColumnRenamed("l_returnflag", "label")
+    growing.create(samples.where("l_linestatus = 'F'"), path)
+    growing.update(samples.where("l_linestatus <> 'F'"), path)
+    return path
+
+
+@query
+def tree_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved model's nodes after an update by path ranges."""
+    return growing.load(spark, _grown(spark, sf_dir)).select("depth", "node_path", "total_samples", "resolved_label")
+
+
+@query
+def predict_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations' poses asked of a saved model, of which only their ranges and row groups are read."""
+    queries = model.stored(octree.with_path(table(spark, sf_dir, "nation"), columns(NATION_POSE)).select("n_nationkey", "path"))
+    near = model.stored(growing.near(queries, _grown(spark, sf_dir)))
+    return predict.predict(queries, near).select("n_nationkey", "predicted", "terminated_at_depth")
+
+
 @query
 def euler_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rotation matrices of three angles."""
@@ -287,7 +345,7 @@ def ask_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coarse poses' tree written as nested JSON and read back."""
-    tree = train.nodes(_counts(spark, sf_dir, coordinates=COARSE_POSE))
+    tree = _tree(spark, sf_dir, coordinates=COARSE_POSE)
     path = model.new_folder(spark, "tree-json")
     model.write_json(tree, path)
     return model.read_json(spark, path).select("depth", "node_path", "total_samples", "resolved_label", F.explode_outer("sample_counts").alias("label", "n"))
@@ -297,7 +355,7 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the coarse poses by a stream over lineitem, as they stand at its end."""
     lines = table(spark, sf_dir, "lineitem")
-    stream = spark.readStream.schema(lines.schema).parquet(f"{sf_dir}/lineitem*.parquet")
+    stream = spark.readStream.schema(lines.schema).parquet(f"{sf_dir}/lineitem.parque[t]")
     samples = octree.with_path(stream, columns(COARSE_POSE)).withColumnRenamed("l_returnflag", "label")
     return training.run_once(samples.select("path", "label"), model.new_folder(spark, "stream-train")).select("depth", "node_path", "total_samples", "resolved_label")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from posetrie.config import DEFAULT, JOINT_OF, KEYPOINTS
-from posetrie.plans.poses import ABSOLUTE_POSE, COARSE_POSE, LINE_KEYS, LINE_POSE, embedded, paths_sql
+from posetrie.plans.poses import ABSOLUTE_POSE, COARSE_POSE, LINE_KEYS, LINE_POSE, NATION_POSE, embedded, paths_sql
 from posetrie.sources import clips
 
 D, W = DEFAULT.max_depth, DEFAULT.width
@@ -53,9 +53,6 @@ def distance(q: str, s: str) -> str:
     return " + ".join(parts)
 
 
-NATION = {k: tuple(f"n_nationkey*{i + j + 1}e0-{10 * i}e0" for j in range(3)) for i, k in enumerate(KEYPOINTS)} | {"hips": ("0e0",) * 3}
-
-
 def matrix(z: str, y: str, x: str) -> list[list[str]]:
     c, s = (lambda a: f"cos(radians({a}))"), (lambda a: f"sin(radians({a}))")
     return [
@@ -165,9 +162,16 @@ SQL = {
     "eval_confusion": f"{JUDGED} SELECT expected, coalesce(nullif(predicted, ''), '__unknown__') AS predicted, count(*) AS n FROM judged GROUP BY ALL",
     "eval_empty_accuracy": "SELECT 0e0 AS total, 0e0 AS correct, 0e0 AS accuracy",
     "rank_distance": f"WITH {LINES} SELECT l_orderkey, l_linenumber, {distance(repr('0' * (D * W)), 'path')} AS distance FROM paths",
-    "rank_top5_per_query": f"WITH {LINES}, {paths_sql('asked', 'nation', NATION, ('n_nationkey',))}, s AS (SELECT path, l_orderkey*8+l_linenumber AS pos FROM paths), "
+    "rank_top5_per_query": f"WITH {LINES}, {paths_sql('asked', 'nation', NATION_POSE, ('n_nationkey',))}, s AS (SELECT path, l_orderkey*8+l_linenumber AS pos FROM paths), "
     f"scored AS (SELECT n_nationkey AS query_id, pos, {distance('asked.path', 's.path')} AS distance FROM asked, s) "
     "SELECT query_id, pos, distance, (row_number() OVER (PARTITION BY query_id ORDER BY distance, pos))::INT AS rank FROM scored QUALIFY rank <= 5",
+    "pose_quarantine": "WITH r AS (SELECT *, CASE l_linenumber WHEN 2 THEN 'no left_wrist' WHEN 3 THEN 'no left_wrist; neck: expected 3 values, got 2' WHEN 5 THEN 'no keypoints' END AS reasons FROM lineitem) "
+    f"SELECT l_orderkey, l_linenumber, reasons, CASE WHEN reasons IS NULL THEN ({ABSOLUTE_POSE['neck'][0]})-{_HIPS[0]} END AS neck_x, "
+    f"CASE WHEN reasons IS NULL THEN ({ABSOLUTE_POSE['left_wrist'][1]})-{_HIPS[1]} END AS left_wrist_y FROM r",
+    "predict_uneven_boxes": f"{FINISHED}, {paths_sql('beside', 'lineitem', LINE_POSE, LINE_KEYS, 0.75)}, asked AS (SELECT DISTINCT path FROM beside), {steps('asked', 'path AS asked_path', 'old_nodes')} "
+    f"SELECT l_orderkey, l_linenumber, e.nearest AS predicted, e.depth::INT AS terminated_at_depth, e.depth < {D} AS fallback_triggered FROM beside JOIN ends e ON e.asked_path = beside.path",
+    "tree_grown": f"{TREE} SELECT depth::INT AS depth, node_path, total_samples, resolved_label FROM nodes",
+    "predict_few": f"{TREE}, {paths_sql('asked', 'nation', NATION_POSE, ('n_nationkey',))}, {steps('asked', 'n_nationkey', 'nodes')} SELECT n_nationkey, nearest AS predicted, depth::INT AS terminated_at_depth FROM ends",
     "euler_matrix": "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({EULER[i][j]}, 6) + 0e0 AS m{i}{j}" for i in range(3) for j in range(3)) + " FROM lineitem",
     "fk_chain": _chain(),
     "bvh_keypoints": _clip(),

@@ -23,6 +23,8 @@ COARSE_POSE = LINE_POSE | {
     "right_wrist": ("l_tax*1000e0-40e0-l_linenumber", "l_linenumber*5e0", "-10e0"),
     "left_ankle": ("10e0", "-60e0", "5e0"),
 }
+#: Poses of nations, to be looked up.
+NATION_POSE = {k: tuple(f"n_nationkey*{i + j + 1}e0-{10 * i}e0" for j in range(3)) for i, k in enumerate(KEYPOINTS)} | {"hips": ("0e0",) * 3}
 #: Absolute poses: each keypoint moved by hips that differ from line to line.
 MOVE = ("l_linenumber*1e0", "l_quantity*3e0", "l_tax*7e0")
 ABSOLUTE_POSE = {k: tuple(f"({m})" if k == "hips" else f"({v})+({m})" for v, m in zip(LINE_POSE[k], MOVE)) for k in KEYPOINTS}
@@ -57,15 +59,18 @@ def line_paths(spark: SparkSession, sf_dir: str, coordinates: dict = LINE_POSE)
     return octree.with_path(table(spark, sf_dir, "lineitem"), columns(coordinates)).select(*LINE_KEYS, "path")
 
 
-def paths_sql(name: str, source: str, coordinates: dict, keep: tuple[str, ...]) -> str:
-    """CTEs that end in one of the given name: keep and path, by halving every axis level after level."""
+def paths_sql(name: str, source: str, coordinates: dict, keep: tuple[str, ...], moved: float = 0.0) -> str:
+    """CTEs that end in one of the given name: keep and path, by halving every axis level after level.
+
+    A node's boxes may be moved, by as much for each level that it is below the root.
+    """
     at = [(k, a) for k in range(len(KEYPOINTS)) for a in range(len(AXES))]
     kept = "".join(f"{c}, " for c in keep)
     first = ", ".join(f"CAST({coordinates[KEYPOINTS[k]][a]} AS DOUBLE) AS x{k}{a}, CAST(0 AS BIGINT) AS k{k}{a}" for k, a in at)
     out = [f"{name}_0 AS (SELECT {kept}'' AS path, {first} FROM {source})"]
     for d in range(1, DEFAULT.max_depth + 1):
         halved = ", ".join(
-            f"x{k}{a}, 2*k{k}{a} + CASE WHEN isnan(x{k}{a}) THEN 0 WHEN x{k}{a} >= -100e0 + (2*k{k}{a}+1)*(200e0/{2**d}) THEN 1 ELSE 0 END AS k{k}{a}" for k, a in at
+            f"x{k}{a}, 2*k{k}{a} + CASE WHEN isnan(x{k}{a}) THEN 0 WHEN x{k}{a} >= -100e0 + (2*k{k}{a}+1)*(200e0/{2**d}){f' + {moved * (d - 1)!r}::DOUBLE' if moved else ''} THEN 1 ELSE 0 END AS k{k}{a}" for k, a in at
         )
         out.append(f"{name}_h{d} AS (SELECT {kept}path, {halved} FROM {name}_{d - 1})")
         digits = " || ".join(f"CAST(k{k}0 % 2 + 2*(k{k}1 % 2) + 4*(k{k}2 % 2) AS VARCHAR)" for k in range(len(KEYPOINTS)))

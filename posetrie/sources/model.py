@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from posetrie.config import DEFAULT, Box, PoseConfig
 from posetrie.functions import octree
+from posetrie.functions.pose import VECTOR
 
 NODES = T.StructType(
     [
@@ -33,31 +34,51 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{where.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str = "table") -> DataFrame:
-    """df written as a table in the shared folder and read again, so that what follows doesn't repeat or replan it."""
+def stored(df: DataFrame, what: str = "table", by: str | None = None) -> DataFrame:
+    """df written as a table in the shared folder, in parts by a column if one is named, and read again, so that what follows doesn't repeat or replan it."""
     path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A node's own boxes, one a keypoint in order; null where they follow the path.
+BOXES = T.ArrayType(T.StructType([T.StructField("min", VECTOR), T.StructField("max", VECTOR)]))
 
 
 def save(tree: DataFrame, path: str, model_id: str = "default") -> None:
-    """Nodes as Parquet, partitioned by model and depth; each file holds a range of paths."""
+    """Nodes, with their boxes if they have any, as Parquet, partitioned by model and depth; each file holds a range of paths."""
     named = tree.withColumn("model_id", F.lit(model_id))
     named.repartitionByRange("depth", "node_path").sortWithinPartitions("depth", "node_path").write.mode("append").partitionBy("model_id", "depth").parquet(path)
 
 
-def load(spark: SparkSession, path: str, model_id: str = "default") -> DataFrame:
-    """The nodes of a saved model; a missing one is a FileNotFoundError."""
+def load(spark: SparkSession, path: str, model_id: str = "default", boxes: bool = False) -> DataFrame:
+    """The nodes of a saved model, with their boxes if these are asked for; a missing folder or model is a FileNotFoundError."""
+    missing = f"no model {model_id} in {path}; train one first"
     try:
-        found = spark.read.schema(T.StructType([*NODES.fields, T.StructField("model_id", T.StringType())])).parquet(path)
+        found = spark.read.schema(T.StructType([*NODES.fields, T.StructField("model_id", T.StringType())]).add("boxes", BOXES)).parquet(path)
     except AnalysisException as error:
-        raise FileNotFoundError(f"no model in {path}; train one first") from error
-    return found.where(F.col("model_id") == model_id).select(*NODES.names)
+        raise FileNotFoundError(missing) from error
+    of = found.where(F.col("model_id") == model_id)
+    if of.isEmpty():
+        raise FileNotFoundError(missing)
+    return of.select(*NODES.names, *(["boxes"] if boxes else []))
+
+
+def path_boxes(path: Column, config: PoseConfig = DEFAULT) -> Column:
+    """The boxes that a node has by its path."""
+    return F.array(*(octree.box_of_path(path, i, config.box(k), config) for i, k in enumerate(config.keypoints)))
+
+
+def boxes_follow(tree: DataFrame, config: PoseConfig = DEFAULT) -> bool:
+    """Whether no node has boxes that differ from those of its path. One pass; a tree without the column needs none."""
+    if "boxes" not in tree.columns:
+        return True
+    return tree.where(F.col("boxes").isNotNull() & ~F.col("boxes").eqNullSafe(path_boxes(F.col("node_path"), config))).isEmpty()
 
 
-def _boxes(path: Column, config: PoseConfig) -> Column:
+def _boxes(boxes: Column, config: PoseConfig) -> Column:
     """The boxes object of a node, as JSON."""
-    each = [F.concat(F.lit(f'"{k}":'), F.to_json(octree.box_values(octree.box_of_path(path, i, config.box(k), config)))) for i, k in enumerate(config.keypoints)]
+    each = [F.concat(F.lit(f'"{k}":'), F.to_json(octree.box_values(boxes[i]))) for i, k in enumerate(config.keypoints)]
     return F.concat(F.lit("{"), F.concat_ws(",", *each), F.lit("}"))
 
 
@@ -69,7 +90,8 @@ def write_json(tree: DataFrame, path: str, config: PoseConfig = DEFAULT) -> None
     """
     w = config.width
     staged = new_folder(tree.sparkSession, "tree-text")
-    tree.select(
+    own = path_boxes(F.col("node_path"), config)
+    tree.withColumn("boxes", F.coalesce("boxes", own) if "boxes" in tree.columns else own).select(
         "depth",
         "node_path",
         F.concat(
@@ -82,7 +104,7 @@ def write_json(tree: DataFrame, path: str, config: PoseConfig = DEFAULT) -> None
             F.lit(',"sample_counts":'),
             F.to_json("sample_counts"),
             F.lit(',"bboxes":'),
-            _boxes(F.col("node_path"), config),
+            _boxes(F.col("boxes"), config),
             F.lit(',"children":{'),
         ).alias("head"),
     ).write.partitionBy("depth").parquet(staged)
@@ -103,31 +125,33 @@ def write_json(tree: DataFrame, path: str, config: PoseConfig = DEFAULT) -> None
         below = keyed.groupBy("parent").agg(F.array_join(F.array_sort(F.collect_list("entry")), ",").alias("children")).withColumnRenamed("parent", "node_path")
 
 
-def flattened(text: str):
-    """Node by node (parent before child) of a nested document: (depth, path, total, counts, label, boxes)."""
+def flattened(text: str, keypoints: tuple[str, ...]):
+    """Node by node (parent before child) of a nested document: (depth, path, total, counts, label, boxes by keypoint)."""
     stack = [("", json.loads(text))]
     while stack:
         path, node = stack.pop()
-        yield int(node["depth"]), path, int(node.get("total_samples", 0)), {k: int(n) for k, n in node.get("sample_counts", {}).items()}, node.get("resolved_label"), node["bboxes"]
+        boxes = [{end: dict(zip("xyz", map(float, corner))) for end, corner in zip(("min", "max"), node["bboxes"][k])} for k in keypoints]
+        yield int(node["depth"]), path, int(node.get("total_samples", 0)), {k: int(n) for k, n in node.get("sample_counts", {}).items()}, node.get("resolved_label"), boxes
         for key, child in node.get("children", {}).items():
             stack.append((path + "".join(str(int(p)) for p in key.split(",") if p.strip()), child))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes of the nested documents in path, each parsed by the task that reads it. Counts are taken as they stand."""
+def read_json(spark: SparkSession, path: str, config: PoseConfig = DEFAULT) -> DataFrame:
+    """Nodes with their own boxes of the nested documents in path, each parsed by the task that reads it. Counts and boxes are taken as they stand."""
+    names = [*NODES.names, "boxes"]
 
     def parse(frames):
         for frame in frames:
             for text in frame["value"]:
                 held = []
-                for node in flattened(text):
-                    held.append(node[:5])
+                for node in flattened(text, config.keypoints):
+                    held.append(node)
                     if len(held) == 5000:
-                        yield pd.DataFrame(held, columns=NODES.names)
+                        yield pd.DataFrame(held, columns=names)
                         held = []
-                yield pd.DataFrame(held, columns=NODES.names)
+                yield pd.DataFrame(held, columns=names)
 
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, NODES)
+    return spark.read.text(path, wholetext=True).mapInPandas(parse, T.StructType(list(NODES.fields)).add("boxes", BOXES))
 
 
 def root_boxes(spark: SparkSession, path: str) -> dict[str, Box]:

@@ -127,13 +127,13 @@ def test_null_coordinates_count_as_nan(spark):
     assert nan == lost and nan[3] == "0"
 
 
-def test_prediction_without_broadcast_levels(spark):
+def test_prediction_in_any_ranges(spark):
     tree = train.nodes(train.counts(samples(spark, (P1, "walk"), (P2, "run"), (P3, "run"))))
     asked = samples(spark, (P1, "a"), (P2, "b"), ("1" * 66 + "222222", "c"), ("4" * 72, "d"))
     key = lambda df: sorted((r.path, r.predicted, r.terminated_at_depth, len(r.steps)) for r in df.collect())
     whole = key(predict.predict(asked, tree))
     assert [x[2] for x in whole] == [12, 11, 12, 0]
-    assert all(key(predict.predict(asked, tree, most_broadcast=n)) == whole for n in (0, 1, 3, 7))
+    assert all(key(predict.predict(asked, tree, rows=n)) == whole for n in (1, 2, 5, 11))
 
 
 def test_nearest_of_each_by_brute_force(spark):
@@ -145,9 +145,8 @@ def test_nearest_of_each_by_brute_force(spark):
     held, asked = [(k, r.choice(base)) for k in range(300)], [(k, path()) for k in range(12)]
     far = lambda a, b: sum(2.0 ** -(1 + i // 6) for i in range(72) if a[i] != b[i])
     want = [(q, *x) for q, p in asked for x in ((s, far(p, t), k + 1) for k, (s, t) in enumerate(sorted(held, key=lambda x: (far(p, x[1]), x[0]))[:5]))]
-    for block in (100, 5):
-        got = rank.nearest_each(spark.createDataFrame(asked, "query_id int, path string"), spark.createDataFrame(held, "pos int, path string"), block=block)
-        assert sorted((x.query_id, x.pos, x.distance, x["rank"]) for x in got.collect()) == sorted(want)
+    got = rank.nearest_each(spark.createDataFrame(asked, "query_id int, path string"), spark.createDataFrame(held, "pos int, path string"))
+    assert sorted((x.query_id, x.pos, x.distance, x["rank"]) for x in got.collect()) == sorted(want)
 
 
 def test_normalizing(spark):
@@ -369,7 +368,7 @@ def test_plans(spark):
     assert "Python" not in plan_of(core.QUERIES["predict_label"](spark, sf))
 
 
-@pytest.mark.parametrize("name", ["pose_validate_missing", "combination_index", "bvh_keypoints", "ask_frame", "stream_train", "json_roundtrip", "predict_ancestor_fallback", "rank_top5_per_query", "tree_resolved_labels", "predict_miss_embeddings", "eval_confusion", "euler_matrix", "fk_chain", "metadata_filter"])
+@pytest.mark.parametrize("name", ["pose_validate_missing", "combination_index", "bvh_keypoints", "ask_frame", "stream_train", "json_roundtrip", "predict_ancestor_fallback", "rank_top5_per_query", "tree_resolved_labels", "tree_grown", "predict_few", "predict_uneven_boxes", "pose_quarantine", "predict_path_trace", "predict_miss_embeddings", "eval_confusion", "euler_matrix", "fk_chain", "metadata_filter"])
 def test_queries_and_their_sql(spark, name):
     import __spark_entry__
 
