@@ -82,6 +82,15 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined to right, an aggregate by key, such that Spark may split what one key has of left's rows.
+
+    A join on the key alone takes the aggregate as its shuffle has dealt it, and then no side may be
+    split; a hash beside the key makes Spark deal both sides anew.
+    """
+    return left.withColumn("dealt_by", F.hash(key)).join(right.withColumn("dealt_by", F.hash(key)), [key, "dealt_by"], how).drop("dealt_by")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, lengthened until no column of df has it."""
     taken = {c.lower() for c in df.columns}

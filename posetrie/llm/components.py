@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from posetrie.llm.common import cut, dropped, staged
+from posetrie.llm.common import cut, dropped, split_join, staged
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -24,11 +24,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = split_join(both, _least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # small star: u and its smaller neighbours to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = split_join(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         old, links = links, staged(small.where("u <> v").distinct())
         dropped(old)
         # a pair hash alone could repeat by chance; with the count it doesn't in practice

@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from posetrie.llm.common import cut, dropped, list_array, slices, staged
+from posetrie.llm.common import cut, dropped, list_array, slices, split_join, staged
 from posetrie.llm.components import components
 
 ROWS, BANDS = 7, 36
@@ -193,7 +193,7 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, words: int, percent: int)
     items = sets.select(F.col("rep").alias("id"), "label", F.size("items").alias("n"), F.explode("items").alias("item"))
     often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
     own = Window.partitionBy("id").orderBy("often", "item")
-    placed = items.join(often, "item").withColumn("pos", F.row_number().over(own))
+    placed = split_join(items, often, "item").withColumn("pos", F.row_number().over(own))
     # items shared by an i-th and j-th place leave room for 1 + min(n - i, n' - j) in common
     probe = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     prefix = staged(placed.where((F.col("pos") <= probe) & (F.col("often") > 1)).select("item", "id", "label", "n", "pos"))
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     keys = nodes.select("rep", F.explode("bands").alias("bucket"))
     turned = [F.min(F.col("rep").bitwiseXOR(F.lit(t))).bitwiseXOR(F.lit(t)) for t in TURNS]
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), *(x.alias(f"pivot{k}") for k, x in enumerate(turned))).where("members > 1")
-    buckets = staged(keys.join(shared, "bucket"))
+    buckets = staged(split_join(keys, shared, "bucket"))
     every = F.array(*(f"pivot{k}" for k in range(len(TURNS))))
     pivots = F.slice(every, F.lit(1), F.when(F.col("members") >= CROWDED, len(TURNS)).otherwise(1))
 
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     stars = linked(buckets.select(F.col("rep").alias("a"), F.explode(pivots).alias("b")).where("a <> b").distinct())
     live = buckets.select("bucket", "rep").join(labels(stars), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = live.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    left = staged(live.join(mixed, "bucket").select("rep", "label").distinct())
+    left = staged(split_join(live, mixed, "bucket").select("rep", "label").distinct())
     candidates = prefix_pairs(left, docs, words, percent)
     more = linked(candidates)
     label = labels(stars.unionByName(more))
