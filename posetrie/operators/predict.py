@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from posetrie.config import DEFAULT, PoseConfig
 from posetrie.functions import octree
@@ -26,47 +28,44 @@ def predict(queries: DataFrame, nodes: DataFrame, config: PoseConfig = DEFAULT,
     ancestor at a level is the last node of that level before it, if it is a prefix. Both tables are cut
     into ranges by sampled bounds and shuffled once; equal query paths may fall into several ranges,
     each of which also gets the nodes above its bound. Both tables are read several times: give stored
-    ones. Of what isn't selected from the answer, nothing is carried.
+    ones.
     """
     w, deepest = config.width, config.max_depth
     salt = F.hex(F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + SALTS)
     asked = queries.select(F.concat(F.coalesce("path", F.lit("")), F.lit(ranges.MARK), salt).alias("key"), F.struct(*(F.col(f"`{c}`") for c in queries.columns)).alias("row"))
-    known = nodes.select(F.col("node_path").alias("key"), F.struct("resolved_label").alias("label"), "total_samples")
+    known = nodes.select(F.col("node_path").alias("key"), F.struct(F.col("node_path").alias("path"), F.expr(f"length(node_path) div {w}").alias("level"), "resolved_label", "total_samples").alias("node"))
     at = ranges.bounds(known.select("key").unionByName(asked.select("key")), rows)
     placed = known.withColumn("range", ranges.number(F.col("key"), at))
     if at:
         placed = placed.unionByName(known.join(F.broadcast(ranges.prefixes(queries.sparkSession, at, w)), "key"))
     placed = placed.unionByName(asked.withColumn("range", ranges.number(F.col("key"), at)), allowMissingColumns=True)
     here = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = range(deepest + 1)
 
-    def last(level: int, of: str):
-        return F.last(F.when(F.col("row").isNull() & (F.length("key") == level * w), F.col(of)), ignorenulls=True).over(here)
+    lasts = [F.last(F.when(F.col("node.level") == d, F.col("node")), ignorenulls=True).over(here).alias(f"node_{d}") for d in levels]
+    near = placed.select("row", *lasts).where("row IS NOT NULL")
 
-    levels = range(deepest + 1)
-    near = placed.select("row", *(last(d, of).alias(f"{of}_{d}") for d in levels for of in ("key", "label", "total_samples"))).where("row IS NOT NULL")
-    on_path = [F.coalesce(F.col(f"key_{d}") == F.substring("row.path", 1, w * d), F.lit(False)) for d in levels]
-    depth = F.lit(deepest)
-    for d in reversed(levels):
-        depth = F.when(on_path[d], depth).otherwise(F.lit(d - 1 if d else None).cast("int"))
-    answered = near.select("*", depth.alias("depth"))
-    labels = [F.col(f"label_{d}.resolved_label") for d in levels]
-    if config.fallback == "nearest_ancestor":
-        label = F.coalesce(*(F.when(F.col("depth") >= d, labels[d]) for d in reversed(levels)))
-    else:
-        label = F.coalesce(*(F.when(F.col("depth") == d, labels[d]) for d in levels))
+    def on_path(of: Callable[[int], Column], blank: bool) -> Column:
+        """What of() gives at the deepest node that the path meets, without a gap; where that may be blank, at the deepest that has any."""
+        found = F.lit(None)
+        for d in reversed(levels):
+            here = of(d) if blank else F.struct(of(d).alias("it"))
+            found = F.when(F.startswith("row.path", f"node_{d}.path"), F.coalesce(found, here) if d < deepest else here)
+        return found if blank else found["it"]
+
+    depth = on_path(F.lit, False)
+    label = on_path(lambda d: F.col(f"node_{d}.resolved_label"), config.fallback == "nearest_ancestor")
     every = [
         F.struct(
             F.lit(d).alias("depth"),
-            F.when(F.lit(d > 0), F.substring(f"key_{d}", w * (d - 1) + 1, w)).alias("combination_index"),
-            labels[d].alias("resolved_label"),
-            F.col(f"total_samples_{d}").alias("total_samples"),
+            F.when(F.lit(d > 0), F.substring(f"node_{d}.path", w * (d - 1) + 1, w)).alias("combination_index"),
+            F.col(f"node_{d}.resolved_label").alias("resolved_label"),
+            F.col(f"node_{d}.total_samples").alias("total_samples"),
         )
         for d in levels
     ]
-    steps = F.slice(F.array(*every), F.lit(1), F.coalesce(F.col("depth") + 1, F.lit(0)))
-    return answered.select(
-        "row.*", label.alias("predicted"), steps.alias("steps"), F.col("depth").alias("terminated_at_depth"), (F.col("depth") < deepest).alias("fallback_triggered")
-    )
+    steps = F.slice(F.array(*every), F.lit(1), F.coalesce(depth + 1, F.lit(0)))
+    return near.select("row.*", label.alias("predicted"), steps.alias("steps"), depth.alias("terminated_at_depth"), (depth < deepest).alias("fallback_triggered"))
 
 
 #: Nodes with boxes (some 500 bytes each) of the upper levels that are broadcast; deeper ones meet the poses in a shuffle.

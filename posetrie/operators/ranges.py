@@ -12,14 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MARK = ":"
-#: Rows of a range, unless that makes more ranges than MOST; sampled keys for each range, which the driver sorts.
+#: Rows of a range at most, unless that makes more ranges than MOST; sampled keys for each range, which the driver sorts.
 ROWS, MOST, SAMPLED = 50_000, 4096, 32
+#: Ranges for each shuffle partition, which a hash deals out, so that none gets much more than another; rows of a range that aren't cut for that.
+SPREAD, LEAST = 16, 1000
 
 
 def bounds(keys: DataFrame, rows: int = ROWS, most: int = MOST) -> list[str]:
     """The keys at which ranges 1, 2, ... begin, by a sample of a table of one column, key. Some MOST * SAMPLED keys at most come to the driver."""
     total = keys.count()
-    wanted = min(most, total // rows + 1)
+    even = min(SPREAD * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // LEAST)
+    wanted = min(most, max(total // rows, even) + 1)
     if wanted == 1:
         return []
     sample = sorted(r[0] for r in keys.sample(min(1.0, SAMPLED * wanted / total), seed=wanted).collect())
@@ -39,11 +42,16 @@ def number(key: Column, at: list[str]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(_listed(at), n + step - 1) <= key, step).otherwise(0))
 
 
+def around(of: Column, at: list[str]) -> tuple[Column, Column]:
+    """The bound that a range begins at and the next one's; null at either end."""
+    return F.get(_listed(at), of - 1), F.get(_listed(at), of)
+
+
 def is_shared(path: Column, of: Column, at: list[str]) -> Column:
     """Whether a node of a range may have rows in another range too."""
     if not at:
         return F.lit(False)
-    low, high = F.get(_listed(at), of - 1), F.get(_listed(at), of)
+    low, high = around(of, at)
     return F.coalesce(F.startswith(low, path), F.lit(False)) | F.coalesce(F.startswith(high, path), F.lit(False))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from posetrie.config import DEFAULT, PoseConfig
 from posetrie.operators import ranges
@@ -47,26 +47,56 @@ def ranged(leaves: DataFrame, at: list[str]) -> DataFrame:
     return leaves.withColumn("range", ranges.number(_key(), at))
 
 
+def _common(a: str, b: str, config: PoseConfig) -> Column:
+    """How many whole codes two different paths share from the start, by halving; a fold, since a method with a test for each level is too long for the JVM's compiler."""
+    w = config.width
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(config.max_depth.bit_length()))))
+
+    def same(n: Column) -> Column:
+        return (F.length(a) >= n * w) & F.startswith(F.col(b), F.substring(F.col(a), F.lit(1), n * w))
+
+    return F.aggregate(halves, F.lit(0), lambda n, half: n + F.when(same(n + half), half).otherwise(0))
+
+
 def rolled_up(leaves: DataFrame, at: list[str], finish: Callable[[DataFrame, list[str]], DataFrame], config: PoseConfig = DEFAULT, depths: Sequence[int] = ()) -> DataFrame:
-    """(range, what finish makes) of leaves (path, label, n, range): the counts of all nodes on the leaves' paths, or of those at some depths.
+    """(range, what finish makes) of leaves (path, label, n, range), one a path and label: the counts of all nodes on the leaves' paths, or of those at some depths.
 
-    Leaves are shuffled once, by range; the nodes above them are made and counted where they are. Only nodes that
-    may lie in several ranges, prefixes of the bounds, are summed over these; their range is -1.
+    Leaves are shuffled once, by range, and sorted. A node's leaves stand together: it begins at a leaf
+    that shares fewer codes with the one before, and is given out by its last, with the running sum since
+    it began, so that no leaf makes a row for each level. Only nodes that may lie in several ranges,
+    prefixes of the bounds, are summed over these; their range is -1.
     finish(counts, keys) takes counts by keys and label, (*keys, label, n), and gives a row a node.
     """
-    each = config.width
-    every = F.array(*map(F.lit, depths)) if depths else F.sequence(F.lit(0), F.expr(f"length(path) div {each}").cast("int"))
-    up = leaves.repartition("range").select("range", F.explode(every).alias("depth"), "path", "label", "n")
-    placed = up.select("range", "depth", F.expr(f"substring(path, 1, depth * {each})").alias("node_path"), "label", "n")
+    w, levels = config.width, range(config.max_depth + 1)
+    run = Window.partitionBy("range", "label").orderBy("path")
+    since = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = leaves.repartition("range").select("*", F.lag("path").over(run).alias("last"), F.sum("n").over(since).alias("upto"))
+    begun = after.select("*", F.when(F.col("last").isNull(), -1).otherwise(_common("last", "path", config)).alias("begin"), F.expr(f"length(path) div {w}").cast("int").alias("depths"))
+    starts = [F.last(F.when((F.col("begin") < d) & (F.col("depths") >= d), F.col("upto") - F.col("n")), ignorenulls=True).over(since) for d in levels]
+    ending = begun.select("range", "path", "label", "upto", "depths", F.coalesce(F.lead("begin").over(run), F.lit(-1)).alias("end"), F.array(*starts).alias("starts")).where("end < depths")
+    closed = ending.select("*", F.explode(F.sequence(F.col("end") + 1, F.col("depths"))).alias("depth"))
+    if depths:
+        closed = closed.where(F.col("depth").isin(list(depths)))
+    placed = closed.select("range", "depth", F.expr(f"substring(path, 1, depth * {w})").alias("node_path"), "label", (F.col("upto") - F.get("starts", "depth")).alias("n"))
     shared = ranges.is_shared(F.col("node_path"), F.col("range"), at)
-
-    def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
-        return finish(rows.groupBy(*keys, "label").agg(F.sum("n").alias("n")), keys)
-
-    own = summed(placed.where(~shared), ["range", "depth", "node_path"])
+    # a hash comes first among the keys, since Spark sorts by the first one's leading bytes
+    own = finish(placed.where(~shared).withColumn("key", F.xxhash64("node_path")), ["key", "range", "depth", "node_path"]).drop("key")
     if not at:
         return own
-    return own.unionByName(summed(placed.where(shared), ["depth", "node_path"]).withColumn("range", F.lit(-1)))
+    return own.unionByName(finish(_shared(leaves, at, config, depths), ["depth", "node_path"]).withColumn("range", F.lit(-1)))
+
+
+def _shared(leaves: DataFrame, at: list[str], config: PoseConfig, depths: Sequence[int]) -> DataFrame:
+    """(depth, node_path, label, n) of the nodes that are prefixes of bounds: leaves are counted by how much of their range's two bounds they share."""
+    bounds = [c.alias(name) for c, name in zip(ranges.around(F.col("range"), at), ("low", "high"))]
+    near = leaves.select("*", *bounds).select("range", "label", "n", _common("path", "low", config).alias("with_low"), _common("path", "high", config).alias("with_high"))
+    by = near.groupBy("range", "label", "with_low", "with_high").agg(F.sum("n").alias("n")).select("*", *bounds)
+    each = by.select("*", F.explode(F.sequence(F.lit(0), F.greatest("with_low", "with_high"))).alias("depth"))
+    if depths:
+        each = each.where(F.col("depth").isin(list(depths)))
+    whose = F.when(F.col("depth") <= F.col("with_low"), F.col("low")).otherwise(F.col("high"))
+    node = F.substring(F.coalesce(whose, F.lit("")), F.lit(1), F.col("depth") * config.width)
+    return each.groupBy("depth", node.alias("node_path"), "label").agg(F.sum("n").alias("n"))
 
 
 def counts(samples: DataFrame, config: PoseConfig = DEFAULT, rows: int = ranges.ROWS) -> DataFrame:

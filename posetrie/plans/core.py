@@ -165,10 +165,17 @@ def tree_stale_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.stale(old, _counts(spark, sf_dir)).select("depth", "node_path", "total_samples", "resolved_label")
 
 
-def _predicted(spark: SparkSession, sf_dir: str, config: PoseConfig = DEFAULT, nodes: DataFrame | None = None) -> DataFrame:
-    """All lines' predictions by a tree of the finished ones."""
-    nodes = _tree(spark, sf_dir, "l_linestatus = 'F'") if nodes is None else nodes
-    return predict.predict(model.stored(line_paths(spark, sf_dir)), model.stored(nodes), config)
+def _labelled(lines: DataFrame, where: str = "true") -> DataFrame:
+    return lines.where(where).select("path", F.col("l_returnflag").alias("label"))
+
+
+def _predicted(spark: SparkSession, sf_dir: str, config: PoseConfig = DEFAULT, stale: bool = False) -> DataFrame:
+    """All lines' predictions by a tree of the finished ones, or by all lines' tree with the labels that the finished ones decided."""
+    lines = model.stored(line_paths(spark, sf_dir))
+    nodes = train.tree(_labelled(lines, "l_linestatus = 'F'"))
+    if stale:
+        nodes = train.stale(nodes, train.counts(_labelled(lines)))
+    return predict.predict(lines, model.stored(nodes.select("depth", "node_path", "total_samples", "resolved_label")), config)
 
 
 @query
@@ -193,19 +200,15 @@ def predict_miss_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.predict(model.stored(rows), model.stored(_tree(spark, sf_dir))).select("vec_id", "predicted", "terminated_at_depth", "fallback_triggered")
 
 
-def _stale_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train.stale(_tree(spark, sf_dir, "l_linestatus = 'F'"), _counts(spark, sf_dir))
-
-
 @query
 def predict_ancestor_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes newer than the last finalisation have no label; their nearest labelled ancestor's holds."""
-    return _predicted(spark, sf_dir, nodes=_stale_nodes(spark, sf_dir)).select(*LINE, "predicted", "terminated_at_depth")
+    return _predicted(spark, sf_dir, stale=True).select(*LINE, "predicted", "terminated_at_depth")
 
 
 @query
 def predict_no_fallback_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _predicted(spark, sf_dir, PoseConfig(fallback="none"), _stale_nodes(spark, sf_dir)).select(*LINE, "predicted", "terminated_at_depth")
+    return _predicted(spark, sf_dir, PoseConfig(fallback="none"), stale=True).select(*LINE, "predicted", "terminated_at_depth")
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
