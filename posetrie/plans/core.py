@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from posetrie.config import DEFAULT, KEYPOINTS, PoseConfig
 from posetrie.functions import octree, pose as P, rotation
 from posetrie.operators import evaluate, predict, quarantine, rank, train
 from posetrie.plans import oracle
-from posetrie.plans.poses import ABSOLUTE_POSE, COARSE_POSE, LINE_POSE, NATION_POSE, columns, embedded, line_paths, pose, table
+from posetrie.plans.poses import ABSOLUTE_POSE, ASKED, CHANNELS, CLIP_FRAMES, COARSE_POSE, LINE_POSE, NATION_POSE, columns, embedded, line_paths, pose, table
 from posetrie.sources import growing, metadata, model
 from posetrie.streaming import training
 
@@ -325,24 +325,67 @@ def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("pos", "sample_name", F.size("combination_indices").alias("n_codes"), F.array_join("combination_indices", ",").alias("codes"))
 
 
+def _clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Clips of the customers, CLIP_FRAMES of them each: their frames' (clip, frame_index, c_custkey, c_mktsegment), and the clips' folder."""
+    from posetrie.sources import clips
+
+    of = table(spark, sf_dir, "customer").withColumn("clip", F.expr(f"c_custkey div {CLIP_FRAMES}"))
+    in_order = Window.partitionBy("clip").orderBy("c_custkey")
+    rows = of.select("clip", (F.row_number().over(in_order) - 1).alias("frame_index"), "c_custkey", "c_mktsegment", F.array(*(F.expr(c) for c in CHANNELS)).alias("values"))
+    path = model.new_folder(spark, "clips")
+    clips.write(rows.select("clip", "frame_index", "values"), path)
+    return rows.drop("values"), path
+
+
+def _clip_of(file: str = "file"):
+    return F.regexp_extract(file, r"clip=(\d+)", 1).cast("long").alias("clip")
+
+
 @query
 def bvh_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keypoints of the library's own clip, frame by frame."""
-    from posetrie.sources import bvh, clips
+    """Keypoints of clips, frame by frame."""
+    from posetrie.sources import bvh
 
-    return bvh.keypoints_long(bvh.keypoints(spark, clips.example(spark)))
+    poses = bvh.keypoints(spark, _clips(spark, sf_dir)[1])
+    each = poses.select(_clip_of(), "frame_index", F.explode(P.listed(F.col("pose"))).alias("k"))
+    return each.select("clip", "frame_index", F.col("k.name").alias("keypoint"), *((F.round(f"k.{a}", 6) + 0.0).alias(a) for a in "xyz"))
 
 
 @query
-def ask_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A frame of the library's own clip asked of a model that was trained on the clip's frames, by name."""
+def bvh_joints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two joints of clips, where they are in space, in metres."""
+    from posetrie.sources import bvh
+
+    found = bvh.joint_positions(spark, _clips(spark, sf_dir)[1], ["Spine", "LeftArm"], relative=False, unit="m")
+    return found.select(_clip_of(), "frame_index", "joint", *((F.round(a, 6) + 0.0).alias(a) for a in "xyz"))
+
+
+def _asked(spark: SparkSession, sf_dir: str):
+    """Frame ASKED of every clip, asked of a model that has learned all other frames, and of these as samples."""
     from posetrie.query import ask
-    from posetrie.sources import bvh, clips
+    from posetrie.sources import bvh
+
+    frames, clips = _clips(spark, sf_dir)
+    placed = octree.with_path(model.stored(bvh.keypoints(spark, clips).select(_clip_of(), "frame_index", "pose")), "pose")
+    learned = model.stored(placed.join(frames, ["clip", "frame_index"]).where(F.col("frame_index") != ASKED).select("path", "c_custkey", F.col("c_mktsegment").alias("label")))
+    to, named = model.new_folder(spark, "asked"), model.new_folder(spark, "samples")
+    model.save(train.tree(learned), to)
+    part = F.expr(f"c_custkey div {metadata.HELD}")
+    at = part * metadata.HELD + F.row_number().over(Window.partitionBy(part).orderBy("c_custkey")) - 1
+    metadata.save(learned.select(at.alias("pos"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("sample_name"), octree.codes(F.col("path")).alias("combination_indices")), named)
+    return ask(spark, clips, ASKED, to, named)
+
+
+@query
+def ask_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame of every clip asked of a saved model."""
+    return _asked(spark, sf_dir).prediction.select(_clip_of(), "predicted", "terminated_at_depth", "fallback_triggered")
 
-    clip, path = clips.example(spark), model.new_folder(spark, "asked")
-    placed = octree.with_path(model.stored(bvh.keypoints(spark, clip)), "pose").select("path", F.concat(F.lit("f"), F.col("frame_index").cast("string")).alias("label"))
-    model.save(train.nodes(train.counts(placed)), path)
-    return ask(spark, clip, 1, path, f"{path}-no-metadata").prediction.select("predicted", "terminated_at_depth", "fallback_triggered")
+
+@query
+def ask_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples nearest to that frame of every clip."""
+    return _asked(spark, sf_dir).candidates.select(_clip_of(), "sample_name", "distance", "rank")
 
 
 @query

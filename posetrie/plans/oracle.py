@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from posetrie.config import DEFAULT, JOINT_OF, KEYPOINTS
-from posetrie.plans.poses import ABSOLUTE_POSE, COARSE_POSE, LINE_KEYS, LINE_POSE, NATION_POSE, embedded, paths_sql
-from posetrie.sources import clips
+from posetrie.plans.poses import ABSOLUTE_POSE, ASKED, CHANNELS, CLIP_FRAMES, COARSE_POSE, LINE_KEYS, LINE_POSE, NATION_POSE, embedded, paths_sql
 
 D, W = DEFAULT.max_depth, DEFAULT.width
 LINES = paths_sql("paths", "lineitem", LINE_POSE, LINE_KEYS)
@@ -84,18 +83,40 @@ CLIP_JOINTS = """('Hips', NULL, 0, 0, 0, 3), ('Spine', 'Hips', 0, 4, 0, 6), ('Ne
  ('RightArm', 'Hips', -2, 1, 0, 18), ('RightHand', 'RightArm', -1, 0, 0, 21), ('LeftLeg', 'Hips', 1, -1, 0, 24), ('LeftFoot', 'LeftLeg', 0, -1, 1, 27), ('RightLeg', 'Hips', -1, -1, 0, 30), ('RightFoot', 'RightLeg', 0, -1, 1, 33)"""
 
 
-def _clip() -> str:
-    """Keypoints of the clip's frames: from each keypoint's joint up to the root, by matrices."""
-    rows = clips.text().split("Frame Time")[1].split("\n")[1:]
-    frames = ", ".join(f"({k}, [{', '.join(f'{v}::DOUBLE' for v in row.split())}])" for k, row in enumerate(r for r in rows if r.strip()))
-    keys = ", ".join(f"('{k}', '{JOINT_OF[k]}')" for k in KEYPOINTS)
+def _clips(joints: dict[str, str]) -> str:
+    """CTEs up to walk: the joints (by the names they go by) of every customer's frame, from each up to the root, by matrices."""
+    keys = ", ".join(f"('{k}', '{joint}')" for k, joint in joints.items())
     m = matrix("f.v[p.ch + 1]", "f.v[p.ch + 2]", "f.v[p.ch + 3]")
     turned = ", ".join(f"{m[i][0]}*(w.x + j.ox) + {m[i][1]}*(w.y + j.oy) + {m[i][2]}*(w.z + j.oz)" for i in range(3))
+    frames = f"SELECT c_custkey // {CLIP_FRAMES} AS clip, row_number() OVER (PARTITION BY c_custkey // {CLIP_FRAMES} ORDER BY c_custkey) - 1 AS frame_index, c_custkey, c_mktsegment AS l_returnflag, [{', '.join(CHANNELS)}] AS v FROM customer"
     return (
-        f"WITH RECURSIVE joints AS (SELECT * FROM (VALUES {CLIP_JOINTS}) t(name, parent, ox, oy, oz, ch)), frames AS (SELECT * FROM (VALUES {frames}) t(frame_index, v)), "
-        f"walk AS (SELECT f.frame_index, k.keypoint, k.joint, 0e0 AS x, 0e0 AS y, 0e0 AS z FROM frames f, (VALUES {keys}) k(keypoint, joint) UNION ALL "
-        f"SELECT w.frame_index, w.keypoint, p.name, {turned} FROM walk w JOIN joints j ON j.name = w.joint JOIN joints p ON p.name = j.parent JOIN frames f ON f.frame_index = w.frame_index) "
-        "SELECT frame_index, keypoint, round(x, 6) + 0e0 AS x, round(y, 6) + 0e0 AS y, round(z, 6) + 0e0 AS z FROM walk WHERE joint = 'Hips'"
+        f"RECURSIVE joints AS (SELECT * FROM (VALUES {CLIP_JOINTS}) t(name, parent, ox, oy, oz, ch)), frames AS MATERIALIZED ({frames}), "
+        f"walk AS (SELECT f.c_custkey, k.keypoint, k.joint, 0e0 AS x, 0e0 AS y, 0e0 AS z FROM frames f, (VALUES {keys}) k(keypoint, joint) UNION ALL "
+        f"SELECT w.c_custkey, w.keypoint, p.name, {turned} FROM walk w JOIN joints j ON j.name = w.joint JOIN joints p ON p.name = j.parent JOIN frames f ON f.c_custkey = w.c_custkey)"
+    )
+
+
+def _joints() -> str:
+    at = ", ".join(f"round((x{i} + f.v[{i + 1}]) / 100e0, 6) + 0e0 AS {a}" for i, a in enumerate("xyz"))
+    return f"WITH {_clips({'Spine': 'Spine', 'LeftArm': 'LeftArm'})} SELECT clip, frame_index::INT AS frame_index, keypoint AS joint, {at} FROM (SELECT c_custkey, keypoint, x AS x0, y AS x1, z AS x2 FROM walk WHERE joint = 'Hips') JOIN frames f USING (c_custkey)"
+
+
+def _asked() -> str:
+    """CTEs up to ends: frame ASKED of every clip, looked up in the tree of all other frames."""
+    wide = ", ".join(f"max({a}) FILTER (keypoint = '{k}') AS {k}_{a}" for k in KEYPOINTS for a in "xyz")
+    posed = f"posed AS (SELECT f.clip, f.frame_index, f.c_custkey, f.l_returnflag, {wide} FROM walk JOIN frames f USING (c_custkey) WHERE joint = 'Hips' GROUP BY ALL)"
+    at = {k: tuple(f"{k}_{a}" for a in "xyz") for k in KEYPOINTS}
+    return (
+        f"WITH {_clips(JOINT_OF)}, {posed}, {paths_sql('placed', 'posed', at, ('clip', 'frame_index', 'c_custkey', 'l_returnflag'))}, "
+        f"{counted('counts', f'frame_index <> {ASKED}', 'placed')}, {noded('nodes', 'counts')}, asked AS (SELECT clip, path FROM placed WHERE frame_index = {ASKED}), {steps('asked', 'clip', 'nodes')}"
+    )
+
+
+def _candidates() -> str:
+    return (
+        f"{_asked()}, cut_off AS (SELECT clip, rpad(substring(path, 1, CAST(depth * {W} AS BIGINT)), {D * W}, '8') AS path FROM ends), samples AS (SELECT c_custkey, path FROM placed WHERE frame_index <> {ASKED}), "
+        f"scored AS (SELECT clip, s.c_custkey, {distance('a.path', 's.path')} AS distance FROM cut_off a, samples s) "
+        "SELECT clip, 'c' || c_custkey AS sample_name, distance, (row_number() OVER (PARTITION BY clip ORDER BY distance, c_custkey))::INT AS rank FROM scored QUALIFY rank <= 5"
     )
 
 
@@ -174,8 +195,10 @@ SQL = {
     "predict_few": f"{TREE}, {paths_sql('asked', 'nation', NATION_POSE, ('n_nationkey',))}, {steps('asked', 'n_nationkey', 'nodes')} SELECT n_nationkey, nearest AS predicted, depth::INT AS terminated_at_depth FROM ends",
     "euler_matrix": "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({EULER[i][j]}, 6) + 0e0 AS m{i}{j}" for i in range(3) for j in range(3)) + " FROM lineitem",
     "fk_chain": _chain(),
-    "bvh_keypoints": _clip(),
-    "ask_frame": "SELECT 'f1' AS predicted, 12::INT AS terminated_at_depth, false AS fallback_triggered",
+    "bvh_keypoints": f"WITH {_clips(JOINT_OF)} SELECT clip, frame_index::INT AS frame_index, keypoint, round(x, 6) + 0e0 AS x, round(y, 6) + 0e0 AS y, round(z, 6) + 0e0 AS z FROM walk JOIN frames USING (c_custkey) WHERE joint = 'Hips'",
+    "bvh_joints": _joints(),
+    "ask_frame": f"{_asked()} SELECT clip, nearest AS predicted, depth::INT AS terminated_at_depth, depth < {D} AS fallback_triggered FROM ends",
+    "ask_candidates": _candidates(),
     "json_roundtrip": f"{COARSE} SELECT n.depth::INT AS depth, node_path, total_samples, resolved_label, c.label, c.n FROM nodes n JOIN counts c USING (depth, node_path)",
     "stream_train": f"{COARSE} SELECT depth::INT AS depth, node_path, total_samples, resolved_label FROM nodes",
     "metadata_filter": f"WITH j AS (SELECT l_orderkey*8+l_linenumber AS pos, ({METADATA_JSON})::JSON AS s FROM lineitem), k AS (SELECT pos, s, s->'combination_indices' AS c FROM j) "

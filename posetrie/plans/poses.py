@@ -30,6 +30,11 @@ MOVE = ("l_linenumber*1e0", "l_quantity*3e0", "l_tax*7e0")
 ABSOLUTE_POSE = {k: tuple(f"({m})" if k == "hips" else f"({v})+({m})" for v, m in zip(LINE_POSE[k], MOVE)) for k in KEYPOINTS}
 
 
+#: Customers that make a clip, the frame of it that is asked, and a frame's channels: the root's place, then three angles a joint.
+CLIP_FRAMES, ASKED = 200, 1
+CHANNELS = ("c_acctbal*0.5e0", "1.5e0", "c_custkey*0.25e0", *(f"((c_custkey*{7 * k + 3}) % 91 - 45)*0.5e0" for k in range(33)))
+
+
 def embedded(first: int) -> dict[str, tuple[str, ...]]:
     """Coordinates of embeddings; first is the index of an array's first item."""
     at = "CAST(embedding[{}] AS DOUBLE)".format

@@ -1,4 +1,4 @@
-"""One frame of a clip asked of a saved model: its label, its path and the nearest training samples."""
+"""A frame of clips asked of a saved model: its label, its path and the nearest training samples."""
 
 from __future__ import annotations
 
@@ -14,19 +14,27 @@ from posetrie.sources import bvh, metadata, model
 
 @dataclass(frozen=True)
 class Answer:
-    """prediction: one row a clip; candidates: (pos, sample_name, distance) of the nearest samples, empty without metadata."""
+    """prediction: one row a clip (file); candidates: (file, pos, sample_name, distance, rank) of the samples nearest to each, empty without metadata."""
 
     prediction: DataFrame
     candidates: DataFrame
 
 
 def ask(spark: SparkSession, clip_path: str, frame: int, model_path: str, metadata_path: str, k: int = 5, mode: str = "compat", config: PoseConfig = DEFAULT) -> Answer:
-    """The answer for a frame. A missing model is an error, missing metadata leave the candidates empty."""
+    """The answer for a frame of every clip. A missing model is an error, missing metadata leave the candidates empty.
+
+    Candidates are ranked by the levels that the prediction has matched; a sample's code that isn't one
+    differs in all keypoints.
+    """
     tree = model.load(spark, model_path)
     poses = model.stored(bvh.asked_frames(spark, model.stored(bvh.keypoints(spark, clip_path, mode, config)), [frame]))
-    predicted = predict.predict(model.stored(octree.with_path(poses, "pose", config=config)), tree, config)
-    matched = predicted.select(predict.matched_codes().alias("codes")).first()["codes"]
-    return Answer(predicted.drop("pose"), rank.nearest(metadata.load(spark, metadata_path), matched, k, config))
+    predicted = model.stored(predict.predict(model.stored(octree.with_path(poses, "pose", config=config)), tree, config).drop("pose"))
+    samples = model.stored(metadata.load(spark, metadata_path))
+    sound = F.transform("combination_indices", lambda c: F.when(F.regexp_like(c, F.lit(f"^[0-7]{{{config.width}}}$")), c).otherwise("9" * config.width))
+    asked = predicted.select(F.col("file").alias("query_id"), F.array_join(predict.matched_codes(), "").alias("path"))
+    near = rank.nearest_each(asked, samples.select("pos", F.array_join(sound, "").alias("path")), k, config)
+    named = near.join(samples.select("pos", "sample_name"), "pos")
+    return Answer(predicted, named.select(F.col("query_id").alias("file"), "pos", "sample_name", "distance", "rank").orderBy("file", "rank"))
 
 
 def sample_metadata(samples: DataFrame, config: PoseConfig = DEFAULT) -> DataFrame:

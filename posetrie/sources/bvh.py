@@ -276,11 +276,3 @@ def asked_frames(spark: SparkSession, poses: DataFrame, indices: Sequence[int])
     error = F.raise_error(F.concat(F.lit("frame "), F.col("asked").cast("string"), F.lit(" out of [0, "), F.col("last").cast("string"), F.lit("]"))).cast("int")
     checked = every.select("pos", "file", F.when(sound, F.col("asked")).otherwise(error).alias("frame_index"))
     return checked.join(poses, ["file", "frame_index"])
-
-
-def keypoints_long(poses: DataFrame) -> DataFrame:
-    """(frame_index, keypoint, x, y, z), rounded for comparison."""
-    from posetrie.functions.pose import listed
-
-    each = poses.select("frame_index", F.explode(listed(F.col("pose"))).alias("k"))
-    return each.select("frame_index", F.col("k.name").alias("keypoint"), *((F.round(f"k.{a}", 6) + 0.0).alias(a) for a in "xyz"))

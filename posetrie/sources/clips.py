@@ -1,8 +1,8 @@
-"""A small motion clip of this library's own, for tests and examples."""
+"""Motion clips of this library's own skeleton: a small one for tests and examples, and clips of given frames."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from posetrie.sources.model import new_folder
 
@@ -45,3 +45,16 @@ def example(spark: SparkSession, frames: int = 3) -> str:
     path = new_folder(spark, "clip")
     spark.createDataFrame([(text(frames),)], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
     return path
+
+
+def write(frames: DataFrame, path: str) -> None:
+    """Writes clips of frames (clip, frame_index, values), one file a clip, in folders clip=<clip> of path.
+
+    values: as many numbers as the skeleton has channels. A clip is one document, and its frames come
+    together in one row; clips of a bounded number of frames are the caller's to make.
+    """
+    header = text(0).split("Frames:")[0]
+    row = F.struct("frame_index", F.array_join(F.transform("values", lambda v: v.cast("string")), " ").alias("row"))
+    whole = frames.groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["row"]).alias("rows"))
+    head = F.concat(F.lit(f"{header}Frames: "), F.size("rows").cast("string"), F.lit("\nFrame Time: .0083333\n"))
+    whole.select(F.concat(head, F.array_join("rows", "\n")).alias("value"), "clip").write.option("lineSep", "\n").partitionBy("clip").text(path)

@@ -1,4 +1,8 @@
-"""Metadata of training samples: JSON documents {"samples": [{"sample_name", "combination_indices"}, ...]}."""
+"""Metadata of training samples: JSON documents {"samples": [{"sample_name", "combination_indices"}, ...]}.
+
+A document may say with "first" at which position its samples begin, so that many samples make several
+documents of a bounded size.
+"""
 
 from __future__ import annotations
 
@@ -22,13 +26,24 @@ def samples_of(rows: DataFrame) -> DataFrame:
     return rows.where(is_list).select("pos", text.alias("sample_name"), codes.alias("combination_indices"))
 
 
+#: Samples of a document at most.
+HELD = 10_000
+
+
+def save(samples: DataFrame, path: str) -> None:
+    """Writes samples (pos, sample_name, combination_indices) as documents in folders of path; positions say the order, and begin at multiples of HELD."""
+    one = F.struct("pos", F.struct("sample_name", "combination_indices").alias("s"))
+    held = samples.groupBy((F.floor(F.col("pos") / HELD) * HELD).alias("first")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]).alias("samples"))
+    held.select(F.to_json(F.struct("first", "samples")).alias("value"), F.col("first").alias("from_pos")).write.partitionBy("from_pos").text(path)
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The samples of a document, in its order; none where there is no file or no list of samples."""
+    """The samples of the documents in path, in their order; none where there is no file or no list of samples."""
     try:
         document = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], EMPTY)
-    samples = F.variant_get(F.parse_json("value"), "$.samples", "variant").alias("samples")
-    lists = document.select(samples).where(F.startswith(F.schema_of_variant("samples"), F.lit("ARRAY")))
-    each = F.expr("try_variant_get(samples, '$', 'array<variant>')")
-    return samples_of(lists.select(F.posexplode(each).alias("pos", "sample")).select(F.col("pos").cast("bigint").alias("pos"), "sample"))
+    parsed = document.select(F.parse_json("value").alias("d"))
+    lists = parsed.select(F.variant_get("d", "$.samples", "variant").alias("samples"), F.coalesce(F.try_variant_get("d", "$.first", "bigint"), F.lit(0)).alias("first"))
+    each = lists.where(F.startswith(F.schema_of_variant("samples"), F.lit("ARRAY"))).select("first", F.posexplode(F.expr("try_variant_get(samples, '$', 'array<variant>')")).alias("at", "sample"))
+    return samples_of(each.select((F.col("first") + F.col("at")).cast("bigint").alias("pos"), "sample"))

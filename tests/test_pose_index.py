@@ -368,13 +368,13 @@ def test_plans(spark):
     assert "Python" not in plan_of(core.QUERIES["predict_label"](spark, sf))
 
 
-@pytest.mark.parametrize("name", ["pose_validate_missing", "combination_index", "bvh_keypoints", "ask_frame", "stream_train", "json_roundtrip", "predict_ancestor_fallback", "rank_top5_per_query", "tree_resolved_labels", "tree_grown", "predict_few", "predict_uneven_boxes", "pose_quarantine", "predict_path_trace", "predict_miss_embeddings", "eval_confusion", "euler_matrix", "fk_chain", "metadata_filter"])
+@pytest.mark.parametrize("name", ["pose_validate_missing", "combination_index", "bvh_keypoints", "bvh_joints", "ask_frame", "ask_candidates", "stream_train", "json_roundtrip", "predict_ancestor_fallback", "rank_top5_per_query", "tree_resolved_labels", "tree_grown", "predict_few", "predict_uneven_boxes", "pose_quarantine", "predict_path_trace", "predict_miss_embeddings", "eval_confusion", "euler_matrix", "fk_chain", "metadata_filter"])
 def test_queries_and_their_sql(spark, name):
     import __spark_entry__
 
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()
-    for t in ("lineitem", "embeddings", "nation"):
+    for t in ("lineitem", "embeddings", "nation", "customer"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = __spark_entry__.queries()[name](spark, sf)
     cols = sorted(got.columns)
