@@ -8,9 +8,10 @@ a bucket touches the few shards that its part of the order meets. Reruns agree.
 
 A record's size is the UTF-8 bytes of its text (null: none) plus 16. Null ids and texts are hashed as
 such. The id and the text both decide a record's bucket, so that copies of a text spread out. Rows
-that repeat an id and a text share a bucket, where a hash of the whole record orders them. An empty table
-gives no files, and an empty result where read() is given the schema. Further columns are written with the record; names that the
-results have (shard, slot) must be free.
+that repeat an id and a text share a bucket, where a hash of the whole record orders them; where they
+are more than a bucket holds, they are numbered in that order and every bucket's worth goes to another
+one. An empty table gives no files, and an empty result where read() is given the schema. Further
+columns are written with the record; one named shard or slot is a ValueError.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from posetrie.llm.common import fresh, new_folder
+from posetrie.llm.common import cut, fresh, new_folder, staged
+from posetrie.llm.merkle import ranked
 
 #: Bytes of text in a bucket, which one task holds in memory about three times.
 BUCKET_BYTES = 32 << 20
@@ -32,8 +34,35 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
-def scatter(docs: DataFrame, n_buckets: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(n_buckets)).cast("int")
+def scatter(docs: DataFrame, n_buckets: int, seed: int, *salt: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"), *salt), F.lit(n_buckets)).cast("int")
+
+
+def dealt(docs: DataFrame, bucket: str, tie: str, n_buckets: int, seed: int, bucket_bytes: int) -> DataFrame:
+    """docs with their bucket and tie, a hash of the whole record.
+
+    Only buckets of twice the bytes they should have are looked through for ids and texts that repeat
+    beyond a bucket; the rows of these alone are ranked, by tie, and dealt out by a bucket's worth.
+    """
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    placed = docs.withColumn(bucket, scatter(docs, n_buckets, seed)).withColumn(tie, F.xxhash64(*hashed))
+    size = size_of(F.col("text"))
+    crowded = cut(placed.groupBy(F.col(bucket).alias("of_bucket")).agg(F.sum(size).alias("bytes")).where(F.col("bytes") > 2 * bucket_bytes).select("of_bucket"))
+    if crowded.isEmpty():
+        return placed
+    same = F.xxhash64("doc_id", "text")
+    in_crowd = placed.select(bucket, same.alias("same"), size.alias("size")).join(crowded, F.col(bucket) == F.col("of_bucket"))
+    many = in_crowd.groupBy("same").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > bucket_bytes)
+    # fewer than there are buckets, and a row each
+    many = staged(many.select(F.col("same").alias("of_same")))
+    row = F.struct(*(F.col(f"`{c}`") for c in placed.columns)).alias("row")
+    keyed = placed.select(row, same.alias("same"), F.col(f"`{tie}`").alias("order"))
+    repeats = keyed.join(many, F.col("same") == F.col("of_same")).drop("of_same")
+    numbered = ranked(repeats, "same", ["order"])
+    worth = F.floor(F.col("idx") / F.greatest(F.lit(1), F.floor(F.lit(bucket_bytes) / size_of(F.col("row.text")))))
+    spread = numbered.select("row", worth.alias("worth")).select("row.*", "worth")
+    again = spread.withColumn(bucket, scatter(spread, n_buckets, seed, F.col("worth"))).drop("worth")
+    return keyed.join(many, F.col("same") == F.col("of_same"), "left_anti").select("row.*").unionByName(again)
 
 
 def shuffled(part: pa.Table, bucket: int, seed: int, tie: str) -> pa.Table:
@@ -50,22 +79,19 @@ def shard(docs: DataFrame, n_shards: int, path: str | None = None, seed: int = 0
     Each record has its slot; files hold runs of slots, and a shard's files in order of their least
     slot are the shard.
     """
+    if clash := sorted({c.lower() for c in docs.columns} & {"shard", "slot"}):
+        raise ValueError(f"rename the columns {', '.join(clash)}")
     spark = docs.sparkSession
     path = path or new_folder(spark, "shards")
     n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(size_of(F.col("text"))), F.lit(0))).first()
     n_buckets = max(1, -(-total // bucket_bytes))
     bucket_, begin_, tie_ = (fresh(docs, x) for x in ("bucket", "begin", "tie"))
-    placed = docs.withColumn(bucket_, scatter(docs, n_buckets, seed))
+    placed = dealt(docs, bucket_, tie_, n_buckets, seed, bucket_bytes)
     # a row for each bucket_bytes of text: where the bucket's records begin in the global order
     counts = placed.groupBy(bucket_).agg(F.count(F.lit(1)).alias("n"))
     begins = counts.withColumn(begin_, F.sum("n").over(Window.orderBy(bucket_).rowsBetween(Window.unboundedPreceding, -1)))
     begins = begins.select(bucket_, F.coalesce(begin_, F.lit(0)).cast("long").alias(begin_))
-    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    scattered = (
-        placed.withColumn(tie_, F.xxhash64(*hashed))
-        .join(F.broadcast(begins) if n_buckets <= MOST_BROADCAST else begins, bucket_)
-        .repartitionById(n_buckets, F.col(bucket_))
-    )
+    scattered = placed.join(F.broadcast(begins) if n_buckets <= MOST_BROADCAST else begins, bucket_).repartitionById(n_buckets, F.col(bucket_))
     kept = list(docs.columns)
     schema = T.StructType([*(scattered.schema[c] for c in kept), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
