@@ -191,9 +191,9 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, words: int, percent: int)
     """
     sets = staged(sets_of(docs.join(members, docs["doc_id"] == members["rep"]), words, ["rep", "label"]))
     items = sets.select(F.col("rep").alias("id"), "label", F.size("items").alias("n"), F.explode("items").alias("item"))
-    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
+    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")  # the others needn't be sent
     own = Window.partitionBy("id").orderBy("often", "item")
-    placed = split_join(items, often, "item").withColumn("pos", F.row_number().over(own))
+    placed = split_join(items, often, "item", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("pos", F.row_number().over(own))
     # items shared by an i-th and j-th place leave room for 1 + min(n - i, n' - j) in common
     probe = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     prefix = staged(placed.where((F.col("pos") <= probe) & (F.col("often") > 1)).select("item", "id", "label", "n", "pos"))
