@@ -70,6 +70,8 @@ def predict(queries: DataFrame, nodes: DataFrame, config: PoseConfig = DEFAULT,
 
 #: Nodes with boxes (some 500 bytes each) of the upper levels that are broadcast; deeper ones meet the poses in a shuffle.
 MOST_BROADCAST = 20_000
+#: Levels of a descent after which what has been found is stored, which bounds the plan and what a lost executor takes along.
+STORED_EACH = 3
 
 
 def _upper_levels(nodes: DataFrame, most: int) -> int:
@@ -108,11 +110,14 @@ def descend(poses: DataFrame, pose: str, nodes: DataFrame, config: PoseConfig =
         level = known.where(F.col("depth") == depth).select(F.col("node_path").alias("key"), "resolved_label", "total_samples", "boxes", F.lit(True).alias("there"))
         met = now.join(F.broadcast(level) if depth <= upper else level, "key", "left")
         step = F.struct(F.lit(depth).alias("depth"), F.expr(f"right(key, {config.width})" if depth else "CAST(NULL AS STRING)").alias("combination_index"), "resolved_label", "total_samples")
-        code = F.concat(*(octree.octant(F.col("at")[k], F.col("boxes")[k]).cast("string") for k in range(config.width)))
+        # a fold over the keypoints: written out, the levels' octants are too long for one generated method
+        code = F.array_join(F.zip_with("at", "boxes", lambda p, b: octree.octant(p, b).cast("string")), "")
         child = F.concat("key", code) if depth < config.max_depth else F.col("salt")
         now = met.select(
             "row", "at", "salt", F.when(F.col("there"), child).otherwise(F.col("salt")).alias("key"), F.when(F.col("there"), F.concat("steps", F.array(step))).otherwise(F.col("steps")).alias("steps")
         )
+        if depth % STORED_EACH == STORED_EACH - 1 and depth < config.max_depth:
+            now = model.stored(now, "descent")
     some = F.size("steps") > 0
     label = F.when(some, F.try_element_at("steps", F.lit(-1))["resolved_label"])
     if config.fallback == "nearest_ancestor":

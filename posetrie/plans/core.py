@@ -53,6 +53,14 @@ def keypoints_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*LINE, "k.pos", "k.name", "k.x", "k.y", "k.z")
 
 
+@query
+def keypoints_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any map by keypoint, listed in the keypoints' order: lengths of names, held the other way round, one of them not there."""
+    held = F.map_from_entries(F.array(*(F.struct(F.lit(k).alias("key"), (F.col("l_quantity") * len(k)).alias("value")) for k in reversed(KEYPOINTS) if k != "neck"), F.struct(F.lit("tail").alias("key"), F.lit(0.0).alias("value"))))
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, F.posexplode(P.in_order(held)).alias("pos", "k"))
+    return rows.select(*LINE, "pos", "k.name", "k.value")
+
+
 @query
 def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths in three units."""
@@ -106,6 +114,15 @@ def bbox_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("node_path", *(F.col("b")[end][a].alias(f"{end}_{a}") for end in ("min", "max") for a in "xyz"))
 
 
+@query
+def bbox_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The right wrist's box two levels down as the model files write it, and read back."""
+    rows = line_paths(spark, sf_dir).select(F.substring("path", 1, 12).alias("node_path")).distinct()
+    made = rows.select("node_path", octree.box_values(octree.box_of_path(F.col("node_path"), KEYPOINTS.index("right_wrist"))).alias("v"))
+    back = octree.box_of_values(F.col("v"))
+    return made.select("node_path", *(F.element_at(F.col("v")[e], i + 1).alias(f"{end}_{i}") for e, end in enumerate(("min", "max")) for i in range(3)), octree.center(back)["z"].alias("center_z"), octree.size(back)["y"].alias("size_y"))
+
+
 def _counts(spark: SparkSession, sf_dir: str, where: str = "true", coordinates: dict = LINE_POSE) -> DataFrame:
     return train.counts(line_paths(spark, sf_dir, coordinates).where(where).select("path", F.col("l_returnflag").alias("label")))
 
@@ -273,7 +290,7 @@ def predict_uneven_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     boxes = F.transform(model.path_boxes(F.col("node_path")), lambda b: F.struct(along(b["min"]).alias("min"), along(b["max"]).alias("max")))
     path = model.new_folder(spark, "uneven")
-    model.save(_tree(spark, sf_dir, "l_linestatus = 'F'").withColumn("boxes", boxes), path)
+    model.save(model.stored(_tree(spark, sf_dir, "l_linestatus = 'F'").withColumn("boxes", boxes)), path)
     poses = table(spark, sf_dir, "lineitem").select(*LINE, pose(LINE_POSE).alias("pose"))
     return predict.predict_poses(poses, "pose", model.load(spark, path, boxes=True)).select(*LINE, "predicted", "terminated_at_depth", "fallback_triggered")
 

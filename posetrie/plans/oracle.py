@@ -140,6 +140,9 @@ SQL = {
         f"SELECT l_orderkey, l_linenumber, {i}::INT AS pos, '{k}' AS name, " + ", ".join(f"CAST({LINE_POSE[k][j]} AS DOUBLE) AS {a}" for j, a in enumerate("xyz")) + " FROM lineitem"
         for i, k in enumerate(KEYPOINTS)
     ),
+    "keypoints_in_order": " UNION ALL ".join(
+        f"SELECT l_orderkey, l_linenumber, {i}::INT AS pos, '{k}' AS name, {'NULL::DOUBLE' if k == 'neck' else f'l_quantity * {len(k)}'} AS value FROM lineitem" for i, k in enumerate(KEYPOINTS)
+    ),
     "unit_convert": "SELECT l_orderkey, l_linenumber, (['original','cm','m'])[l_linenumber % 3 + 1] AS unit, CASE WHEN l_linenumber % 3 = 2 THEN l_extendedprice / 100e0 ELSE l_extendedprice END AS length FROM lineitem",
     "octant_level1": f"WITH {VECTORS} SELECT vec_id, " + ", ".join(f"substring(path, {i + 1}, 1)::INT AS {k}" for i, k in enumerate(KEYPOINTS)) + " FROM vectors",
     "octant_levels_all": f"WITH {VECTORS} SELECT vec_id, d::INT AS level, substring(path, CAST({W}*(d-1)+1 AS BIGINT), {W}) AS code FROM vectors, (SELECT unnest(range(1, {D + 1})) AS d)",
@@ -156,6 +159,9 @@ SQL = {
         f"-100e0 + {' + '.join(f'((o{d} >> {i}) & 1)*{200 / 2 ** (d + 1)!r}' for d in range(4))}{end} AS {name}_{a}" for name, end in (("min", ""), ("max", " + 12.5e0")) for i, a in enumerate("xyz")
     )
     + " FROM o",
+    "bbox_values": f"WITH {LINES}, n AS (SELECT DISTINCT substring(path, 1, 12) AS node_path FROM paths), o AS (SELECT node_path, substring(node_path, 3, 1)::INT AS o0, substring(node_path, 9, 1)::INT AS o1 FROM n), "
+    + "b AS (SELECT node_path, " + ", ".join(f"-100e0 + ((o0 >> {i}) & 1)*100e0 + ((o1 >> {i}) & 1)*50e0 AS min_{i}" for i in range(3))
+    + " FROM o) SELECT *, " + ", ".join(f"min_{i} + 50e0 AS max_{i}" for i in range(3)) + ", min_2 + 25e0 AS center_z, 50e0 AS size_y FROM b",
     "tree_node_counts": f"{TREE} SELECT depth::INT AS depth, node_path, total_samples FROM nodes",
     "tree_label_histogram": f"{TREE} SELECT depth::INT AS depth, node_path, label, n FROM counts",
     "tree_resolved_labels": f"{TREE} SELECT depth::INT AS depth, node_path, resolved_label FROM nodes",

@@ -368,7 +368,7 @@ def test_plans(spark):
     assert "Python" not in plan_of(core.QUERIES["predict_label"](spark, sf))
 
 
-@pytest.mark.parametrize("name", ["pose_validate_missing", "combination_index", "bvh_keypoints", "bvh_joints", "ask_frame", "ask_candidates", "stream_train", "json_roundtrip", "predict_ancestor_fallback", "rank_top5_per_query", "tree_resolved_labels", "tree_grown", "predict_few", "predict_uneven_boxes", "pose_quarantine", "predict_path_trace", "predict_miss_embeddings", "eval_confusion", "euler_matrix", "fk_chain", "metadata_filter"])
+@pytest.mark.parametrize("name", ["pose_validate_missing", "combination_index", "keypoints_in_order", "bbox_values", "bvh_keypoints", "bvh_joints", "ask_frame", "ask_candidates", "stream_train", "json_roundtrip", "predict_ancestor_fallback", "rank_top5_per_query", "tree_resolved_labels", "tree_grown", "predict_few", "predict_uneven_boxes", "pose_quarantine", "predict_path_trace", "predict_miss_embeddings", "eval_confusion", "euler_matrix", "fk_chain", "metadata_filter"])
 def test_queries_and_their_sql(spark, name):
     import __spark_entry__
 
