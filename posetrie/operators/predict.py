@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from posetrie.config import DEFAULT, PoseConfig
@@ -33,7 +31,8 @@ def predict(queries: DataFrame, nodes: DataFrame, config: PoseConfig = DEFAULT,
     w, deepest = config.width, config.max_depth
     salt = F.hex(F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + SALTS)
     asked = queries.select(F.concat(F.coalesce("path", F.lit("")), F.lit(ranges.MARK), salt).alias("key"), F.struct(*(F.col(f"`{c}`") for c in queries.columns)).alias("row"))
-    known = nodes.select(F.col("node_path").alias("key"), F.struct(F.col("node_path").alias("path"), F.expr(f"length(node_path) div {w}").alias("level"), "resolved_label", "total_samples").alias("node"))
+    # a computed key: where the optimizer takes node_path in its place, Spark's Union may fail with "key not found"
+    known = nodes.select(F.concat("node_path", F.lit("")).alias("key"), F.struct(F.col("node_path").alias("path"), "resolved_label", "total_samples").alias("node"))
     at = ranges.bounds(known.select("key").unionByName(asked.select("key")), rows)
     placed = known.withColumn("range", ranges.number(F.col("key"), at))
     if at:
@@ -41,20 +40,18 @@ def predict(queries: DataFrame, nodes: DataFrame, config: PoseConfig = DEFAULT,
     placed = placed.unionByName(asked.withColumn("range", ranges.number(F.col("key"), at)), allowMissingColumns=True)
     here = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     levels = range(deepest + 1)
-
-    lasts = [F.last(F.when(F.col("node.level") == d, F.col("node")), ignorenulls=True).over(here).alias(f"node_{d}") for d in levels]
+    lasts = [F.last(F.when(F.length("key") == w * d, F.col("node")), ignorenulls=True).over(here).alias(f"node_{d}") for d in levels]
     near = placed.select("row", *lasts).where("row IS NOT NULL")
-
-    def on_path(of: Callable[[int], Column], blank: bool) -> Column:
-        """What of() gives at the deepest node that the path meets, without a gap; where that may be blank, at the deepest that has any."""
-        found = F.lit(None)
-        for d in reversed(levels):
-            here = of(d) if blank else F.struct(of(d).alias("it"))
-            found = F.when(F.startswith("row.path", f"node_{d}.path"), F.coalesce(found, here) if d < deepest else here)
-        return found if blank else found["it"]
-
-    depth = on_path(F.lit, False)
-    label = on_path(lambda d: F.col(f"node_{d}.resolved_label"), config.fallback == "nearest_ancestor")
+    deep = F.lit(None)
+    for d in reversed(levels):
+        deep = F.when(F.startswith("row.path", f"node_{d}.path"), F.coalesce(deep, F.lit(d)) if d < deepest else F.lit(d))
+    # a column of its own: Spark works it out once, and the methods that use it stay short
+    near = near.withColumn("deep", deep)
+    depth = F.col("deep")
+    if config.fallback == "nearest_ancestor":
+        label = F.coalesce(*(F.when(depth >= d, F.col(f"node_{d}.resolved_label")) for d in reversed(levels)))
+    else:
+        label = F.coalesce(*(F.when(depth == d, F.col(f"node_{d}.resolved_label")) for d in levels))
     every = [
         F.struct(
             F.lit(d).alias("depth"),
