@@ -15,7 +15,7 @@ MARK = ":"
 #: Rows of a range at most, unless that makes more ranges than MOST; sampled keys for each range, which the driver sorts.
 ROWS, MOST, SAMPLED = 50_000, 4096, 32
 #: Ranges for each shuffle partition, which a hash deals out, so that none gets much more than another; rows of a range that aren't cut for that.
-SPREAD, LEAST = 16, 1000
+SPREAD, LEAST = 16, 4000
 
 
 def bounds(keys: DataFrame, rows: int = ROWS, most: int = MOST) -> list[str]:
