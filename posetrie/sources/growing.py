@@ -35,7 +35,9 @@ class Change:
 
 
 def _write(nodes: DataFrame, store: Folder, version: int, row_group: int) -> None:
-    options = {"parquet.block.size": str(row_group), "parquet.bloom.filter.enabled#node_path": "true"}
+    # a row group's filter is of the size that its nodes need; one of a size set beforehand takes a megabyte, whatever it holds
+    bloom = {"enabled#node_path": "true", "adaptive.enabled": "true", "candidates.number#node_path": "8"}
+    options = {"parquet.block.size": str(row_group), **{f"parquet.bloom.filter.{k}": v for k, v in bloom.items()}}
     nodes.sortWithinPartitions("range", "node_path").write.mode("overwrite").options(**options).partitionBy("range").parquet(f"{store.path}/data/{version}")
 
 
@@ -92,7 +94,8 @@ def update(samples: DataFrame, path: str, config: PoseConfig = DEFAULT) -> Chang
         touched = [SHARED, *touched]
     before = _read(store, held, touched)
     old = before.select(*_KEYS, F.explode_outer("sample_counts").alias("label", "n"), F.col("resolved_label").alias("had"))
-    both = old.unionByName(new, allowMissingColumns=True).repartition("range", "node_path")
+    # by range alone, so that a range's nodes are one file, however many tasks there are
+    both = old.unionByName(new, allowMissingColumns=True).repartition("range")
     counted = both.groupBy(*_KEYS, "label").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("had").alias("had"))
     entries = F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "n"))))
     nodes = counted.groupBy(*_KEYS).agg(

@@ -182,6 +182,21 @@ def test_growing_models(spark, tmp_path):
         growing.load(spark, str(tmp_path / "none"))
 
 
+def test_an_update_writes_a_range_as_one_small_file(spark, tmp_path):
+    where = str(tmp_path / "m")
+    growing.create(table(spark, [(p, "a") for p in paths(40, 400)], "path string, label string"), where, rows=60)
+    coalesced = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with parts too large to be joined
+    try:
+        growing.update(table(spark, [(p, "b") for p in paths(41, 400)], "path string, label string"), where)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    folders = list((tmp_path / "m" / "data" / "1").glob("range=*"))
+    files = [f for folder in folders for f in folder.glob("*.parquet")]
+    assert len(folders) > 5 and len(files) == len(folders)
+    assert max(f.stat().st_size for version in "01" for f in (tmp_path / "m" / "data" / version).glob("*/*.parquet")) < 256 << 10
+
+
 def scanned(df):
     """Rows that the Parquet scans of a query gave, before any filter."""
     df.collect()
