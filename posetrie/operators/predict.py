@@ -11,6 +11,8 @@ from posetrie.sources import model
 
 #: What equal query paths are told apart by, so that ranges may end between them.
 SALTS = 65_536
+#: Queries for each different path from which on paths are looked up once each.
+RECURRING = 2
 
 
 def predict(queries: DataFrame, nodes: DataFrame, config: PoseConfig = DEFAULT, rows: int = ranges.ROWS) -> DataFrame:
@@ -22,17 +24,34 @@ def predict(queries: DataFrame, nodes: DataFrame, config: PoseConfig = DEFAULT,
     labelled ancestor's is taken, if the configured fallback says so. A null path, or a tree without a
     root, has no steps and null answers.
 
+    Where paths recur, each is looked up once, and the answers are joined to the queries by path: of many
+    queries few paths are different. Both tables are read several times: give stored ones.
+    """
+    total, different = queries.agg(F.count("path"), F.approx_count_distinct("path")).first()
+    if total < RECURRING * different:
+        return _looked_up(queries, nodes, config, rows)
+    answers = _looked_up(model.stored(queries.select("path").where("path IS NOT NULL").distinct(), "paths"), nodes, config, rows)
+    names = ["predicted", "steps", "terminated_at_depth", "fallback_triggered"]
+    none = F.array().cast(answers.schema["steps"].dataType)
+    own = answers.select(F.xxhash64("path").alias("__key"), F.col("path").alias("__path"), *(F.col(c).alias(f"__{c}") for c in names))
+    # a hash comes first among the keys, since Spark sorts by the first one's leading bytes
+    found = queries.join(own, (F.xxhash64(queries["path"]) == F.col("__key")) & (queries["path"] == F.col("__path")), "left")
+    return found.select(*(F.col(f"`{c}`") for c in queries.columns), *((F.coalesce(f"__{c}", none) if c == "steps" else F.col(f"__{c}")).alias(c) for c in names))
+
+
+def _looked_up(queries: DataFrame, nodes: DataFrame, config: PoseConfig, rows: int) -> DataFrame:
+    """predict(), query by query.
+
     Longest prefixes by one sort: nodes and queries stand in the order of their paths, so that a query's
     ancestor at a level is the last node of that level before it, if it is a prefix. Both tables are cut
     into ranges by sampled bounds and shuffled once; equal query paths may fall into several ranges,
-    each of which also gets the nodes above its bound. Both tables are read several times: give stored
-    ones.
+    each of which also gets the nodes above its bound.
     """
     w, deepest = config.width, config.max_depth
     salt = F.hex(F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + SALTS)
     asked = queries.select(F.concat(F.coalesce("path", F.lit("")), F.lit(ranges.MARK), salt).alias("key"), F.struct(*(F.col(f"`{c}`") for c in queries.columns)).alias("row"))
     # a computed key: where the optimizer takes node_path in its place, Spark's Union may fail with "key not found"
-    known = nodes.select(F.concat("node_path", F.lit("")).alias("key"), F.struct(F.col("node_path").alias("path"), "resolved_label", "total_samples").alias("node"))
+    known = nodes.select(F.concat("node_path", F.lit("")).alias("key"), F.struct(F.col("node_path").alias("path"), "resolved_label", "total_samples").alias("node"), F.expr(f"octet_length(node_path) div {w}").cast("int").alias("level"))
     at = ranges.bounds(known.select("key").unionByName(asked.select("key")), rows)
     placed = known.withColumn("range", ranges.number(F.col("key"), at))
     if at:
@@ -40,7 +59,7 @@ def predict(queries: DataFrame, nodes: DataFrame, config: PoseConfig = DEFAULT,
     placed = placed.unionByName(asked.withColumn("range", ranges.number(F.col("key"), at)), allowMissingColumns=True)
     here = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     levels = range(deepest + 1)
-    lasts = [F.last(F.when(F.length("key") == w * d, F.col("node")), ignorenulls=True).over(here).alias(f"node_{d}") for d in levels]
+    lasts = [F.last(F.when(F.col("level") == d, F.col("node")), ignorenulls=True).over(here).alias(f"node_{d}") for d in levels]
     near = placed.select("row", *lasts).where("row IS NOT NULL")
     deep = F.lit(None)
     for d in reversed(levels):

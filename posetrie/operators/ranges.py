@@ -39,7 +39,12 @@ def number(key: Column, at: list[str]) -> Column:
     if not at:
         return F.lit(0)
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(at).bit_length()))))
-    return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(_listed(at), n + step - 1) <= key, step).otherwise(0))
+
+    def halved(held: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(_listed(at), n + step - 1) <= held, step).otherwise(0))
+
+    # as an item of an array the key is worked out once; named in the fold, its expression would be at every step
+    return F.get(F.transform(F.array(key), halved), F.lit(0))
 
 
 def around(of: Column, at: list[str]) -> tuple[Column, Column]:

@@ -52,10 +52,17 @@ def _common(a: str, b: str, config: PoseConfig) -> Column:
     w = config.width
     halves = F.array(*(F.lit(1 << k) for k in reversed(range(config.max_depth.bit_length()))))
 
-    def same(n: Column) -> Column:
-        return (F.length(a) >= n * w) & F.startswith(F.col(b), F.substring(F.col(a), F.lit(1), n * w))
+    def shared(pair: Column) -> Column:
+        one, other = pair["a"], pair["b"]
 
-    return F.aggregate(halves, F.lit(0), lambda n, half: n + F.when(same(n + half), half).otherwise(0))
+        def same(n: Column) -> Column:
+            return (F.octet_length(one) >= n * w) & F.startswith(other, F.substring(one, F.lit(1), n * w))
+
+        return F.aggregate(halves, F.lit(0), lambda n, half: n + F.when(same(n + half), half).otherwise(0))
+
+    # bytes, whose lengths and parts needn't be counted; an item of an array is worked out once, not at every step
+    pair = F.struct(F.col(a).cast("binary").alias("a"), F.col(b).cast("binary").alias("b"))
+    return F.get(F.transform(F.array(pair), shared), F.lit(0))
 
 
 def rolled_up(leaves: DataFrame, at: list[str], finish: Callable[[DataFrame, list[str]], DataFrame], config: PoseConfig = DEFAULT, depths: Sequence[int] = ()) -> DataFrame:
@@ -70,7 +77,9 @@ def rolled_up(leaves: DataFrame, at: list[str], finish: Callable[[DataFrame, lis
     w, levels = config.width, range(config.max_depth + 1)
     run = Window.partitionBy("range", "label").orderBy("path")
     since = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = leaves.repartition("range").select("*", F.lag("path").over(run).alias("last"), F.sum("n").over(since).alias("upto"))
+    # the one shuffle, which both kinds of nodes are counted from
+    dealt = leaves.repartition("range")
+    after = dealt.select("*", F.lag("path").over(run).alias("last"), F.sum("n").over(since).alias("upto"))
     begun = after.select("*", F.when(F.col("last").isNull(), -1).otherwise(_common("last", "path", config)).alias("begin"), F.expr(f"length(path) div {w}").cast("int").alias("depths"))
     starts = [F.last(F.when((F.col("begin") < d) & (F.col("depths") >= d), F.col("upto") - F.col("n")), ignorenulls=True).over(since) for d in levels]
     ending = begun.select("range", "path", "label", "upto", "depths", F.coalesce(F.lead("begin").over(run), F.lit(-1)).alias("end"), F.array(*starts).alias("starts")).where("end < depths")
@@ -83,7 +92,7 @@ def rolled_up(leaves: DataFrame, at: list[str], finish: Callable[[DataFrame, lis
     own = finish(placed.where(~shared).withColumn("key", F.xxhash64("node_path")), ["key", "range", "depth", "node_path"]).drop("key")
     if not at:
         return own
-    return own.unionByName(finish(_shared(leaves, at, config, depths), ["depth", "node_path"]).withColumn("range", F.lit(-1)))
+    return own.unionByName(finish(_shared(dealt, at, config, depths), ["depth", "node_path"]).withColumn("range", F.lit(-1)))
 
 
 def _shared(leaves: DataFrame, at: list[str], config: PoseConfig, depths: Sequence[int]) -> DataFrame:

@@ -182,6 +182,22 @@ def test_growing_models(spark, tmp_path):
         growing.load(spark, str(tmp_path / "none"))
 
 
+def test_recurring_paths_are_looked_up_once(spark, monkeypatch):
+    nodes = model.stored(train.tree(table(spark, [(p, "ab"[k % 2]) for k, p in enumerate(paths(42, 300))], "path string, label string")))
+    some = paths(42, 300)[:20] + paths(43, 20)
+    asked = model.stored(table(spark, [(k, some[k % 40] if k % 9 else None) for k in range(900)] + [(k, some[3]) for k in range(900, 1500)], "id long, path string"))
+    plain, seen = predict._looked_up, []
+    wanted = sorted(map(str, plain(asked, nodes, predict.DEFAULT, 60).collect()))
+
+    def counted(queries, *more):
+        seen.append(queries.count())
+        return plain(queries, *more)
+
+    monkeypatch.setattr(predict, "_looked_up", counted)
+    assert sorted(map(str, predict.predict(asked, nodes, rows=60).collect())) == wanted
+    assert seen == [len(set(some))]
+
+
 def test_an_update_writes_a_range_as_one_small_file(spark, tmp_path):
     where = str(tmp_path / "m")
     growing.create(table(spark, [(p, "a") for p in paths(40, 400)], "path string, label string"), where, rows=60)
