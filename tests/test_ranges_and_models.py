@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from posetrie.config import DEFAULT, KEYPOINTS, PoseConfig
-from posetrie.functions import pose as P
+from posetrie.functions import octree, pose as P
 from posetrie.operators import predict, quarantine, ranges, rank, train
 from posetrie.sources import growing, model
 from posetrie.sources.versions import Folder
@@ -198,6 +198,30 @@ def test_recurring_paths_are_looked_up_once(spark, monkeypatch):
     assert seen == [len(set(some))]
 
 
+def test_poses_go_down_in_one_shuffle(spark, monkeypatch):
+    r = random.Random(44)
+    rows = [(k, *(None if r.random() < 0.02 else r.uniform(-99, 99) if r.random() < 0.3 else 1.0 for _ in range(18))) for k in range(600)]
+    flat = table(spark, rows, "id long, " + ", ".join(f"c{i} double" for i in range(18)))
+    pose = F.struct(*(F.struct(*(F.col(f"c{3 * i + a}").alias(x) for a, x in enumerate("xyz"))).alias(k) for i, k in enumerate(predict.DEFAULT.keypoints)))
+    poses = model.stored(flat.select("id", F.when(F.col("id") % 50 != 0, pose).alias("pose")))
+    learned = octree.with_path(poses.where("pose IS NOT NULL AND id % 3 = 0"), "pose")
+    nodes = model.stored(train.tree(learned.select("path", F.col("id").cast("string").alias("label"))).where("node_path NOT LIKE '7%' OR depth <> 5"))
+    of_paths = predict.predict(model.stored(octree.with_path(poses.where("pose IS NOT NULL"), "pose")), nodes).drop("path")
+    wanted = sorted(map(str, of_paths.collect()))
+    stores = []
+    stored = model.stored
+    monkeypatch.setattr(model, "stored", lambda df, what="table", by=None: stores.append(what) or stored(df, what, by))
+    for crowd in (predict.CROWD, 1):
+        monkeypatch.setattr(predict, "CROWD", crowd)
+        for most, block in ((20_000, 100_000), (5, 100_000), (0, 100_000), (5, 20)):
+            got = predict.descend(poses, "pose", nodes, most_broadcast=most, block=block)
+            rows = got.collect()
+            assert sorted(str(x) for x in rows if x["pose"] is not None) == wanted
+            assert {(x["predicted"], len(x["steps"]), x["terminated_at_depth"]) for x in rows if x["pose"] is None} == {(None, 0, None)}
+            if block > 20:
+                assert "descent" not in stores  # no level is written any more
+
+
 def test_an_update_writes_a_range_as_one_small_file(spark, tmp_path):
     where = str(tmp_path / "m")
     growing.create(table(spark, [(p, "a") for p in paths(40, 400)], "path string, label string"), where, rows=60)
