@@ -33,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from posetrie.llm.common import cut, dropped, list_array, slices, split_join, staged
 from posetrie.llm.components import components
@@ -42,6 +42,8 @@ ROWS, BANDS = 7, 36
 #: Pivots of a bucket that has so many members; smaller ones have one. Each is the least member after an exclusive or.
 TURNS, CROWDED = (0, 0x2B992DDFA23249D6, 0x4CF5AD432745937F, 0x52DCE729DA3ED6F4), 16
 T_BINS = ROWS * BANDS
+#: Bits that tell which documents' texts a join asks for: 8 MB, whatever the input's size.
+BITS = 1 << 26
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -145,6 +147,27 @@ def sets_of(docs: DataFrame, words: int, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _bit(doc_id: Column) -> Column:
+    """Where a document's bit is, from 1 on."""
+    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(BITS)) + 1
+
+
+def bits_of(ids: DataFrame, name: str) -> DataFrame:
+    """(bucket, bits): a bit for each id in a column of ids, as a staged() table of at most BITS bits."""
+    # dealt out first, so that bits are shuffled as numbers and not as a bitmap for each task
+    at = ids.select(_bit(F.col(name)).alias("at")).select("at", F.bitmap_bucket_number("at").alias("bucket")).repartition("bucket")
+    return staged(at.groupBy("bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")))
+
+
+def asked_for(docs: DataFrame, bits: DataFrame) -> DataFrame:
+    """docs whose bit is set: all with an id that bits_of() was given and few others, so that a join with these ids shuffles few texts in vain."""
+    at = _bit(F.col("doc_id"))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    is_set = F.getbit(byte, (place % 8).cast("int")) == 1
+    return docs.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "bucket").where(is_set).select(*docs.columns)
+
+
 def alike(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb, ma, mb) that sizes and sketches don't rule out.
 
@@ -170,17 +193,18 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     b is the pivot, which may be in very many pairs: its set goes to as many salted copies as it has
     hundreds of pairs, so that no task gets all of them. Sets are made where texts meet the pairs, and
     each is shuffled once. The ids that ask for texts are written first: as tables of known size, Spark broadcasts
-    them while they are small and shuffles no text for them.
+    them while they are small and shuffles no text for them; where they are large, it shuffles the texts asked for.
     """
     salts = staged(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("salts")))
     salted = staged(pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt")))
-    members = sets_of(docs.join(salted, docs["doc_id"] == salted["a"]), words, ["a", "b", "salt"])
-    pivots = sets_of(docs.join(salts, docs["doc_id"] == salts["b"]), words, ["b", "salts"])
+    of_a, of_b = bits_of(salted, "a"), bits_of(salts, "b")
+    members = sets_of(asked_for(docs, of_a).join(salted, F.col("doc_id") == F.col("a")), words, ["a", "b", "salt"])
+    pivots = sets_of(asked_for(docs, of_b).join(salts, F.col("doc_id") == F.col("b")), words, ["b", "salts"])
     copies = pivots.select("b", F.col("items").alias("ib"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     both = members.join(copies, ["b", "salt"])
     common = F.size(F.array_intersect("items", "ib"))
     found = staged(both.where(100 * common >= percent * (F.size("items") + F.size("ib") - common)).select("a", "b").distinct())
-    dropped(salts, salted)
+    dropped(salts, salted, of_a, of_b)
     return found
 
 
@@ -189,7 +213,9 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, words: int, percent: int)
 
     An exact filter by prefixes and positions; b is the smaller set.
     """
-    sets = staged(sets_of(docs.join(members, docs["doc_id"] == members["rep"]), words, ["rep", "label"]))
+    bits = bits_of(members, "rep")
+    sets = staged(sets_of(asked_for(docs, bits).join(members, F.col("doc_id") == F.col("rep")), words, ["rep", "label"]))
+    dropped(bits)
     items = sets.select(F.col("rep").alias("id"), "label", F.size("items").alias("n"), F.explode("items").alias("item"))
     often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")  # the others needn't be sent
     own = Window.partitionBy("id").orderBy("often", "item")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from posetrie.llm import components as C
+from posetrie.llm import components as C, minhash
 from posetrie.llm.common import split_join
 
 
@@ -46,3 +46,13 @@ def test_components_with_a_hub(spark, low_limits):
     links = spark.range(20_000).select(F.lit(5).alias("a"), (F.col("id") + 10).alias("b")).unionByName(spark.range(50).select((F.col("id") + 50_000).alias("a"), (F.col("id") + 50_001).alias("b")))
     found = {r.node: r.component for r in C.components(links).collect()}
     assert found == {5: 5} | {k + 10: 5 for k in range(20_000)} | {k: 50_000 for k in range(50_000, 50_051)}
+
+
+def test_joins_for_few_texts_shuffle_few(spark):
+    docs = spark.range(-2000, 2000).selectExpr("CAST(id AS INT) AS doc_id", "repeat('x', 9) AS text").unionByName(spark.sql("SELECT CAST(NULL AS INT) AS doc_id, 'y' AS text"))
+    ids = spark.sql("SELECT explode(array(-2000L, -7L, 0L, 1L, 32768L, 1999L)) AS a")
+    bits = minhash.bits_of(ids, "a")
+    kept = minhash.asked_for(docs, bits)
+    found = [r.doc_id for r in kept.collect()]
+    assert kept.columns == docs.columns and set(found) >= {-2000, -7, 0, 1, 1999} and len(found) == len(set(found)) < 20
+    assert minhash.asked_for(docs, minhash.bits_of(ids.where("a > 2000 AND a < 2000"), "a")).count() == 0
