@@ -39,8 +39,8 @@ from posetrie.llm.bpe import BLANK
 from posetrie.llm.common import list_array, new_folder, rows_of, slices
 
 _CHUNK = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
-_ENDS_BLANK = re.compile(f"[{BLANK}]$|^$")
-_TAIL = re.compile(r"(?<=[A-Za-z])[!-&(-/:-@\[-`{-~]")
+_BLANKS = frozenset(re.findall(f"[{BLANK}]", "".join(map(chr, range(0x3001)))))
+_BEFORE_TAIL = r"[A-Za-z][!-&(-/:-@\[-`{-~]"
 #: Parts that a worker remembers (some 200 bytes each), how long they may be, and how many are encoded as one text.
 REMEMBERED, SHORT, JOINED = 500_000, 48, 4096
 STRIPE_BYTES, STRIDE = 32 << 20, 1000
@@ -54,11 +54,12 @@ class Memory:
         self.place: dict[str, int] = {}
         self.ids, self.starts, self.sizes = array("i"), array("q"), array("q")
 
-    def add(self, part: str, ids: bytes) -> None:
-        self.place[part] = len(self.starts)
-        self.starts.append(len(self.ids))
-        self.sizes.append(len(ids) // 4)
-        self.ids.frombytes(ids)
+    def add(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Different parts that aren't in it, and their ids one after the other."""
+        self.place.update(zip(parts, range(len(self.starts), len(self.starts) + len(parts))))
+        self.starts.frombytes((len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int64).tobytes())
+        self.sizes.frombytes(sizes.astype(np.int64).tobytes())
+        self.ids.frombytes(ids.astype(np.int32).tobytes())
 
 
 @functools.lru_cache(maxsize=2)
@@ -75,26 +76,42 @@ def tokenizer(path: str):
     return found, n_bytes, Memory(), {t.content: i for i, t in found.get_added_tokens_decoder().items()}
 
 
-def _encode_words(words: list[str], tok, n_bytes: np.ndarray) -> list[bytes]:
-    """The ids of words that begin with a space and end with other characters than white space."""
-    out = []
+def _encode_words(words: list[str], tok, n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words that begin with a space and end with other characters than white space, and how many are each word's."""
+    ids, sizes = [], []
     for k in range(0, len(words), JOINED):
         some = words[k : k + JOINED]
-        ids = np.array(tok.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum([len(w.encode()) for w in some])) + 1
-        starts = np.concatenate([[0], ends[:-1]])
-        out += [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
-    return out
+        found = np.array(tok.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.searchsorted(np.cumsum(n_bytes[found]), np.cumsum(pc.binary_length(pa.array(some, pa.string())).to_numpy())) + 1
+        ids.append(found)
+        sizes.append(np.diff(ends, prepend=0))
+    return np.concatenate([np.empty(0, np.int32), *ids]), np.concatenate([np.empty(0, np.int64), *sizes])
 
 
-def _encode_parts(parts: list[str], path: str) -> dict[str, bytes]:
-    """The ids of each part by itself."""
+def _encode_parts(parts: list[str], path: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The parts in another order, the ids of each by itself one after the other, and how many are each part's."""
     tok, n_bytes = tokenizer(path)[:2]
-    words = [x for x in parts if x[0] == " " and not _ENDS_BLANK.search(x)]
-    others = [x for x in parts if x[0] != " " or _ENDS_BLANK.search(x)]
-    found = dict(zip(words, _encode_words(words, tok, n_bytes)))
-    found.update((x, array("I", e.ids).tobytes()) for x, e in zip(others, tok.encode_batch_fast(others, add_special_tokens=False)))
-    return found
+    words, others = [], []
+    for x in parts:
+        (words if x[0] == " " and x[-1] not in _BLANKS else others).append(x)
+    ids, sizes = _encode_words(words, tok, n_bytes)
+    more = [e.ids for e in tok.encode_batch_fast(others, add_special_tokens=False)]
+    flat = np.fromiter(itertools.chain.from_iterable(more), np.int32)
+    return words + others, np.concatenate([ids, flat]), np.concatenate([sizes, np.array([len(x) for x in more], np.int64)])
+
+
+def _halves(parts: list[str]) -> tuple[list[str], list[int], list[str]]:
+    """Parts up to where they are cut once more, which parts are, and what follows there."""
+    heads, cut, tails = list(parts), [], []
+    places = pc.find_substring_regex(pa.array(parts, pa.string()), _BEFORE_TAIL).to_numpy()
+    for k in np.flatnonzero(places >= 0).tolist():
+        x, at = parts[k], int(places[k]) + 1
+        if not x.isascii():  # places count bytes
+            at = len(x.encode()[:at].decode())
+        heads[k] = x[:at]
+        cut.append(k)
+        tails.append(x[at:])
+    return heads, cut, tails
 
 
 def _cut_up(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -102,7 +119,7 @@ def _cut_up(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]
     split = pc.split_pattern(pa.array([x or "" for x in texts], pa.string()), " ")
     coded = split.values.dictionary_encode()
     at, starts = coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()
-    pieces = coded.dictionary.to_pylist()
+    spaced = pc.binary_join_element_wise("", coded.dictionary, " ").to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist()
     owner = np.repeat(np.arange(len(texts)), np.diff(starts))
     # a space may be cut off only after other characters than white space, or at the start
     blank_end = pc.or_(pc.equal(pc.binary_length(coded.dictionary), 0), pc.match_substring_regex(coded.dictionary, f"[{BLANK}]$"))
@@ -111,8 +128,8 @@ def _cut_up(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]
     lead = np.array([not x or x[0] == " " for x in (y or "" for y in texts)])
     unsafe[first[lead]] = False
     unsafe[last] = False
-    parts = [f" {x}" for x in pieces] + [pieces[k] for k in at[first]]
-    at[first] = len(pieces) + np.arange(len(texts))
+    parts = spaced + [spaced[k][1:] for k in at[first].tolist()]
+    at[first] = len(spaced) + np.arange(len(texts))
     mixed = np.unique(owner[unsafe])
     keep = ~np.isin(owner, mixed)
     at, owner = [at[keep]], [owner[keep]]
@@ -149,39 +166,38 @@ def _encode_plain(texts: list[str | None], path: str) -> list[np.ndarray]:
         return []
     known = tokenizer(path)[2]
     parts, at, owner = _cut_up(texts)
-    place = np.fromiter(map(known.place.get, parts, itertools.repeat(-1)), np.int64, len(parts))
-    lacking = np.flatnonzero(place < 0)
-    halves = []
-    for k in lacking.tolist():
-        part = parts[k]
-        tail = _TAIL.search(part)
-        halves.append((part[: tail.start()], part[tail.start() :]) if tail else (part, ""))
-    new = _encode_parts(list({x for both in halves for x in both if x and x not in known.place}), path)
-
-    def ids_of(x: str) -> bytes:
-        if x in known.place:
-            k = known.place[x]
-            return known.ids[known.starts[k] : known.starts[k] + known.sizes[k]].tobytes()
-        return new.get(x, b"")
-
-    found = [ids_of(a) + ids_of(b) for a, b in halves]
-    n = np.array([len(x) for x in found], np.int64) // 4
-    flat = np.concatenate([np.frombuffer(known.ids, np.int32), np.frombuffer(b"".join(found), np.int32)])
-    starts = np.concatenate([np.frombuffer(known.starts, np.int64), len(known.ids) + np.cumsum(n) - n])
-    sizes = np.concatenate([np.frombuffer(known.sizes, np.int64), n])
-    place[lacking] = len(known.starts) + np.arange(len(lacking))
+    head = np.fromiter(map(known.place.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+    lacking = np.flatnonzero(head < 0)
+    heads, cut, tails = _halves([parts[k] for k in lacking.tolist()])
+    order, ids, n = _encode_parts([x for x in dict.fromkeys([*heads, *tails]) if x and x not in known.place], path)
+    new = dict(zip([*order, ""], range(len(known.starts), len(known.starts) + len(order) + 1)))
+
+    def places(some: list[str]) -> np.ndarray:
+        found = np.fromiter(map(new.get, some, itertools.repeat(-1)), np.int64, len(some))
+        old = np.flatnonzero(found < 0)
+        found[old] = np.fromiter((known.place[some[k]] for k in old.tolist()), np.int64, len(old))
+        return found
+
+    # a part is one or two of the remembered and the new ones; the last is empty
+    flat = np.concatenate([np.frombuffer(known.ids, np.int32), ids])
+    starts = np.concatenate([np.frombuffer(known.starts, np.int64), len(known.ids) + np.cumsum(n) - n, [0]])
+    sizes = np.concatenate([np.frombuffer(known.sizes, np.int64), n, [0]])
+    tail = np.full(len(parts), len(sizes) - 1)
+    head[lacking], tail[lacking[np.array(cut, np.int64)]] = places(heads), places(tails)
+
+    def ids_of(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        of = np.stack([head[some], tail[some]], axis=1).ravel()
+        each = sizes[of]
+        upto = np.cumsum(each)
+        return flat[np.repeat(starts[of] - upto + each, each) + np.arange(each.sum())], each[0::2] + each[1::2]
+
+    taken, each = ids_of(at)
     if len(known.place) < REMEMBERED:  # frequent parts come early; what comes later is encoded as it comes
-        for k, ids in zip(lacking.tolist(), found):
-            if len(parts[k]) <= SHORT and parts[k] not in known.place:
-                known.add(parts[k], ids)
-        for x, ids in new.items():
-            if len(x) <= SHORT and x not in known.place:
-                known.add(x, ids)
-    of = place[at]
-    n, begin = sizes[of], starts[of]
-    upto = np.cumsum(n)
-    taken = flat[np.repeat(begin - upto + n, n) + np.arange(n.sum())]
-    ends = np.cumsum(np.bincount(owner, n, minlength=len(texts)).astype(np.int64))
+        whole = {parts[k]: k for k in lacking.tolist() if len(parts[k]) <= SHORT}
+        known.add(list(whole), *ids_of(np.fromiter(whole.values(), np.int64, len(whole))))
+        short = np.array([len(x) <= SHORT and x not in known.place for x in order], bool)
+        known.add([x for x, is_short in zip(order, short.tolist()) if is_short], ids[np.repeat(short, n)], n[short])
+    ends = np.cumsum(np.bincount(owner, each, minlength=len(texts)).astype(np.int64))
     return np.split(taken, ends[:-1])
 
 

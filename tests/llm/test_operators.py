@@ -310,6 +310,22 @@ def test_chunks_are_encoded_as_the_whole(tokenizer):
     assert [g.tolist() for g in got] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_parts_are_encoded_and_remembered_many_at_a_time(tokenizer, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokenfile._halves([" don't,", " é漢a.b", "!a", " 9.", ""]) == ([" don't", " é漢a", "!a", " 9.", ""], [0, 1], [",", ".b"])
+    parts, ids, sizes = tokenfile._encode_parts([" hello", "\n ", " éa", "x"], path)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [tokenizer.encode(x, add_special_tokens=False).ids for x in parts]
+    texts = [f"part{k % 7} wörd{k}, again{k % 5}... {'x' * (k % 90)}" for k in range(300)]
+    whole = [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    for most in (0, 100, 500_000):  # nothing more is remembered, some, all
+        monkeypatch.setattr(tokenfile, "REMEMBERED", most)
+        tokenfile.tokenizer.cache_clear()
+        got = [x.tolist() for k in range(0, 300, 50) for x in tokenfile.encode(texts[k : k + 50], path)]
+        again = [x.tolist() for x in tokenfile.encode(texts, path)]
+        assert got == again == whole
+    tokenfile.tokenizer.cache_clear()
+
+
 # 5: byte-level BPE
 
 
