@@ -79,7 +79,34 @@ def _nodes(paths: DataFrame, config: PoseConfig) -> DataFrame:
     return stored(rolled.select("node_path", "n", "depth"), "nodes", by="depth")
 
 
-def nearest_each(queries: DataFrame, samples: DataFrame, k: int = 5, config: PoseConfig = DEFAULT, weight: Callable[[int], float] = halving) -> DataFrame:
+#: So many different query paths at most are compared with every sample; steps of the whole distance in which samples are counted for that.
+FEW, STEPS = 64, 4096
+
+
+def _best_of_few(asked: DataFrame, held: DataFrame, k: int, config: PoseConfig, weight: Callable[[int], float]) -> DataFrame:
+    """(q, pos, distance, rank) of few paths asked (q, q_0, ...) and samples (pos, s_0, ...), all packed.
+
+    Each pass compares the samples with the queries, which are broadcast: work grows with the samples alone.
+    The first counts samples by steps of the distance, which tells the step of a query's k-th; the second keeps what lies within it.
+    """
+    names = range(len(octree.groups(config)))
+    step = max(config.width * sum(weight(d) for d in range(1, config.max_depth + 1)), 1e-300) / STEPS
+
+    def pairs(queries: DataFrame, *more: str) -> DataFrame:
+        far = packed_distance([F.col(f"q_{g}") for g in names], [F.col(f"s_{g}") for g in names], config, weight)
+        both = held.crossJoin(F.broadcast(queries)).select("q", "pos", far.alias("distance"), *more)
+        return both.withColumn("step", F.floor(F.col("distance") / step))
+
+    counted = pairs(asked).groupBy("q", "step").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("q").orderBy("step"))
+    kth = counted.withColumn("upto", upto).where(F.col("upto") >= k).groupBy("q").agg(F.min("step").alias("most"))
+    # with fewer samples than k, all stay
+    bounded = stored(asked.join(kth, "q", "left"), "bounds")
+    near = pairs(bounded, "most").where(F.coalesce(F.col("step") <= F.col("most"), F.lit(True)))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "pos"))).where(F.col("rank") <= k).select("q", "pos", "distance", "rank")
+
+
+def nearest_each(queries: DataFrame, samples: DataFrame, k: int = 5, config: PoseConfig = DEFAULT, weight: Callable[[int], float] = halving, few: int = FEW) -> DataFrame:
     """(query_id, pos, distance, rank): the k samples (pos, path) nearest to each query (query_id, path), ties by pos.
 
     Branch and bound over two tries, of the queries' paths and of the samples'. A pair of nodes has a
@@ -89,6 +116,8 @@ def nearest_each(queries: DataFrame, samples: DataFrame, k: int = 5, config: Pos
     then removes the pairs whose distance so far is beyond it. This is exact for any weights that aren't
     negative. The first level alone joins all with all, at most 8 ** keypoints nodes a side.
 
+    Up to few different query paths need no tries: every sample is compared with them.
+
     Of a path's samples only the k of least pos are ranked. Both tables may have their paths packed
     (packed_0, ...) instead. Rows with a null path aren't ranked; absent levels count as all different.
     """
@@ -101,7 +130,16 @@ def nearest_each(queries: DataFrame, samples: DataFrame, k: int = 5, config: Pos
             path = F.rpad("path", whole, "8")
         return stored(df.select(F.col(key), path.alias("path")).where("path IS NOT NULL"), "paths")
 
-    asked, held = placed(queries, "query_id"), placed(samples, "pos")
+    def packed(df: DataFrame, to: str, *keep: Column) -> DataFrame:
+        numbers = [F.col(f"packed_{g}") for g in range(len(octree.groups(config)))] if "packed_0" in df.columns else octree.packed_of(F.col("path"), config)
+        return df.select(*keep, *(c.alias(f"{to}_{g}") for g, c in enumerate(numbers))).where(f"{to}_0 IS NOT NULL")
+
+    asked = placed(queries, "query_id")
+    paths = asked.select("path").distinct()
+    if paths.count() <= few:
+        best = _best_of_few(stored(packed(paths, "q", F.col("path").alias("q")), "asked"), stored(packed(samples, "s", F.col("pos")), "samples"), k, config, weight)
+        return asked.join(stored(best, "best"), asked["path"] == F.col("q")).select("query_id", "pos", "distance", "rank")
+    held = placed(samples, "pos")
     of_queries, of_samples = _nodes(asked.select("path"), config), _nodes(held.select("path"), config)
     pairs = queries.sparkSession.createDataFrame([("", "", 0.0)], "q string, s string, distance double")
     before = 0

@@ -150,6 +150,21 @@ def test_ranking_by_brute_force_with_any_weights(spark):
         assert {(x.query_id, x.pos, x.distance, x["rank"]) for x in got.collect()} == want
 
 
+def test_few_queries_need_no_tries(spark, monkeypatch):
+    r = random.Random(10)
+    base = paths(12, 40)
+    samples = table(spark, [(k, r.choice(base)) for k in range(300)] + [(300, None), (301, base[0][:12])], "pos int, path string")
+    queries = table(spark, [(k, p) for k, p in enumerate([*paths(13, 4), *base[:3], base[0], None, base[1][:30]])], "query_id int, path string")
+    by_tries = sorted(map(tuple, rank.nearest_each(queries, samples, 6, few=0).collect()))
+    packed = samples.select("pos", *(c.alias(f"packed_{g}") for g, c in enumerate(rank.octree.packed_of(samples["path"]))))
+    assert by_tries == sorted(map(tuple, rank.nearest_each(queries, packed, 6, few=0).collect()))
+    monkeypatch.setattr(rank, "_nodes", None)
+    for given in (samples, packed):
+        assert sorted(map(tuple, rank.nearest_each(queries, given, 6).collect())) == by_tries
+    every = rank.nearest_each(queries, samples, 1000, weight=lambda d: 0.0).groupBy("query_id").count().collect()
+    assert {x["count"] for x in every} == {301}
+
+
 def test_ranking_nothing(spark):
     some, none = table(spark, [(1, "1" * 72)], "query_id int, path string"), spark.createDataFrame([], "pos int, path string")
     assert rank.nearest_each(some, none).count() == 0
