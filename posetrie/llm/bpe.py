@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from posetrie.llm.common import add_column, list_array, rows_of
+from posetrie.llm.common import add_column, list_array, rows_of, slices
 
 #: White space as Unicode has it.
 BLANK = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -47,19 +47,34 @@ def pieces(text: str, long: int = LONG) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", to: str = "token_ids") -> DataFrame:
-    """docs with the ids of each whole text as array<int>."""
+def _ids(texts: pa.Array, enc) -> pa.Array:
+    return list_array([np.array([i for part in pieces(x or "") for i in enc.encode_ordinary(part)], np.int32) for x in texts.to_pylist()], pa.int32())
+
+
+def _raw(rows: pa.Array, enc) -> pa.Array:
+    return pa.array([b"" if x is None else enc.decode_bytes(x.tolist()) for x in rows_of(rows)], pa.binary())
 
-    def ids(texts: pa.Array, enc) -> pa.Array:
-        return list_array([np.array([i for part in pieces(x or "") for i in enc.encode_ordinary(part)], np.int32) for x in texts.to_pylist()], pa.int32())
 
-    return add_column(docs, text, ids, to, T.ArrayType(T.IntegerType()), lambda: encoding(rank_file, pattern))
+def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", to: str = "token_ids") -> DataFrame:
+    """docs with the ids of each whole text as array<int>."""
+    return add_column(docs, text, _ids, to, T.ArrayType(T.IntegerType()), lambda: encoding(rank_file, pattern))
 
 
 def decode(tokens: DataFrame, rank_file: str, pattern: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
     """tokens with the raw bytes of their ids, whether or not these are valid UTF-8 (null ids: no bytes)."""
+    return add_column(tokens, ids, _raw, to, T.BinaryType(), lambda: encoding(rank_file, pattern))
+
+
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "token_ids", to: str = "decoded") -> DataFrame:
+    """docs without their texts, with what encode() and then decode() give; in one Python worker a task, where these two in a row take two."""
+    kept = docs.drop(text)
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(to, T.BinaryType())])
 
-    def raw(rows: pa.Array, enc) -> pa.Array:
-        return pa.array([b"" if x is None else enc.decode_bytes(x.tolist()) for x in rows_of(rows)], pa.binary())
+    def run(batches):
+        enc = encoding(rank_file, pattern)
+        for batch in batches:
+            for part in slices(batch):
+                found = _ids(part.column(part.num_columns - 1), enc)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], found, _raw(found, enc)], names=schema.names)
 
-    return add_column(tokens, ids, raw, to, T.BinaryType(), lambda: encoding(rank_file, pattern))
+    return docs.select(*kept.columns, text).mapInArrow(run, schema)

@@ -81,8 +81,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    tokens = bpe.encode(docs, ranks, pattern).drop("text")
-    return bpe.decode(tokens, ranks, pattern).select(
+    return bpe.round_trip(docs, ranks, pattern).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"),
