@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from posetrie.llm.common import cut, fresh, slices
@@ -45,7 +46,7 @@ PER_TRAINER, MOST_TRAINERS = 4_000_000, 4096
 UNIT = 1 << 44
 #: Windows that a trainer holds, and draws in random order, at a time.
 HELD = 1 << 16
-BLOCK = 8192
+BLOCK = 2048
 _AROUND = [o for o in range(-SIDE, SIDE + 1) if o]
 
 
@@ -53,21 +54,32 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-class Vocabulary(dict):
-    """Class by word; words beyond the most frequent by hash, of which many are remembered."""
+def split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """words() of all texts in one array, and how many each text has."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    held, flat = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False), found.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at either end gives an empty string
+    owner = np.repeat(np.arange(len(held)), held)[some.to_numpy(zero_copy_only=False)]
+    return flat.filter(some).cast(pa.binary()).dictionary_encode(), np.bincount(owner, minlength=len(held))
 
-    def __init__(self, top: Sequence[bytes]):
-        super().__init__((w, k) for k, w in enumerate(top))
 
-    def __missing__(self, word: bytes) -> int:
-        k = TOP + zlib.crc32(word) % OTHER
-        if len(self) < 300_000:
-            self[word] = k
-        return k
+class Vocabulary:
+    """Classes of words: of the most frequent by place, of others by hash."""
+
+    def __init__(self, top: Sequence[bytes]):
+        self.top = pa.array(top, pa.binary())
 
-    def classes(self, text: str | None) -> np.ndarray:
-        found = words(text)
-        return np.fromiter(map(self.__getitem__, found), np.int16, len(found))
+    def classes(self, texts: pa.Array) -> list[np.ndarray]:
+        """The classes of each text's words; each different word is looked up once."""
+        found, sizes = split(texts)
+        if not len(found):
+            return [np.empty(0, np.int16)] * len(sizes)
+        own = pc.fill_null(pc.index_in(found.dictionary, value_set=self.top), -1).to_numpy(zero_copy_only=False).astype(np.int16)
+        if len(others := np.flatnonzero(own < 0)):
+            _, at, raw = found.dictionary.take(pa.array(others)).buffers()
+            ends, raw = np.frombuffer(at, np.int32)[: len(others) + 1].tolist(), raw.to_pybytes()
+            own[others] = TOP + np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(ends, ends[1:])), np.int64, len(others)) % OTHER
+        return np.split(own[found.indices.to_numpy(zero_copy_only=False)], np.cumsum(sizes)[:-1])
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -75,10 +87,14 @@ def counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            count: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                count.update(words(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+            each = []
+            for part in slices(batch, 1024):
+                found, _ = split(part.column(0))
+                n = np.bincount(found.indices.to_numpy(zero_copy_only=False), minlength=len(found.dictionary))
+                each.append(pa.table([found.dictionary, pa.array(n, pa.int64())], ["word", "n"]))
+            if each:
+                count = pa.concat_tables(each).group_by("word", use_threads=False).aggregate([("n", "sum")])
+                yield from pa.table([count["word"], count["n_sum"]], ["word", "n"]).to_batches()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -135,17 +151,24 @@ def stream(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate([np.empty(0, np.int64), *places])
 
 
-def sequences(docs: DataFrame, top: list[bytes]) -> DataFrame:
-    """(key, part): the classes of each document, 16 bits each."""
+def classed(docs: DataFrame, top: list[bytes], keep: Sequence[str], key: str, part: str) -> DataFrame:
+    """The columns in keep, a key and the classes, 16 bits each, of every document."""
+    rows = docs.select(*keep, _key().alias(key), "text")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(part, T.BinaryType())])
 
     def run(batches):
         known = Vocabulary(top)
         for batch in batches:
-            for part in slices(batch):
-                held = [known.classes(text).tobytes() for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.binary())], names=["key", "part"])
+            for here in slices(batch, 1024):
+                held = [x.tobytes() for x in known.classes(here.column(here.num_columns - 1))]
+                yield pa.RecordBatch.from_arrays([*here.columns[:-1], pa.array(held, pa.binary())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
 
-    return docs.select(_key(), "text").mapInArrow(run, "key long, part binary").where("octet_length(part) > 0")
+def sequences(docs: DataFrame, top: list[bytes]) -> DataFrame:
+    """(key, part): the classes of each document that has words, 16 bits each."""
+    return classed(docs, top, (), "key", "part").where("octet_length(part) > 0")
 
 
 def windows(parts: Iterable[bytes], rate: int, turn: int = 0, turns: int = 1) -> Iterator[np.ndarray]:
@@ -210,31 +233,70 @@ class Network:
         p, seen = self.p, self.squares() if seen is None else seen
         order = np.random.default_rng(seed).permutation(len(rows))
         wide, done = len(_AROUND) * WIDTH, 0
+        flat = p["w"].reshape(wide, HIDDEN)
+        dvc, spare = np.zeros((GROUPS, HIDDEN + 1, MEMBERS), np.float32), np.empty_like(p["v"])
+
+        def step(k: str, g: np.ndarray) -> None:
+            out = spare if g.shape == spare.shape else np.empty_like(g)
+            np.multiply(g, g, out=out)
+            seen[k] += out
+            np.sqrt(seen[k], out=out)
+            np.divide(g, out, out=out)
+            out *= np.float32(rate)
+            p[k] -= out
+
+        # AdaGrad moves no weight by more than rate a step, and so no logit's bound by more than that times its weights
+        limits = {"gd": np.inf, "vc": np.inf}
+
+        def bound(which: str) -> float:
+            limits[which] += (HIDDEN + 1) * rate
+            if not limits[which] < SAFE:
+                limits[which] = self.bound(*which)
+            return limits[which]
 
         while done < len(order):
             size = min(BATCH, FIRST << min(int(seen["steps"][0]) // DOUBLED, 20))
-            x = rows[order[done : done + size]]
+            x = np.take(rows, order[done : done + size], axis=0)
             done, seen["steps"][0] = done + size, seen["steps"][0] + 1
-            x = x[np.argsort(x[:, SIDE] // MEMBERS, kind="stable")].astype(np.int64)
-            group, member = np.divmod(x[:, SIDE], MEMBERS)
-            around = np.delete(x, SIDE, axis=1)
-            e, w = p["e"][around].reshape(-1, wide), p["w"].reshape(wide, HIDDEN)
-            h = np.tanh(e @ w + p["b"])
-            q = _surplus(h @ p["g"] + p["d"], group, len(x))
-            dh = q @ p["g"].T
-            z = _surplus(self._members(h, group), member, len(x))
-            dv, dc = np.zeros_like(p["v"]), np.zeros_like(p["c"])
-            for k, here in _runs(group):
-                dh[here] += z[here] @ p["v"][k].T
-                np.matmul(h[here].T, z[here], out=dv[k])
-                dc[k] = z[here].sum(axis=0)
-            dh *= 1 - h * h
-            cells = (around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()  # bincount is faster than np.add.at
-            de = np.bincount(cells, (dh @ w.T).ravel(), p["e"].size).reshape(p["e"].shape).astype(np.float32)
-            g = {"e": de, "w": (e.T @ dh).reshape(p["w"].shape), "b": dh.sum(axis=0), "g": h.T @ q, "d": q.sum(axis=0), "v": dv, "c": dc}
-            for k in p:
-                seen[k] += g[k] * g[k]
-                p[k] -= (rate * g[k] / np.sqrt(seen[k])).astype(np.float32)
+            x = np.take(x, np.argsort(x[:, SIDE] // MEMBERS, kind="stable"), axis=0)
+            group, member = np.divmod(x[:, SIDE].astype(np.int64), MEMBERS)
+            runs = list(_runs(group))
+            around = np.delete(x, SIDE, axis=1).ravel()
+            e = np.take(p["e"], around, axis=0).reshape(-1, wide)
+            h = e @ flat
+            h += p["b"]
+            np.tanh(h, out=h)
+            q = h @ p["g"]
+            q += p["d"]
+            q = _surplus(q, group, len(x), bound("gd"))
+            z = _surplus(self._members(h, group, runs), member, len(x), bound("vc"))
+            dh, own, turned = q @ p["g"].T, np.empty_like(h), np.ones((HIDDEN + 1, len(x)), np.float32)
+            turned[:-1] = h.T  # the row of ones gives the biases' gradients
+            if len(runs) < GROUPS:
+                dvc[:] = 0
+            for k, here in runs:
+                np.matmul(z[here], p["v"][k].T, out=own[here])
+                np.matmul(turned[:, here], z[here], out=dvc[k])
+            dh += own
+            dgd = turned @ q
+            h *= h
+            dh *= np.subtract(1, h, out=h)
+            dw, db = (e.T @ dh).reshape(p["w"].shape), turned[-1] @ dh
+            # a class that isn't around has no gradient, and AdaGrad leaves it as it is
+            by = np.argsort(around, kind="stable")
+            sorted_ = around[by]
+            starts = np.flatnonzero(np.diff(sorted_, prepend=-1))
+            found = sorted_[starts]
+            de = np.add.reduceat(np.take((dh @ flat.T).reshape(-1, WIDTH), by, axis=0), starts, axis=0)
+            squares = np.take(seen["e"], found, axis=0) + de * de
+            seen["e"][found] = squares
+            p["e"][found] -= np.float32(rate) * de / np.sqrt(squares)
+            for k, g in (("w", dw), ("b", db), ("g", dgd[:-1]), ("d", dgd[-1]), ("v", dvc[:, :-1]), ("c", dvc[:, -1])):
+                step(k, g)
+
+    def bound(self, weights: str, bias: str) -> float:
+        """What no logit of these weights exceeds in size, since the hidden layer is within -1 and 1."""
+        return float((np.abs(self.p[weights]).sum(axis=-2) + np.abs(self.p[bias])).max())
 
     def squares(self) -> dict[str, np.ndarray]:
         """AdaGrad's sums of squares and number of steps before any step."""
@@ -244,26 +306,30 @@ class Network:
         """What each class adds to the hidden layer at each place around."""
         return np.stack([self.p["e"] @ w for w in self.p["w"]])
 
-    def _members(self, h: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """The logits of the classes of each row's own group; rows are in order of their groups."""
+    def _members(self, h: np.ndarray, group: np.ndarray, runs: Iterable[tuple[int, slice]] | None = None) -> np.ndarray:
+        """The logits of the classes of each row's own group; rows are in order of their groups, whose _runs() may be given."""
         z = np.empty((len(h), MEMBERS), np.float32)
-        for k, here in _runs(group):
+        for k, here in _runs(group) if runs is None else runs:
             np.matmul(h[here], self.p["v"][k], out=z[here])
-        z += self.p["c"][group]
+        z += np.take(self.p["c"], group, axis=0)
         return z
 
     def log_chance(self, s: np.ndarray, at: np.ndarray, sides: np.ndarray | None = None) -> np.ndarray:
         """The log-probability of each token of stream s at the places, from both sides; sides() may be given."""
         p, out, sides = self.p, np.empty(len(at)), self.sides() if sides is None else sides
+        groups, members = self.bound("g", "d"), self.bound("v", "c")
         for k in range(0, len(at), BLOCK):
             order = np.argsort(s[at[k : k + BLOCK]] // MEMBERS, kind="stable")
             here = at[k : k + BLOCK][order]
-            group, member = np.divmod(s[here], MEMBERS)
-            h = np.repeat(p["b"][None, :], len(here), axis=0)
-            for o, table in zip(_AROUND, sides):
-                h += table[s[here + o]]
+            group, member = np.divmod(s[here].astype(np.int64), MEMBERS)
+            h = np.take(sides[0], s[here + _AROUND[0]], axis=0)
+            for o, table in zip(_AROUND[1:], sides[1:]):
+                h += np.take(table, s[here + o], axis=0)
+            h += p["b"]
             np.tanh(h, out=h)
-            out[k + order] = _log_own(h @ p["g"] + p["d"], group) + _log_own(self._members(h, group), member)
+            z = h @ p["g"]
+            z += p["d"]
+            out[k + order] = _log_own(z, group, groups) + _log_own(self._members(h, group), member, members)
         return out
 
 
@@ -273,25 +339,39 @@ def _runs(group: np.ndarray) -> Iterator[tuple[int, slice]]:
     return ((int(group[a]), slice(a, b)) for a, b in zip(starts, [*starts[1:], len(group)]))
 
 
-def _surplus(z: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-    """The gradient of the loss, a mean over n rows, by the logits z (overwritten)."""
-    z -= z.max(axis=1, keepdims=True)
+#: Logits within this have exponentials whose sum single precision holds, without the largest being taken off first.
+SAFE = 80.0
+_ONES = np.ones((max(GROUPS, MEMBERS), 1), np.float32)
+
+
+def _raised(z: np.ndarray, bound: float) -> np.ndarray:
+    """The sums (a column) of the exponentials of each row of z, which these overwrite; rows beyond the bound are moved to below 0 first."""
+    if not bound < SAFE:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True) * n
+    return z @ _ONES[: z.shape[1]]  # faster than sum()
+
+
+def _surplus(z: np.ndarray, own: np.ndarray, n: int, bound: float = np.inf) -> np.ndarray:
+    """The gradient of the loss, a mean over n rows, by the logits z (overwritten), none of which is beyond the bound."""
+    sums = _raised(z, bound)
+    sums *= n
+    z /= sums
     z[np.arange(len(z)), own] -= 1 / n
     return z
 
 
-def _log_own(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """The log-probability of each row's own column by the logits z (overwritten)."""
-    z -= z.max(axis=1, keepdims=True)
+def _log_own(z: np.ndarray, own: np.ndarray, bound: float = np.inf) -> np.ndarray:
+    """The log-probability of each row's own column by the logits z (overwritten), none of which is beyond the bound."""
+    if not bound < SAFE:
+        z -= z.max(axis=1, keepdims=True)
+        bound = 0
     mine = z[np.arange(len(z)), own]
-    return mine - np.log(np.exp(z, out=z).sum(axis=1))
+    return mine - np.log(_raised(z, bound)[:, 0])
 
 
 def train(parts: DataFrame, rate: int = RATE, seed: int = 2) -> Network:
-    """The network of sequences (key, part), trained in rounds by trainers whose weights are averaged."""
-    parts = cut(parts)
+    """The network of sequences (key, part), trained in rounds by trainers whose weights are averaged; each round reads them anew."""
     n = parts.agg(F.coalesce(F.sum(F.octet_length("part")), F.lit(0))).first()[0] // 2
     trainers = int(min(MOST_TRAINERS, max(1, -(-n // (rate * PER_TRAINER)))))
     # each trainer adds a row a weight, so that there must be no more of them than the input needs, whatever the session's partitions
@@ -320,34 +400,38 @@ def train(parts: DataFrame, rate: int = RATE, seed: int = 2) -> Network:
     return model
 
 
-def score(docs: DataFrame, top: list[bytes], model: Network, within: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, n_tokens and log_likelihood of each whole text; within has the shares of words in their classes."""
-    kept = docs.select(*keep)
-    key, n_rare, mean = (fresh(kept, c) for c in ("key", "n_rare", "mean"))
-    rows = docs.select(*keep, _key().alias(key), "text")
+def score(rows: DataFrame, key: str, part: str, means: DataFrame, model: Network, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns in keep, n_tokens and log_likelihood of each whole text of classed() rows; means has the mean share (mean) of a key's words in their classes."""
+    kept = rows.select(*keep)
+    n_rare, mean = fresh(kept, "n_rare"), fresh(kept, "mean")
     schema = T.StructType([*kept.schema.fields, T.StructField(key, T.LongType()), T.StructField(n_rare, T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())])
     raw = model.dump()
 
     def run(batches):
-        known, net = Vocabulary(top), Network.new(0).load(raw)
+        net = Network.new(0).load(raw)
         sides = net.sides()
         for batch in batches:
-            for part in slices(batch):
-                ds = [known.classes(x) for x in part.column(len(keep) + 1).to_pylist()]
+            for here in slices(batch):
+                ds = [np.frombuffer(x, np.int16) for x in here.column(len(keep) + 1).to_pylist()]
                 sizes = np.array([len(d) for d in ds])
                 others = np.array([np.count_nonzero(d >= TOP) for d in ds])
                 owner = np.repeat(np.arange(len(ds)), sizes)
                 sums = np.bincount(owner, net.log_chance(*stream(ds), sides), minlength=len(ds)).astype(float)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep) + 1], pa.array(others, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*here.columns[: len(keep) + 1], pa.array(others, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=schema.names)
 
     # rows that repeat an id and a text meet under one key: the mean is each one's own
-    means = rare(docs, top).join(within, "word").groupBy("key").agg((F.sum(F.col("n") * F.col("share")) / F.sum("n")).alias(mean)).withColumnRenamed("key", key)
+    named = means.select(F.col("key").alias(key), F.col("mean").alias(mean))
     both = F.col("log_likelihood") + F.coalesce(F.col(n_rare) * F.col(mean), F.lit(0.0))
-    return rows.mapInArrow(run, schema).join(means, key, "left").select(*keep, "n_tokens", both.alias("log_likelihood"))
+    return rows.select(*keep, key, part).mapInArrow(run, schema).join(named, key, "left").select(*keep, "n_tokens", both.alias("log_likelihood"))
 
 
 def pseudo_likelihood(docs: DataFrame, keep: Sequence[str] = ("doc_id",), rate: int = RATE, seed: int = 2) -> DataFrame:
-    """score() of docs by a network trained on them, and by their own counts of words."""
+    """score() of docs by a network trained on them, and by their own counts of words. Words are looked up once, for training and scoring."""
     counted = cut(counts(docs))
     top = most(counted)
-    return score(docs, top, train(sequences(docs, top), rate, seed), shares(counted, top), keep)
+    key, part = fresh(docs.select(*keep), "key"), fresh(docs.select(*keep), "part")
+    rows = cut(classed(docs, top, keep, key, part))
+    model = train(rows.select(F.col(key).alias("key"), F.col(part).alias("part")).where("octet_length(part) > 0"), rate, seed)
+    # words occur once in shares(), so that tasks get even and bounded parts of them, which needn't be sorted
+    means = rare(docs, top).join(shares(counted, top).hint("shuffle_hash"), "word").groupBy("key").agg((F.sum(F.col("n") * F.col("share")) / F.sum("n")).alias("mean"))
+    return score(rows, key, part, means, model, keep)
