@@ -147,6 +147,15 @@ def with_packed(df: DataFrame, pose: Pose, to: str = "packed", config: PoseConfi
     def step(df: DataFrame, made: list[Column], *more: Column) -> DataFrame:
         return df.select(*kept, *(c.alias(n) for c, n in zip(made, names)), *more)
 
+    def apart(df: DataFrame, named: list[str] = names) -> DataFrame:
+        # a projection with a higher-order function is compiled by itself, and those before and after it
+        # each together, so that no method is too long for the JVM's compiler; given as columns, constant
+        # coordinates fold away, which does as well
+        if not isinstance(pose, str):
+            return df
+        df = df.select(*kept, F.transform(F.array(*(F.col(f"`{n}`") for n in named)), lambda c: c).alias("__apart"))
+        return df.select(*kept, *(F.coalesce(F.get("__apart", F.lit(k)), F.lit(0).cast("long")).alias(n) for k, n in enumerate(named)))
+
     given = [F.coalesce(c, F.lit(float("nan"))) for c in coordinates(pose, config)]
     if isinstance(pose, str):
         df = df.select(*kept, F.array(*given).alias("__given"))
@@ -158,21 +167,13 @@ def with_packed(df: DataFrame, pose: Pose, to: str = "packed", config: PoseConfi
     for (name, a), c, g, cube in zip(at, cols, guesses, cubes):
         low, high = (corner[AXES.index(a)] for corner in config.box(name))
         cells.append(near(c, g) if cube else F.coalesce(cell_by_halving(c, low, high, config.max_depth), F.lit(0).cast("long")))
-    df = step(df, cells)
+    df = apart(step(df, cells))
     df = step(df, [within(c) if cube else c for c, cube in zip(cols, cubes)])
-    if isinstance(pose, str):
-        # a projection with a higher-order function is compiled by itself, and those before and after it
-        # each together, so that no method is too long for the JVM's compiler; given as columns, constant
-        # coordinates fold away, which does as well
-        whole = F.transform(F.array(*cols), lambda c: _spread([c], 0)[0])
-        df = df.select(*kept, whole.alias("__cells"))
-        df = step(df, [F.coalesce(F.get("__cells", F.lit(k)), F.lit(0).cast("long")) for k in range(len(cols))])
-    else:
-        df = step(df, _spread(cols, 0))
+    df = apart(step(df, _spread(cols, 0)))
     df = step(df, _spread(cols, 1))
     last = _spread(cols, 2)
     digits = [last[k].bitwiseOR(F.shiftleft(last[k + 1], 1)).bitwiseOR(F.shiftleft(last[k + 2], 2)).alias(names[k]) for k in range(0, len(at), 3)]
-    df = df.select(*kept, *digits)
+    df = apart(df.select(*kept, *digits), names[::3])
     out = []
     for g, levels in enumerate(groups(config)):
         number = None

@@ -125,7 +125,12 @@ def skeleton(header: str, mode: str = "compat") -> list[Joint]:
 
 def clips(spark: SparkSession, path: str) -> DataFrame:
     """(file, header, frame_time, rows) of the clips in path; rows are the lines of the motion part."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"(?m)^\s*MOTION\s*$", 2).alias("parts"))
+    return parsed(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def parsed(documents: DataFrame) -> DataFrame:
+    """clips() of a table (file, value) of names and texts, which suits many small clips better than as many files."""
+    whole = documents.select("file", F.split("value", r"(?m)^\s*MOTION\s*$", 2).alias("parts"))
     motion = F.split(F.trim(F.regexp_replace(F.get("parts", F.lit(1)), r"\r", "")), r"\n")
     seen = whole.select("file", F.get("parts", F.lit(0)).alias("header"), motion.alias("m"))
     time = F.try_element_at(F.split(F.trim(F.filter("m", lambda x: F.startswith(F.trim(x), F.lit("Frame Time")))[0]), r":\s*"), F.lit(2))
@@ -140,6 +145,17 @@ def frames(clip: DataFrame) -> DataFrame:
     return each.select("file", "frame_index", (F.col("frame_index") * F.col("frame_time")).alias("t_seconds"), values.alias("values"))
 
 
+def frames_at(clip: DataFrame, indices: Sequence[int]) -> DataFrame:
+    """frames() of the asked indices alone, with pos, in the order asked for, repeats included; an index out of range is an error. A clip without frames has none."""
+    wanted = F.array(*(F.lit(int(i)) for i in indices)).cast("array<int>")
+    each = clip.where(F.size("rows") > 0).select("file", "frame_time", "rows", F.posexplode(wanted).alias("pos", "asked"))
+    last = F.size("rows") - 1
+    error = F.raise_error(F.concat(F.lit("frame "), F.col("asked").cast("string"), F.lit(" out of [0, "), last.cast("string"), F.lit("]"))).cast("int")
+    checked = each.withColumn("frame_index", F.when((F.col("asked") >= 0) & (F.col("asked") <= last), F.col("asked")).otherwise(error))
+    values = F.transform(F.split(F.trim(F.get("rows", F.col("frame_index"))), r"\s+"), lambda x: x.cast("double"))
+    return checked.select("pos", "file", "frame_index", (F.col("frame_index") * F.col("frame_time")).alias("t_seconds"), values.alias("values"))
+
+
 def joints(spark: SparkSession, path: str, mode: str = "compat") -> DataFrame:
     """(header, idx, name, parent, ox, oy, oz, ch_start, ch_count) of each different skeleton in path."""
     rows = []
@@ -220,10 +236,10 @@ def positions(df: DataFrame, found: Sequence[Joint], names: Sequence[str], relat
     return df.select(*kept, *made)
 
 
-def _by_skeleton(spark: SparkSession, path: str, mode: str, work) -> DataFrame:
-    """work(frames with file, frame_index, t_seconds, values; joints) for the clips of each skeleton, united."""
-    clip = clips(spark, path)
-    parts = [work(frames(clip.where(F.col("header") == header)), found) for header, found in _skeletons(clip, mode)]
+def _by_skeleton(spark: SparkSession, path: str | DataFrame, mode: str, work, of=frames) -> DataFrame:
+    """work(frames with file, frame_index, t_seconds, values; joints) for the clips of each skeleton, united; path may be clips() that have been read."""
+    clip = clips(spark, path) if isinstance(path, str) else path
+    parts = [work(of(clip.where(F.col("header") == header)), found) for header, found in _skeletons(clip, mode)]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
@@ -257,14 +273,15 @@ def joint_positions(spark: SparkSession, path: str, names: Sequence[str] | None
     return _by_skeleton(spark, path, mode, work)
 
 
-def keypoints(spark: SparkSession, path: str, mode: str = "compat", config: PoseConfig = DEFAULT) -> DataFrame:
-    """(file, frame_index, t_seconds, pose): the relative pose of every frame, in the clip's own unit."""
+def keypoints(spark: SparkSession, path: str | DataFrame, mode: str = "compat", config: PoseConfig = DEFAULT, indices: Sequence[int] | None = None) -> DataFrame:
+    """(file, frame_index, t_seconds, pose): the relative pose of every frame, in the clip's own unit; or, with pos, of frames_at() some indices."""
+    keys, of = (KEYS, frames) if indices is None else (("pos", *KEYS), lambda clip: frames_at(clip, indices))
 
     def work(rows: DataFrame, found: list[Joint]) -> DataFrame:
         placed = positions(rows, found, [JOINT_OF[k] for k in config.keypoints])
-        return placed.select(*KEYS, F.struct(*(F.col(f"`{JOINT_OF[k]}`").cast(VECTOR).alias(k) for k in config.keypoints)).alias("pose"))
+        return placed.select(*keys, F.struct(*(F.col(f"`{JOINT_OF[k]}`").cast(VECTOR).alias(k) for k in config.keypoints)).alias("pose"))
 
-    return _by_skeleton(spark, path, mode, work)
+    return _by_skeleton(spark, path, mode, work, of)
 
 
 def asked_frames(spark: SparkSession, poses: DataFrame, indices: Sequence[int]) -> DataFrame:

@@ -47,8 +47,8 @@ def example(spark: SparkSession, frames: int = 3) -> str:
     return path
 
 
-def write(frames: DataFrame, path: str) -> None:
-    """Writes clips of frames (clip, frame_index, values), one file a clip, in folders clip=<clip> of path.
+def documents(frames: DataFrame) -> DataFrame:
+    """(clip, value): the text of each clip of frames (clip, frame_index, values).
 
     values: as many numbers as the skeleton has channels. A clip is one document, and its frames come
     together in one row; clips of a bounded number of frames are the caller's to make.
@@ -57,4 +57,9 @@ def write(frames: DataFrame, path: str) -> None:
     row = F.struct("frame_index", F.array_join(F.transform("values", lambda v: v.cast("string")), " ").alias("row"))
     whole = frames.groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["row"]).alias("rows"))
     head = F.concat(F.lit(f"{header}Frames: "), F.size("rows").cast("string"), F.lit("\nFrame Time: .0083333\n"))
-    whole.select(F.concat(head, F.array_join("rows", "\n")).alias("value"), "clip").write.option("lineSep", "\n").partitionBy("clip").text(path)
+    return whole.select("clip", F.concat(head, F.array_join("rows", "\n")).alias("value"))
+
+
+def write(frames: DataFrame, path: str) -> None:
+    """Writes documents() of frames, one file a clip, in folders clip=<clip> of path."""
+    documents(frames).write.option("lineSep", "\n").partitionBy("clip").text(path)

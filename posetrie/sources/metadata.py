@@ -20,7 +20,7 @@ def samples_of(rows: DataFrame) -> DataFrame:
     """
     listed = F.variant_get("sample", "$.combination_indices", "variant")
     name = F.variant_get("sample", "$.sample_name", "variant")
-    is_list = listed.isNull() | F.startswith(F.schema_of_variant(listed), F.lit("ARRAY"))
+    is_list = listed.isNull() | F.try_variant_get(listed, "$", "array<variant>").isNotNull()
     text = F.when(name.isNull(), "unknown").when(F.is_variant_null(name), "None").otherwise(F.try_variant_get("sample", "$.sample_name", "string"))
     codes = F.coalesce(F.try_variant_get("sample", "$.combination_indices", "array<string>"), F.array().cast("array<string>"))
     return rows.where(is_list).select("pos", text.alias("sample_name"), codes.alias("combination_indices"))
@@ -45,5 +45,6 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], EMPTY)
     parsed = document.select(F.parse_json("value").alias("d"))
     lists = parsed.select(F.variant_get("d", "$.samples", "variant").alias("samples"), F.coalesce(F.try_variant_get("d", "$.first", "bigint"), F.lit(0)).alias("first"))
-    each = lists.where(F.startswith(F.schema_of_variant("samples"), F.lit("ARRAY"))).select("first", F.posexplode(F.expr("try_variant_get(samples, '$', 'array<variant>')")).alias("at", "sample"))
+    # what isn't a list has no rows; the schema of a long list would be worked out from all that it holds
+    each = lists.select("first", F.posexplode(F.expr("try_variant_get(samples, '$', 'array<variant>')")).alias("at", "sample"))
     return samples_of(each.select((F.col("first") + F.col("at")).cast("bigint").alias("pos"), "sample"))

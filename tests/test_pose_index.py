@@ -415,3 +415,31 @@ def test_asking_a_model(spark, tmp_path):
     near = got.candidates.collect()
     assert near[0].sample_name == "f1" and near[0].distance == 0.0 and len(near) == 3
     assert ask(spark, clip, 1, str(tmp_path / "m"), str(tmp_path / "none.json")).candidates.count() == 0
+
+
+def test_clips_in_a_table_are_asked_frame_by_frame(spark, tmp_path):
+    from posetrie.query import ask
+
+    path = clips.example(spark)
+    read = bvh.clips(spark, path)
+    text = spark.read.text(path, wholetext=True).select(F.lit("one").alias("file"), "value")
+    rows = lambda df: sorted((r.pos, r.frame_index, r.t_seconds, r.pose) for r in df.collect())
+    every = bvh.keypoints(spark, path)
+    assert rows(bvh.keypoints(spark, read, indices=[2, 0, 2])) == rows(bvh.asked_frames(spark, every, [2, 0, 2]))
+    for wrong in (3, -1):
+        with pytest.raises(Exception, match=f"frame {wrong} out of"):
+            bvh.keypoints(spark, read, indices=[wrong]).collect()
+    model.save(train.tree(octree.with_path(every, "pose").select("path", F.col("frame_index").cast("string").alias("label"))), str(tmp_path / "m"))
+    # a code that isn't one differs in all keypoints, whatever commas it has
+    odd = ['["000000","000000"]', '["000000,000000"]', '["000000",null]', '["0000000","00000"]', "[]"]
+    (tmp_path / "s.json").write_text('{"samples":[' + ",".join(f'{{"sample_name":"{k}","combination_indices":{c}}}' for k, c in enumerate(odd)) + "]}")
+    by_path, by_table = (ask(spark, c, 1, str(tmp_path / "m"), str(tmp_path / "s.json")) for c in (path, bvh.parsed(text)))
+    assert by_table.prediction.first().predicted == by_path.prediction.first().predicted == "1"
+    near = [{r.sample_name: r.distance for r in a.candidates.collect()} for a in (by_path, by_table)]
+    assert near[0] == near[1] and near[0]["1"] == near[0]["4"] == max(near[0].values()) and len(near[0]) == 5
+
+
+def test_no_method_of_poses_in_structs_is_too_long_for_the_compiler(spark):
+    poses = model.stored(bvh.keypoints(spark, clips.example(spark)))
+    stages = octree.with_path(poses, "pose")._jdf.queryExecution().debug().codegenToSeq()
+    assert 0 < max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
